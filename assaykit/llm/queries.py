@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaykit.llm.mixing import mix_sources
 from assaykit.llm.ngram_jaccard import jaccard_components
 
 
@@ -13,8 +14,36 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, _ = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS key FROM {docs}),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s),
+r AS (SELECT *, 3 * source_size AS lim, (3 * source_size)::DOUBLE / weight::DOUBLE AS ratio FROM w),
+f AS (SELECT *, row_number() OVER v AS rank,
+        (sum(source_size) OVER () - coalesce(sum(lim) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level
+      FROM r WINDOW v AS (ORDER BY ratio, source NULLS LAST)),
+o AS (SELECT min(rank) AS rank FROM f WHERE level <= ratio),
+g AS (SELECT f.source, f.source_size, CASE WHEN f.rank >= o.rank THEN f.weight * l.level ELSE f.lim::DOUBLE END AS target
+      FROM f, o LEFT JOIN f l ON l.rank = o.rank),
+t AS (SELECT *, round(target)::BIGINT AS wanted FROM g),
+a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.wanted,
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(d.key, 1, 4))::INT % 1024, d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (wanted // source_size) * size + greatest(0, least(start_at + size, wanted % source_size) - start_at) END::BIGINT AS taken
+FROM a"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": _MIX_SQL.format(docs="documents"),
+}
