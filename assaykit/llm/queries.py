@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaykit.llm.decontaminate import decontaminate
 from assaykit.llm.mixing import mix_sources
 from assaykit.llm.ngram_jaccard import jaccard_components
+from assaykit.llm.secrets import scan_secrets
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))[0]
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -21,6 +32,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_secret_scans": op2_secret_scans,
+    "op5_decontamination": op5_decontamination,
     "op7_mixing": op7_mixing,
 }
 
