@@ -10,6 +10,7 @@ from assaykit.llm.decontaminate import decontaminate
 from assaykit.llm.mixing import mix_sources
 from assaykit.llm.ngram_jaccard import jaccard_components
 from assaykit.llm.secrets import scan_secrets
+from assaykit.llm.toxicity import toxicity
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +31,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_secret_scans": op2_secret_scans,
     "op5_decontamination": op5_decontamination,
     "op7_mixing": op7_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 _MIX_SQL = r"""

@@ -72,7 +72,15 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> Iterator
 
 def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """``hash, first``: a 64-bit hash of every word in order, and each text's first word (one more entry than texts)."""
-    hashes, starts = [], []
+    (h,), _, first = words_and_prefixes(raw, offsets, space)
+    return h, first
+
+
+def words_and_prefixes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, lengths: tuple[int, ...] = ()) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Hashes, word numbers, first words: for whole words, then for the first ``n`` bytes of longer words, for each ``n``."""
+    hashes: list[list[np.ndarray]] = [[] for _ in range(1 + len(lengths))]
+    numbers: list[list[np.ndarray]] = [[] for _ in lengths]
+    starts, count = [], 0
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[offsets] = True
     for a, b in _pieces(raw, offsets, space):
@@ -89,11 +97,17 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tu
         up, down = _power("up", _BASE, b - a + 1), _power("down", _INVERSE, b - a + 1)
         prefix = np.zeros(b - a + 1, dtype=_U)
         np.cumsum(BYTE_VALUE[part] * up[: b - a], out=prefix[1:])
-        hashes.append(mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)))
+        hashes[0].append(mix((prefix[e] - prefix[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)))
+        for i, n in enumerate(lengths):
+            long_ = np.flatnonzero(e - s > n)
+            t = s[long_]
+            hashes[1 + i].append(mix((prefix[t + n] - prefix[t]) * down[t] + _U((n * 0xFF51AFD7ED558CCD + 0x5851F42D4C957F2D) & _MASK)))
+            numbers[i].append(long_ + count)
         starts.append(s + a)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, _U)
-    at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    return h, np.searchsorted(at, offsets)
+        count += len(s)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    at = join(starts, np.int64)
+    return [join(h, _U) for h in hashes], [np.arange(count), *(join(x, np.int64) for x in numbers)], np.searchsorted(at, offsets)
 
 
 _K = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53), _U(0x27D4EB2F165667C5), _U(0x85EBCA77C2B2AE63)]
