@@ -11,6 +11,7 @@ from assaykit.llm.decontaminate import decontaminate
 from assaykit.llm.mixing import mix_sources
 from assaykit.llm.ngram_jaccard import jaccard_components
 from assaykit.llm.secrets import scan_secrets
+from assaykit.llm.suffix_dedup import remove_repeats
 from assaykit.llm.token_counts import token_counts
 from assaykit.llm.topk import top_k
 from assaykit.llm.toxicity import toxicity
@@ -40,6 +41,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))[0]
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
