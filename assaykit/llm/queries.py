@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assaykit.llm.chat import format_chats, read_back
 from assaykit.llm.decontaminate import decontaminate
+from assaykit.llm.language_id import identify
 from assaykit.llm.mixing import mix_sources
 from assaykit.llm.ngram_jaccard import jaccard_components
 from assaykit.llm.secrets import scan_secrets
@@ -50,6 +51,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
+    "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
 }
