@@ -1,10 +1,549 @@
-"""The engine's own queries over the driver's tables, each with its DuckDB equivalent."""
+"""The engine's queries over the driver's tables, each with its DuckDB equivalent where SQL can express it.
+
+``lineitem`` plays the predictions, ``orders`` the images (some without predictions), ``embeddings`` hashed images.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from assaykit.functions.scalar import bin_of, box_iou, median_bits, ratio
+from assaykit.operators import bootstrap, calibration, matching, neardup, ranking, review, risk, splits, stability, validate
+from assaykit.operators.graph import connected_components
+from assaykit.protocol import Protocol
+from assaykit.sources.scans import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+P = Protocol()
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def counts(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def population(spark: SparkSession, sf: str) -> DataFrame:
+    raw = 0.01 + 0.99 * F.col("l_discount") / 0.1
+    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 9).cast("int").alias("class_id"), raw.alias("raw_confidence"), (1 - F.col("l_tax") / 0.08).alias("class_consistency"), (F.col("l_quantity") / 50).alias("localisation_stability"), (F.col("l_returnflag") == "N").cast("int").alias("correct"), F.col("l_linenumber").alias("line"))
+    return d.withColumn("calibrated_confidence", (F.col("raw_confidence") + F.col("raw_confidence") * F.col("raw_confidence")) / 2).withColumn("incorrect", 1 - F.col("correct"))
+
+
+_POP = """
+raw AS (SELECT *, 0.01::DOUBLE + 0.99::DOUBLE * l_discount / 0.1::DOUBLE AS raw_confidence FROM lineitem),
+pop AS (SELECT l_orderkey AS image, (l_partkey % 9)::INT AS class_id, raw_confidence, 1 - l_tax / 0.08::DOUBLE AS class_consistency, l_quantity / 50 AS localisation_stability,
+  (l_returnflag = 'N')::INT AS correct, 1 - (l_returnflag = 'N')::INT AS incorrect, (raw_confidence + raw_confidence * raw_confidence) / 2 AS calibrated_confidence, l_linenumber AS line FROM raw)"""
+_RISKS = f"""{_POP},
+parts AS (SELECT *, 1 - raw_confidence AS raw_risk, 1 - calibrated_confidence AS calibrated_risk, 1 - class_consistency AS class_risk, 1 - localisation_stability AS localisation_risk FROM pop),
+wide AS (SELECT *, (calibrated_risk + class_risk) / 2 AS calibrated_class_risk, (calibrated_risk + localisation_risk) / 2 AS calibrated_localisation_risk,
+  (class_risk + localisation_risk) / 2 AS class_localisation_risk, (calibrated_risk + class_risk + localisation_risk) / 3 AS equal_risk,
+  (89 * calibrated_risk + 1 * class_risk + 10 * localisation_risk) / 100 AS weighted_risk FROM parts),
+risks AS (UNPIVOT (SELECT image, class_id, correct, incorrect, raw_risk, calibrated_risk, class_risk, localisation_risk, calibrated_class_risk, calibrated_localisation_risk, class_localisation_risk, equal_risk, weighted_risk FROM wide)
+  ON raw_risk, calibrated_risk, class_risk, localisation_risk, calibrated_class_risk, calibrated_localisation_risk, class_localisation_risk, equal_risk, weighted_risk INTO NAME method VALUE risk)"""
+
+
+def _auroc_sql(source: str, by: str, score: str = "risk", label: str = "incorrect", weight: str = "1", where: str = "true") -> str:
+    """CTEs ``groups_`` and ``ranked`` that end in AUROC and AP by ``by``."""
+    return f"""
+groups_ AS (SELECT {by}, {score} AS score, sum({weight} * {label}) AS pos, sum({weight} * (1 - {label})) AS neg FROM {source} WHERE {where} GROUP BY ALL HAVING sum({weight}) > 0),
+cums AS (SELECT *, sum(pos) OVER v AS cp, sum(neg) OVER v AS cn, sum(pos) OVER (PARTITION BY {by}) AS tp, sum(neg) OVER (PARTITION BY {by}) AS tn
+  FROM groups_ WINDOW v AS (PARTITION BY {by} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ranked AS (SELECT {by}, max(tp)::BIGINT AS n_pos, max(tn)::BIGINT AS n_neg, count(*) AS score_groups,
+  sum(pos * (tn - cn + neg / 2)) / nullif(max(tp) * max(tn), 0) AS auroc, sum(pos * cp / (cp + cn)) / nullif(max(tp), 0) AS ap FROM cums GROUP BY {by})"""
+
+
+def all_risks(spark: SparkSession, sf: str) -> DataFrame:
+    return risk.risk_scores(population(spark, sf), ["image", "class_id", "correct", "incorrect"])
+
+
+# Ranking
+
+
+@query(f"WITH {_RISKS}, {_auroc_sql('risks', 'method')} SELECT method, n_pos, n_neg, score_groups, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM ranked")
+def risk_auroc_ap(spark, sf):
+    return rounded(counts(ranking.auroc_ap(all_risks(spark, sf), ["method"], "risk", "incorrect"), "n_pos", "n_neg"), "auroc", "ap")
+
+
+@query(f"WITH {_RISKS}, {_auroc_sql('risks', 'method, class_id')} SELECT method, class_id, n_pos, n_neg, round(auroc, 6) AS auroc FROM ranked")
+def risk_auroc_by_class(spark, sf):
+    return rounded(counts(ranking.auroc_ap(all_risks(spark, sf), ["method", "class_id"], "risk", "incorrect"), "n_pos", "n_neg").drop("ap", "score_groups"), "auroc")
+
+
+@query(f"WITH {_RISKS} SELECT method, count(*) AS n, round(min(risk), 6) AS low, round(max(risk), 6) AS high, round(avg(risk), 6) AS mean FROM risks GROUP BY method")
+def risk_scores_long(spark, sf):
+    return rounded(all_risks(spark, sf).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.min("risk").alias("low"), F.max("risk").alias("high"), F.avg("risk").alias("mean")), "low", "high", "mean")
+
+
+@query(f"WITH {_RISKS}, {_auroc_sql('risks', 'method')} SELECT a.method, b.method AS reference, round(a.auroc - b.auroc, 6) AS difference FROM ranked a JOIN ranked b ON a.method <> b.method")
+def pairwise_auroc_delta(spark, sf):
+    return rounded(ranking.pairwise_differences(ranking.auroc_ap(all_risks(spark, sf), ["method"], "risk", "incorrect"), [], "method", "auroc"), "difference")
+
+
+@query("""WITH t AS (SELECT l.toxic AS y, d.source, d.n_chars / 1000.0::DOUBLE AS s FROM documents d JOIN labels l USING (doc_id)),""" + _auroc_sql("t", "source", "s", "y") + " SELECT source, n_pos, n_neg, round(auroc, 6) AS auroc, round(ap, 6) AS ap FROM ranked")
+def label_ranking_by_source(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") / F.lit(1000.0)).alias("s")).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    return rounded(counts(ranking.auroc_ap(d, ["source"], "s", "toxic").drop("score_groups"), "n_pos", "n_neg"), "auroc", "ap")
+
+
+_DESC = "count(x) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS q3"
+
+
+@query(f"WITH {_POP} SELECT correct, signal, {_DESC} FROM (UNPIVOT (SELECT correct, calibrated_confidence, class_consistency, localisation_stability FROM pop) ON calibrated_confidence, class_consistency, localisation_stability INTO NAME signal VALUE x) GROUP BY ALL")
+def signal_descriptives(spark, sf):
+    long_ = population(spark, sf).unpivot("correct", list(P.signals), "signal", "x")
+    return rounded(ranking.descriptives(long_, ["correct", "signal"], "x"), "mean", "std", "q1", "median", "q3")
+
+
+@query(f"WITH {_POP}, r AS (SELECT rank() OVER (ORDER BY raw_confidence) + (count(*) OVER (PARTITION BY raw_confidence) - 1) / 2 AS a, rank() OVER (ORDER BY localisation_stability) + (count(*) OVER (PARTITION BY localisation_stability) - 1) / 2 AS b FROM pop) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
+def signal_spearman(spark, sf):
+    return rounded(ranking.spearman(population(spark, sf), "raw_confidence", "localisation_stability"), "rho")
+
+
+@query("SELECT event_id, event_type, round(rank() OVER (PARTITION BY event_type ORDER BY round(value)) + (count(*) OVER (PARTITION BY event_type, round(value)) - 1) / 2, 1) AS average_rank FROM events")
+def rank_avg_ties(spark, sf):
+    d = table(spark, sf, "events").select("event_id", "event_type", F.round("value").alias("v"))
+    return d.select("event_id", "event_type", F.round(ranking.average_rank("v", ["event_type"]), 1).alias("average_rank"))
+
+
+@query("SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE value IS NOT NULL) WHERE r = 1")
+def best_row_first_tie(spark, sf):
+    return rounded(ranking.best_row(table(spark, sf, "events"), ["user_id"], "value", "event_id"), "value")
+
+
+# Calibration
+
+_BIN = "least(9, len(list_filter([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[], lambda e: e <= raw_confidence)) - 1)::INT"
+
+
+@query(f"WITH {_POP} SELECT {_BIN} AS bin, count(*) AS n, round(avg(raw_confidence), 6) AS mean_confidence, round(avg(correct), 6) AS accuracy FROM pop GROUP BY 1")
+def reliability_bins(spark, sf):
+    return rounded(calibration.reliability_bins(population(spark, sf), [], "raw_confidence", "correct"), "mean_confidence", "accuracy")
+
+
+_METRICS = "count(*) AS n, sum(correct)::BIGINT AS correct, round(avg(correct), 6) AS accuracy, round(avg((raw_confidence - correct) ** 2), 6) AS brier, round(avg(CASE WHEN correct = 1 THEN -ln(greatest(raw_confidence, 1e-15)) ELSE -ln(1 - least(raw_confidence, 1 - 1e-15)) END), 4) AS nll"
+
+
+@query(f"WITH {_POP} SELECT {_METRICS} FROM pop")
+def calibration_metrics(spark, sf):
+    return rounded(rounded(calibration.calibration_metrics(population(spark, sf), [], "raw_confidence", "correct").drop("ece"), "accuracy", "brier"), "nll", digits=4)
+
+
+@query(f"WITH {_POP}, b AS (SELECT class_id, {_BIN} AS bin, count(*) AS n, abs(sum(correct) - sum(raw_confidence)) AS gap FROM pop GROUP BY GROUPING SETS ((bin), (class_id, bin))) SELECT class_id, sum(n)::BIGINT AS n, round(sum(gap) / sum(n), 6) AS ece FROM b GROUP BY class_id")
+def calibration_by_class(spark, sf):
+    d = population(spark, sf).withColumn("bin", bin_of(F.col("raw_confidence"), calibration.TENTHS))
+    b = d.groupingSets([["bin"], ["class_id", "bin"]], "class_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum("correct") - F.sum("raw_confidence")).alias("gap"))
+    return b.groupBy("class_id").agg(F.sum("n").alias("n"), F.round(F.sum("gap") / F.sum("n"), 6).alias("ece"))
+
+
+@query(f"WITH {_POP}, e AS (SELECT len(list_filter([0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[], lambda x: x <= raw_confidence)) - 1 AS b FROM pop WHERE raw_confidence BETWEEN 0.001 AND 1) SELECT k::INT AS bin, count(b) AS n, round(100 * count(b) / (SELECT count(*) FROM e), 6) AS percentage FROM range(7) r(k) LEFT JOIN e ON least(b, 6) = k GROUP BY k")
+def confidence_histogram(spark, sf):
+    b = population(spark, sf).select(bin_of(F.col("raw_confidence"), P.edges).alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = spark.range(len(P.edges) - 1).select(F.col("id").cast("int").alias("bin"))
+    d = bins.join(b, "bin", "left").fillna(0, ["n"])
+    return rounded(d.withColumn("percentage", ratio(100 * F.col("n"), F.sum("n").over(Window.partitionBy()))), "percentage")
+
+
+@query(f"WITH {_POP} SELECT t AS threshold, count(*) FILTER (raw_confidence >= t) AS retained FROM pop, (SELECT unnest([0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS t) GROUP BY t")
+def cumulative_retained(spark, sf):
+    row = population(spark, sf).agg(*(F.count_if(F.col("raw_confidence") >= t).alias(f"c{i}") for i, t in enumerate(P.edges)))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("retained")) for i, t in enumerate(P.edges)))).alias("x")).select("x.*")
+
+
+@query()
+def calibrator_fits(spark, sf):
+    d = population(spark, sf)
+    fits = [calibration.fit_calibrator(d, "raw_confidence", "correct", m) for m in calibration.METHODS]
+    rows = [(f.method, i, float(v)) for f in fits for i, v in enumerate(f.parameters or f.y)]
+    return spark.createDataFrame(rows, "method string, position int, value double").withColumn("value", F.round("value", 4))
+
+
+@query()
+def cross_fitted_metrics(spark, sf):
+    d = population(spark, sf).withColumn("fold_id", (F.col("image") % P.folds).cast("int"))
+    oof = calibration.cross_fit(d.select("image", "raw_confidence", "correct", "fold_id"), "raw_confidence", "correct", "fold_id", P.folds)
+    return rounded(calibration.calibration_metrics(oof, ["method"], "probability", "correct"), "accuracy", "brier", "nll", "ece", digits=4)
+
+
+# Images without predictions, thresholds, referral
+
+
+@query("""WITH c AS (SELECT o_orderkey AS image, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT count(*) AS images, count(*) FILTER (n = 0) AS empty, min(n) AS low, median(n)::DOUBLE AS median, round(avg(n), 6) AS mean, max(n) AS high FROM c""")
+def predictions_per_image(spark, sf):
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf, "orders").select("o_orderkey").join(n, "o_orderkey", "left").fillna(0, ["n"])
+    return d.agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("n") == 0).alias("empty"), F.min("n").alias("low"), F.percentile("n", F.lit(0.5)).alias("median"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("high"))
+
+
+_CURVE = f"""WITH {_RISKS},
+g AS (SELECT method, risk, sum(incorrect) AS e, count(*) AS k FROM risks WHERE method IN ('raw_risk', 'class_risk', 'localisation_risk') GROUP BY ALL),
+c AS (SELECT method, risk AS threshold, k AS added, sum(k) OVER v AS retained, sum(e) OVER v AS incorrect, sum(k) OVER (PARTITION BY method) AS total FROM g WINDOW v AS (PARTITION BY method ORDER BY risk ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"{_CURVE} SELECT method, round(threshold, 6) AS threshold, retained::BIGINT AS retained, incorrect::BIGINT AS incorrect, round(retained / total, 6) AS coverage, round(incorrect / retained, 6) AS selective_risk FROM c")
+def risk_coverage_curve(spark, sf):
+    d = all_risks(spark, sf).where(F.col("method").isin("raw_risk", "class_risk", "localisation_risk"))
+    return rounded(review.coverage_curve(d, ["method"], "risk", "incorrect").drop("added", "total"), "threshold", "coverage", "selective_risk")
+
+
+@query(f"{_CURVE} SELECT method, round(sum(added / total * incorrect / retained), 6) AS aurc FROM c GROUP BY method")
+def aurc(spark, sf):
+    d = all_risks(spark, sf).where(F.col("method").isin("raw_risk", "class_risk", "localisation_risk"))
+    return rounded(review.aurc(review.coverage_curve(d, ["method"], "risk", "incorrect"), ["method"]), "aurc")
+
+
+_CROPS = f"""WITH {_RISKS}, m AS (SELECT DISTINCT method FROM risks),
+a AS (SELECT image, method, count(*) AS predictions, sum(incorrect) AS errors, max(risk) AS crop_risk FROM risks GROUP BY ALL),
+crops AS (SELECT o_orderkey AS image, m.method, coalesce(predictions, 0) AS predictions, coalesce(errors, 0) AS errors, crop_risk FROM orders CROSS JOIN m LEFT JOIN a ON a.image = o_orderkey AND a.method = m.method)"""
+_THRESHOLDS = f"""{_CROPS}, b AS (SELECT unnest([5, 10, 20]) AS budget_percent),
+n AS (SELECT method, budget_percent, floor(count(*) * budget_percent / 100)::BIGINT AS nominal_crops FROM crops, b GROUP BY ALL),
+o AS (SELECT method, crop_risk, row_number() OVER (PARTITION BY method ORDER BY crop_risk DESC) - 1 AS place FROM crops WHERE crop_risk IS NOT NULL),
+thresholds AS (SELECT n.method, budget_percent, nominal_crops, coalesce(crop_risk, -1) AS threshold FROM n LEFT JOIN o ON o.method = n.method AND place = nominal_crops)"""
+
+
+def crops_of(spark: SparkSession, sf: str) -> DataFrame:
+    return review.crop_risks(table(spark, sf, "orders").select(F.col("o_orderkey").alias("image")), all_risks(spark, sf), ["method"], "risk", "incorrect")
+
+
+@query(f"{_CROPS} SELECT method, count(*) AS crops, count(crop_risk) AS with_predictions, sum(errors)::BIGINT AS errors, round(avg(crop_risk), 6) AS mean_risk, round(max(crop_risk), 6) AS max_risk FROM crops GROUP BY method")
+def crop_risk(spark, sf):
+    d = crops_of(spark, sf).groupBy("method").agg(F.count(F.lit(1)).alias("crops"), F.count("crop_risk").alias("with_predictions"), F.sum("errors").alias("errors"), F.avg("crop_risk").alias("mean_risk"), F.max("crop_risk").alias("max_risk"))
+    return rounded(d, "mean_risk", "max_risk")
+
+
+@query(f"{_THRESHOLDS} SELECT method, budget_percent, nominal_crops, round(threshold, 6) AS threshold FROM thresholds")
+def review_thresholds(spark, sf):
+    return rounded(review.review_thresholds(crops_of(spark, sf), ["method"], P.budgets), "threshold")
+
+
+@query(f"""{_THRESHOLDS}, s AS (SELECT c.*, budget_percent, predictions > 0 AND crop_risk > threshold AS sent FROM crops c JOIN thresholds t ON c.method = t.method)
+SELECT method, budget_percent, count(*) FILTER (sent) AS referred_crops, coalesce(sum(predictions) FILTER (sent), 0)::BIGINT AS referred_predictions, coalesce(sum(errors) FILTER (sent), 0)::BIGINT AS captured_errors,
+  round(count(*) FILTER (sent) / count(*), 6) AS crop_workload, round(coalesce(sum(errors) FILTER (sent), 0) / nullif(sum(errors), 0), 6) AS error_capture,
+  round((sum(errors) - coalesce(sum(errors) FILTER (sent), 0)) / nullif(sum(predictions) - coalesce(sum(predictions) FILTER (sent), 0), 0), 6) AS automatic_error_rate,
+  round(count(*) FILTER (sent) / count(*) * sum(errors), 4) AS random_errors FROM s GROUP BY ALL""")
+def referral_metrics(spark, sf):
+    from assaykit.lineage import cut
+
+    crops = cut(crops_of(spark, sf))
+    m = review.referral_metrics(crops, review.review_thresholds(crops, ["method"], P.budgets), ["method"])
+    m = m.select("method", "budget_percent", "referred_crops", "referred_predictions", "captured_errors", "crop_workload", "error_capture", "automatic_error_rate", "random_errors")
+    return rounded(rounded(counts(m, "referred_crops", "referred_predictions", "captured_errors"), "crop_workload", "error_capture", "automatic_error_rate"), "random_errors", digits=4)
+
+
+# Fusion weights
+
+_GRID = f"""WITH {_POP}, side AS (SELECT range AS w FROM range(0, 101, 20)),
+grid AS (SELECT a.w AS conf, b.w AS cls, 100 - a.w - b.w AS loc FROM side a, side b WHERE a.w + b.w <= 100),
+scored AS (SELECT conf, cls, loc, image % 5 AS fold_id, incorrect, (conf * (1 - calibrated_confidence) + cls * (1 - class_consistency) + loc * (1 - localisation_stability)) / 100 AS risk FROM pop, grid),
+{_auroc_sql('scored', 'conf, cls, loc, fold_id')},
+evaluated AS (SELECT conf, cls, loc, avg(ap) AS mean_ap, avg(auroc) AS mean_auroc, (3 * conf - 100) ** 2 + (3 * cls - 100) ** 2 + (3 * loc - 100) ** 2 AS distance FROM ranked GROUP BY ALL)"""
+
+
+def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    d = population(spark, sf).withColumn("fold_id", F.col("image") % P.folds)
+    return risk.evaluate_grid(d, risk.weight_grid(spark, 20))
+
+
+@query(f"{_GRID} SELECT conf, cls, loc, round(mean_ap, 6) AS mean_ap, round(mean_auroc, 6) AS mean_auroc, distance::BIGINT AS distance FROM evaluated")
+def grid_weight_search(spark, sf):
+    return rounded(_evaluated(spark, sf), "mean_ap", "mean_auroc")
+
+
+@query(f"{_GRID}, x AS (SELECT * FROM evaluated WHERE mean_ap >= (SELECT max(mean_ap) - 1e-12 FROM evaluated)) SELECT conf, cls, loc FROM x WHERE mean_auroc >= (SELECT max(mean_auroc) - 1e-12 FROM x) ORDER BY distance, conf, loc, cls LIMIT 1")
+def weight_selection(spark, sf):
+    from assaykit.lineage import cut
+
+    return risk.select_weights(cut(_evaluated(spark, sf))).select("conf", "cls", "loc")
+
+
+@query("SELECT count(*) AS candidates, sum(conf)::BIGINT AS conf, max((3 * conf - 100) ** 2 + (3 * cls - 100) ** 2 + (3 * loc - 100) ** 2)::BIGINT AS farthest FROM (SELECT a.range AS conf, b.range AS cls, 100 - a.range - b.range AS loc FROM range(101) a, range(101) b WHERE a.range + b.range <= 100)")
+def simplex_grid(spark, sf):
+    return risk.weight_grid(spark).agg(F.count(F.lit(1)).alias("candidates"), F.sum("conf").alias("conf"), F.max("distance").alias("farthest"))
+
+
+# Boxes
+
+
+def boxes_of(spark: SparkSession, sf: str, every: int = 1) -> DataFrame:
+    """Boxes from line items: place by line number and quantity, size by discount and tax."""
+    d = table(spark, sf, "lineitem").where(F.col("l_orderkey") % every == 0)
+    d = d.select(F.col("l_orderkey").cast("string").alias("image"), (F.col("l_partkey") % 3).cast("int").alias("class_id"), F.col("l_linenumber").cast("double").alias("x1"), F.col("l_quantity").alias("y1"), (F.col("l_linenumber") + 1 + 20 * F.col("l_discount")).alias("x2"), (F.col("l_quantity") + 5 + 100 * F.col("l_tax")).alias("y2"), (0.01 + 0.99 * F.col("l_discount") / 0.1).alias("confidence"), "l_partkey", "l_suppkey", "l_extendedprice")
+    return numbered(d, ["image"], ["x1", "y1", "x2", "y2", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+def truth_of(boxes: DataFrame) -> DataFrame:
+    """True boxes: every other prediction, moved by half a unit."""
+    d = boxes.where(F.col("source_row") % 2 == 1)
+    return d.select("image", "class_id", F.concat_ws(":", "image", "source_row").alias("gt_id"), F.col("source_row").cast("long").alias("line"), *((F.col(c) + 0.5).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+_BOXES = """b AS (SELECT l_orderkey::VARCHAR AS image, (l_partkey % 3)::INT AS class_id, l_linenumber::DOUBLE AS x1, l_quantity AS y1, l_linenumber + 1 + 20 * l_discount AS x2, l_quantity + 5 + 100 * l_tax AS y2, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY x1, y1, x2, y2, l_partkey, l_suppkey, l_extendedprice) AS source_row FROM b),
+t AS (SELECT image, class_id, source_row AS line, x1 + 0.5 AS x1, y1 + 0.5 AS y1, x2 + 0.5 AS x2, y2 + 0.5 AS y2 FROM p WHERE source_row % 2 = 1),
+o AS (SELECT p.image, p.source_row, t.line, greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) AS both_, (p.x2 - p.x1) * (p.y2 - p.y1) AS a, (t.x2 - t.x1) * (t.y2 - t.y1) AS c FROM p JOIN t ON p.image = t.image AND p.class_id = t.class_id)"""
+
+
+@query(f"WITH {_BOXES} SELECT count(*) AS pairs, count(*) FILTER (both_ > 0) AS touching, round(sum(CASE WHEN a + c - both_ > 0 THEN both_ / (a + c - both_) ELSE 0 END), 4) AS total FROM o")
+def box_iou_join(spark, sf):
+    b = boxes_of(spark, sf)
+    p = b.select("image", "class_id", "source_row", *(F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")))
+    t = truth_of(b).select("image", "class_id", "line", *(F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")))
+    d = p.join(t, ["image", "class_id"]).withColumn("iou", box_iou("p_", "t_"))
+    return d.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("iou") > 0).alias("touching"), F.round(F.sum("iou"), 4).alias("total"))
+
+
+@query()
+def greedy_match_status(spark, sf):
+    b = boxes_of(spark, sf)
+    m = matching.greedy_match(b.withColumn("source_row", F.col("source_row").cast("long")), truth_of(b), P.iou_thresholds)
+    return m.groupBy("theta", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("matched_iou"), 6).alias("mean_iou"))
+
+
+@query()
+def view_matching(spark, sf):
+    b = boxes_of(spark, sf, every=10)
+    refs = b.select("image", F.lit(64.0).alias("width"), F.lit(80.0).alias("height"), "prediction_id", "class_id", "x1", "y1", "x2", "y2")
+    dets = b.where(F.col("source_row") % 3 != 0).select("image", "class_id", "x1", "y1", "x2", "y2", F.explode(F.array(*(F.lit(v["id"]) for v in stability.VIEWS))).alias("transform_id"))
+    audit = stability.match_views(refs, dets)
+    means = stability.two_level_means(audit, expected=len(stability.VIEWS))
+    return means.groupBy("evaluable_views", "evaluable_families").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("class_consistency_value"), 6).alias("class_consistency"), F.round(F.avg("localisation_stability_value"), 6).alias("localisation_stability"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS prediction_id, l_linenumber % 3 AS family, l_tax < 0.07 AS evaluable, (l_returnflag = 'N')::INT AS v FROM lineitem),
+f AS (SELECT prediction_id, family, count(*) FILTER (evaluable) AS views, avg(v) FILTER (evaluable) AS m FROM a GROUP BY ALL)
+SELECT prediction_id, sum(views)::BIGINT AS evaluable_views, count(*) FILTER (views > 0) AS evaluable_families, round(avg(m), 6) AS v FROM f GROUP BY 1""")
+def stability_two_level_mean(spark, sf):
+    a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("prediction_id"), (F.col("l_linenumber") % 3).alias("family"), (F.col("l_tax") < 0.07).alias("evaluable"), (F.col("l_returnflag") == "N").cast("int").alias("v"))
+    return rounded(stability.two_level_means(a, ("v",)), "v")
+
+
+# Near duplicates, groups, splits
+
+_HASH = """h AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > list_sort(embedding[2:64])[32] THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT AS hash FROM embeddings),
+pairs AS (SELECT a.id AS left_id, b.id AS right_id, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id % 2 = 0 AND b.id % 2 = 1 WHERE bit_count(xor(a.hash, b.hash)) <= 18)"""
+
+
+def hashes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), median_bits(F.col("embedding").cast("array<double>")).alias("hash"))
+
+
+def screened(spark: SparkSession, sf: str) -> DataFrame:
+    h = hashes(spark, sf)
+    return neardup.hamming_pairs(h.where("id % 2 = 0"), h.where("id % 2 = 1"), 18).withColumn("distance", F.col("distance").cast("int"))
+
+
+@query(f"WITH {_HASH} SELECT * FROM pairs")
+def hamming_screen(spark, sf):
+    return screened(spark, sf)
+
+
+@query(f"WITH {_HASH} SELECT right_id, left_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY distance, left_id) AS r FROM pairs) WHERE r = 1")
+def nearest_hamming(spark, sf):
+    return neardup.nearest(screened(spark, sf), "right_id", "left_id")
+
+
+@query("""SELECT tier_A, tier_B, tier_C, count(*) AS n FROM (SELECT l_tax <= 0.01 AND 1 - l_discount >= 0.99 AS tier_A, l_tax <= 0.02 AND 1 - l_discount >= 0.98 AND l_linenumber <= 6 AS tier_B, l_tax <= 0.03 AND 1 - l_discount >= 0.97 AND l_linenumber <= 6 AS tier_C FROM lineitem) GROUP BY ALL""")
+def near_dup_tiers(spark, sf):
+    d = table(spark, sf, "lineitem").select(F.col("l_tax").alias("original_mae"), (1 - F.col("l_discount")).alias("original_pearson"), F.col("l_linenumber").alias("phash_distance"))
+    return neardup.tiers(d, P.tiers).groupBy("tier_A", "tier_B", "tier_C").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT sha256(text) AS digest, count(*) AS files, CASE WHEN min(lang) = max(lang) THEN 'within_' || min(lang) ELSE 'cross_split' END AS kind FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1""")
+def exact_duplicates(spark, sf):
+    return neardup.exact_duplicates(table(spark, sf, "documents").select(F.sha2("text", 256).alias("digest"), F.col("lang").alias("split")))
+
+
+_EDGES = "e AS (SELECT DISTINCT o_custkey AS a, o_custkey - o_custkey % 7 AS b FROM orders WHERE o_orderstatus = 'P')"
+_REACH = f"""{_EDGES}, s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r(node, seen) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen), comps AS (SELECT node, min(seen) AS component FROM r GROUP BY node)"""
+
+
+def order_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - F.col("o_custkey") % 7).alias("b")).distinct()
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT * FROM comps")
+def similarity_components(spark, sf):
+    return connected_components(order_edges(spark, sf), "a", "b")
+
+
+@query(f"WITH RECURSIVE {_REACH}, g AS (SELECT c_custkey AS image, coalesce(component, c_custkey) AS component FROM customer LEFT JOIN comps ON node = c_custkey) SELECT component, count(*) AS size, sha256(string_agg(image::VARCHAR, chr(10) ORDER BY image::VARCHAR)) AS component_id FROM g GROUP BY component HAVING count(*) > 1")
+def group_composition(spark, sf):
+    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("image"))
+    e = order_edges(spark, sf)
+    known = e.join(nodes.select(F.col("image").alias("a")), "a", "left_semi").join(nodes.select(F.col("image").alias("b")), "b", "left_semi").select("a", "b")
+    # Edges to customers that do not exist still link the others; the plain components keep them.
+    del known
+    c = connected_components(e, "a", "b").withColumnRenamed("node", "image")
+    g = nodes.join(c, "image", "left").withColumn("component", F.coalesce("component", "image"))
+    return splits.component_ids(g).where("size > 1")
+
+
+@query()
+def grouped_folds(spark, sf):
+    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("image"))
+    pairs = nodes.select(F.col("image").alias("left"), (F.col("image") - F.col("image") % 5 + 1).alias("right")).where("left > right").join(nodes.select(F.col("image").alias("right")), "right", "left_semi").select("left", "right")
+    folds = splits.grouped_folds(splits.groups_of(nodes, pairs), P.folds, P.seed)
+    return folds.groupBy("fold_id").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("component_id").alias("groups"))
+
+
+@query(f"WITH {_POP}, s AS (SELECT class_id, CASE WHEN image % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM pop) SELECT split, class_id, count(*) AS \"count\", round(100 * count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS percentage FROM s GROUP BY split, class_id")
+def class_distribution(spark, sf):
+    return rounded(splits.class_shares(_split(spark, sf), "split", "class_id"), "percentage")
+
+
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    return population(spark, sf).withColumn("split", F.when(F.col("image") % 5 == 0, "val").otherwise("train"))
+
+
+@query(f"WITH {_POP}, s AS (SELECT class_id, image % 5 = 0 AS val FROM pop), t AS (SELECT class_id, 100 * count(*) FILTER (NOT val) / (SELECT count(*) FROM s WHERE NOT val) AS train, 100 * count(*) FILTER (val) / (SELECT count(*) FROM s WHERE val) AS val FROM s GROUP BY 1) SELECT class_id, round(train, 6) AS train, round(val, 6) AS val, round(abs(train - val), 6) AS difference FROM t")
+def class_balance(spark, sf):
+    return rounded(splits.share_difference(_split(spark, sf), "split", "class_id", "train", "val"), "train", "val", "difference")
+
+
+@query(f"WITH {_POP} SELECT class_id, count(*) FILTER (image % 5 <> 0) AS train, count(*) FILTER (image % 5 = 0) AS val FROM pop GROUP BY 1")
+def split_crosstab(spark, sf):
+    return splits.crosstab(_split(spark, sf), "class_id", "split", ["train", "val"])
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS image, CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'val' END AS split FROM orders), n AS (SELECT c_custkey AS image FROM customer WHERE c_custkey % 3 > 0), g AS (SELECT image, image // 4 AS component FROM n)
+SELECT 'assigned_twice' AS problem, count(*) AS n FROM (SELECT image FROM a GROUP BY 1 HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'unknown', count(*) FROM a WHERE image NOT IN (SELECT image FROM n)
+UNION ALL SELECT 'missing', count(*) FROM n WHERE image NOT IN (SELECT image FROM a) UNION ALL SELECT 'group_cut', count(*) FROM (SELECT component FROM a JOIN g USING (image) GROUP BY 1 HAVING min(split) <> max(split))""")
+def split_integrity(spark, sf):
+    a = table(spark, sf, "orders").select(F.col("o_custkey").alias("image"), F.when(F.col("o_orderstatus") == "F", "train").otherwise("val").alias("split")).distinct()
+    n = table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("image"))
+    return splits.split_problems(a, n, n.withColumn("component", F.expr("image div 4")))
+
+
+@query("SELECT c_custkey AS image, CASE WHEN c_custkey % 2 = 0 THEN 'train' ELSE 'val' END AS split, CASE WHEN c_custkey % 6 < 2 THEN 'val' WHEN c_custkey % 2 = 0 THEN 'train' ELSE 'val' END AS new_split, c_custkey % 6 < 2 AND c_custkey % 2 = 0 AS changed FROM customer")
+def moved_images(spark, sf):
+    n = table(spark, sf, "customer").select(F.col("c_custkey").alias("image"))
+    a = n.withColumn("split", F.when(F.col("image") % 2 == 0, "train").otherwise("val"))
+    return splits.reassigned(a, n.where("image % 6 < 2").withColumn("split", F.lit("val")))
+
+
+@query("""SELECT o_orderkey AS stem, 'image_without_label' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'label_without_image' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def unpaired_keys(spark, sf):
+    from assaykit.sources.scans import unpaired
+
+    return unpaired(table(spark, sf, "orders").select(F.col("o_orderkey").alias("stem")), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("stem")).distinct())
+
+
+@query("""WITH v AS (SELECT [count(*) FILTER (c_custkey % 10 = g AND c_mktsegment = 'BUILDING'), count(*) FILTER (c_custkey % 10 = g AND c_mktsegment = 'MACHINERY'), count(*) FILTER (c_custkey % 10 = g AND c_mktsegment = 'FURNITURE')] AS v, g FROM customer, range(10) r(g) GROUP BY g),
+s AS (SELECT m.range AS mask, sum(v[1]) FILTER (m.range & (1 << g::INT) > 0) AS p1, sum(v[2]) FILTER (m.range & (1 << g::INT) > 0) AS p2, sum(v[3]) FILTER (m.range & (1 << g::INT) > 0) AS p3, sum(v[1]) AS t1, sum(v[2]) AS t2, sum(v[3]) AS t3 FROM range(1024) m, v WHERE bit_count(m.range) IN (4, 5) GROUP BY m.range),
+d AS (SELECT mask, abs(100 * p1 / (p1 + p2 + p3) - 100 * (t1 - p1) / (t1 + t2 + t3 - p1 - p2 - p3)) AS d1, abs(100 * p2 / (p1 + p2 + p3) - 100 * (t2 - p2) / (t1 + t2 + t3 - p1 - p2 - p3)) AS d2, abs(100 * p3 / (p1 + p2 + p3) - 100 * (t3 - p3) / (t1 + t2 + t3 - p1 - p2 - p3)) AS d3 FROM s)
+SELECT count(*) AS subsets, round(min((d1 + d2 + d3) / 3), 6) AS best_mean, round(min(greatest(d1, d2, d3)), 6) AS best_max FROM d""")
+def exhaustive_allocation(spark, sf):
+    seg = ["BUILDING", "MACHINERY", "FURNITURE"]
+    rows = table(spark, sf, "customer").groupBy((F.col("c_custkey") % 10).alias("g")).agg(*(F.count_if(F.col("c_mktsegment") == s).alias(s) for s in seg)).orderBy("g").collect()
+    d = splits.best_allocation(spark, [tuple(r[s] for s in seg) for r in rows], (4, 5))
+    return d.agg(F.count(F.lit(1)).alias("subsets"), F.round(F.min("mean_difference"), 6).alias("best_mean"), F.round(F.min("max_difference"), 6).alias("best_max"))
+
+
+# Validation, logs, resampling
+
+_LINES = "l AS (SELECT CASE l_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN '1 0.5 0.5' WHEN 2 THEN 'x 0.5 0.5 0.1 0.1' WHEN 3 THEN '9.5 0.5 0.5 0.1 0.1' WHEN 4 THEN '1 0.5 0.5 0 0.1' WHEN 5 THEN '1 1.5 0.5 0.1 0.1' WHEN 6 THEN '1 0.5 0.5 1.1 0.1' ELSE (l_partkey % 9)::VARCHAR || ' 0.5 0.25  0.1 0.2' END AS line FROM lineitem)"
+
+
+@query(f"""WITH {_LINES} SELECT CASE WHEN line = '' THEN 'empty_line' WHEN line LIKE '1 0.5 0.5' THEN 'expected_5_values_got_3' WHEN line LIKE 'x%' THEN 'non_numeric' WHEN line LIKE '9.5%' THEN 'non_integer_class' WHEN line LIKE '%0.5 0 0.1' THEN 'non_positive_box_size'
+WHEN line LIKE '1 1.5%' THEN 'center_outside_normalized_range' WHEN line LIKE '%1.1 0.1' THEN 'size_outside_normalized_range' END AS issue, count(*) AS n FROM l GROUP BY 1""")
+def annotation_issue_codes(spark, sf):
+    k = F.col("l_orderkey") % 11
+    line = F.lit(None)
+    for i, text in enumerate(("", "1 0.5 0.5", "x 0.5 0.5 0.1 0.1", "9.5 0.5 0.5 0.1 0.1", "1 0.5 0.5 0 0.1", "1 1.5 0.5 0.1 0.1", "1 0.5 0.5 1.1 0.1")):
+        line = F.when(k == i, text) if i == 0 else line.when(k == i, text)
+    d = table(spark, sf, "lineitem").select(line.otherwise(F.concat((F.col("l_partkey") % 9).cast("string"), F.lit(" 0.5 0.25  0.1 0.2"))).alias("line"))
+    return d.groupBy(validate.annotation_issue(F.col("line"), 9).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_POP} SELECT * FROM (SELECT 'confidence' AS expectation, count(*) FILTER (NOT raw_confidence BETWEEN 0.05 AND 1) AS failures FROM pop UNION ALL SELECT 'class_id', count(*) FILTER (NOT class_id BETWEEN 0 AND 7) FROM pop)")
+def expectation_audit(spark, sf):
+    rules = [validate.Expectation("confidence", F.col("raw_confidence").between(0.05, 1)), validate.Expectation("class_id", F.col("class_id").between(0, 7))]
+    return validate.audit(population(spark, sf), rules)
+
+
+@query("""WITH m AS (SELECT event_type, user_id % 5 AS seed, avg(value) AS v FROM events GROUP BY ALL) SELECT event_type, count(*) AS seeds, round(avg(v), 6) AS mean, round(CASE WHEN count(*) = 5 THEN stddev_samp(v) END, 6) AS std FROM m GROUP BY 1""")
+def seed_aggregate(spark, sf):
+    m = table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("v"))
+    return rounded(m.groupBy("event_type").agg(F.count(F.lit(1)).alias("seeds"), F.avg("v").alias("mean"), F.when(F.count(F.lit(1)) == 5, F.stddev_samp("v")).alias("std")), "mean", "std")
+
+
+@query("""WITH m AS (SELECT event_type, user_id % 5 AS seed, avg(value) FILTER (event_id % 2 = 1) - avg(value) FILTER (event_id % 2 = 0) AS d FROM events GROUP BY ALL)
+SELECT event_type, count(d) AS n, round(avg(d), 6) AS mean, round(avg(d) - 2.7764451051977987 * stddev_samp(d) / sqrt(count(d)), 6) AS lower_95, round(avg(d) + 2.7764451051977987 * stddev_samp(d) / sqrt(count(d)), 6) AS upper_95 FROM m GROUP BY 1""")
+def paired_summary_ci(spark, sf):
+    odd = F.col("event_id") % 2 == 1
+    m = table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg((F.avg(F.when(odd, F.col("value"))) - F.avg(F.when(~odd, F.col("value")))).alias("d"))
+    half = F.lit(2.7764451051977987) * F.stddev_samp("d") / F.sqrt(F.count("d"))
+    return rounded(m.groupBy("event_type").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.avg("d") - half).alias("lower_95"), (F.avg("d") + half).alias("upper_95")), "mean", "lower_95", "upper_95")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_tax, l_discount FROM lineitem ORDER BY l_tax, l_discount DESC, l_extendedprice, l_orderkey, l_linenumber LIMIT 30")
+def topk_candidates(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax", "l_discount")
+    return d.orderBy("l_tax", F.desc_nulls_last("l_discount"), "l_extendedprice", "l_orderkey", "l_linenumber").limit(30)
+
+
+_DRAWS = "draws AS (SELECT r.range AS replicate, o_orderkey AS image, (o_orderkey * 31 + r.range * 17) % 4 AS multiplicity FROM orders, range(20) r WHERE (o_orderkey * 31 + r.range * 17) % 4 > 0)"
+
+
+def fixed_draws(spark: SparkSession, sf: str, replicates: int = 20) -> DataFrame:
+    """Multiplicities by rule, so that SQL can draw the same."""
+    m = (F.col("o_orderkey") * 31 + F.col("replicate") * 17) % 4
+    d = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
+    return d.select("replicate", F.col("o_orderkey").alias("image"), m.alias("multiplicity")).where("multiplicity > 0")
+
+
+@query(f"WITH {_POP}, {_DRAWS}, w AS (SELECT replicate, multiplicity, incorrect, 1 - calibrated_confidence AS risk FROM pop JOIN draws USING (image)), {_auroc_sql('w', 'replicate', weight='multiplicity')} SELECT round(avg(auroc), 6) AS bootstrap_mean, round(quantile_cont(auroc, 0.025), 6) AS lower_95, round(quantile_cont(auroc, 0.975), 6) AS upper_95, count(auroc) AS valid_replicates, count(*) - count(auroc) AS invalid_replicates FROM ranked")
+def bootstrap_interval(spark, sf):
+    w = bootstrap.resampled(population(spark, sf).select("image", "incorrect", (1 - F.col("calibrated_confidence")).alias("risk")), fixed_draws(spark, sf))
+    return rounded(bootstrap.interval(ranking.auroc_ap(w, ["replicate"], "risk", "incorrect", "multiplicity"), [], "auroc"), "bootstrap_mean", "lower_95", "upper_95")
+
+
+@query(f"WITH {_POP}, {_DRAWS} SELECT replicate, round(sum(multiplicity * (raw_confidence - correct) ** 2) / sum(multiplicity), 6) AS brier FROM pop JOIN draws USING (image) GROUP BY 1")
+def loss_bootstrap(spark, sf):
+    d = calibration.add_losses(population(spark, sf), "raw_confidence", "correct")
+    return rounded(bootstrap.loss_bootstrap(d.select("image", "brier"), fixed_draws(spark, sf), [], ["brier"]), "brier")
+
+
+@query()
+def paired_ranking_bootstrap(spark, sf):
+    c = risk.risk_columns(P.weights)
+    names = ["calibrated_risk", "equal_risk", "weighted_risk"]
+    d = population(spark, sf).select("image", "incorrect", *(c[n].alias(n) for n in names))
+    images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))
+    s = bootstrap.ranking_bootstrap(d, spark, images, names, "incorrect", 256, P.seed)
+    return rounded(bootstrap.interval(s, ["method"], "auroc"), "bootstrap_mean", "lower_95", "upper_95")
+
+
+@query("""WITH t AS (SELECT user_id % 2 AS pipeline, user_id // 2 % 5 AS repetition, sum(value) AS seconds, count(*) AS crops FROM events GROUP BY ALL), s AS (SELECT pipeline, avg(seconds) AS seconds, stddev_samp(seconds) AS std, sum(crops) / sum(seconds) AS throughput FROM t GROUP BY 1)
+SELECT pipeline, round(seconds, 6) AS mean_seconds, round(std, 6) AS std_seconds, round(throughput, 6) AS throughput, round(seconds / (SELECT seconds FROM s WHERE pipeline = 0), 6) AS overhead FROM s""")
+def benchmark_summary(spark, sf):
+    t = table(spark, sf, "events").groupBy((F.col("user_id") % 2).alias("pipeline"), (F.expr("user_id div 2") % 5).alias("repetition")).agg(F.sum("value").alias("seconds"), F.count(F.lit(1)).alias("crops"))
+    s = t.groupBy("pipeline").agg(F.avg("seconds").alias("mean_seconds"), F.stddev_samp("seconds").alias("std_seconds"), (F.sum("crops") / F.sum("seconds")).alias("throughput"))
+    base = F.max(F.when(F.col("pipeline") == 0, F.col("mean_seconds"))).over(Window.partitionBy())
+    return rounded(s.withColumn("overhead", F.col("mean_seconds") / base), "mean_seconds", "std_seconds", "throughput", "overhead")
+
+
+@query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
+def json_props_extract(spark, sf):
+    k = F.from_json("props", "k bigint")["k"]
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
