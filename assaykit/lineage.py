@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return the reread frame."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and checkpoints that nothing refers to any more.
+
+    Its cleaner acts when the driver's garbage is collected, which a short driver program may never see; between the
+    steps of a long operator this keeps the disk that is used to that of one step.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

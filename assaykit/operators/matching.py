@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,25 +14,33 @@ from assaykit.functions.geometry import iou_matrix
 _MATCH = "image string, class_id int, source_row long, theta double, correct int, status string, gt_id string, matched_iou double, best_unused_iou double, best_same_class_iou double"
 
 
-def _greedy(pred: pd.DataFrame, truth: pd.DataFrame, thetas: tuple[float, ...]) -> pd.DataFrame:
-    pred = pred.sort_values(["confidence", "source_row"], ascending=[False, True], kind="stable")
-    truth = truth.sort_values("line", kind="stable")
-    box = ["x1", "y1", "x2", "y2"]
-    ious = iou_matrix(pred[box].to_numpy(float), truth[box].to_numpy(float))
+_KINDS = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+
+
+def _greedy(image: str, cls: int, pred: list[dict], truth: list[dict], thetas: tuple[float, ...]) -> list[tuple]:
+    pred = sorted(pred, key=lambda r: (-r["confidence"], r["source_row"]))
+    box = lambda rows: np.array([[r["x1"], r["y1"], r["x2"], r["y2"]] for r in rows], float).reshape(-1, 4)
+    ious = iou_matrix(box(pred), box(truth)).tolist()
     out = []
     for theta in thetas:
-        free = np.ones(len(truth), bool)
-        for i, (image, cls, row) in enumerate(zip(pred["image"], pred["class_id"], pred["source_row"])):
-            best = ious[i].max() if len(truth) else None
-            open_ = np.flatnonzero(free)
-            top = open_[ious[i][open_].argmax()] if len(open_) else None
-            unused = None if top is None else ious[i, top]
+        free = list(range(len(truth)))
+        for r, row in zip(pred, ious):
+            best = max(row, default=None)
+            top = max(free, key=lambda j: row[j], default=None)  # noqa: B023
+            unused = None if top is None else row[top]
             hit = top is not None and unused >= theta
             if hit:
-                free[top] = False
+                free.remove(top)
             status = "matched" if hit else "duplicate" if best is not None and best >= theta else "unmatched"
-            out.append((image, cls, row, theta, int(hit), status, truth["gt_id"].iloc[top] if hit else None, unused if hit else None, unused, best))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _MATCH.split(", ")])
+            out.append((image, cls, r["source_row"], theta, int(hit), status, truth[top]["gt_id"] if hit else None, unused if hit else None, unused, best))
+    return out
+
+
+def paired_lists(left: DataFrame, right: DataFrame, keys: list[str], own: list[str], other: list[str]) -> DataFrame:
+    """``keys, own, other``: both sides' rows of each key of ``left`` as arrays of structs; ``other`` may be null."""
+    a = left.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("own"))
+    b = right.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*other))).alias("other"))
+    return a.join(b, keys, "left")
 
 
 def greedy_match(predictions: DataFrame, truth: DataFrame, thetas: tuple[float, ...] = (0.5, 0.75)) -> DataFrame:
@@ -38,15 +48,20 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, thetas: tuple[float,
 
     Within an image and class, predictions come by confidence (ties by ``source_row``); each takes the free true box with
     the largest overlap (ties: the first ``line``) and is correct if that reaches the threshold. A prediction whose
-    best box is taken is a duplicate. Thresholds are judged apart. Images without truth leave all unmatched.
+    best box is taken is a duplicate. Thresholds are judged apart. Images without truth leave all unmatched. The boxes
+    of one image and class meet in one row; a task works through Arrow batches of such rows.
     """
-    p = predictions.select("image", "class_id", "source_row", "confidence", "x1", "y1", "x2", "y2")
-    t = truth.select("image", "class_id", "gt_id", "line", "x1", "y1", "x2", "y2").toDF("t_image", "t_class_id", "gt_id", "line", "t_x1", "t_y1", "t_x2", "t_y2")
+    own = ["source_row", "confidence", "x1", "y1", "x2", "y2"]
+    d = paired_lists(predictions, truth, ["image", "class_id"], own, ["line", "gt_id", "x1", "y1", "x2", "y2"])
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _greedy(left, right.rename(columns={f"t_{c}": c for c in ("x1", "y1", "x2", "y2")}), thetas)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for image, cls, p, t in zip(*(c.to_pylist() for c in batch.columns)):
+                out += _greedy(image, cls, p, t or [], thetas)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(_KINDS)], [c.split()[0] for c in _MATCH.split(", ")])
 
-    return p.groupBy("image", "class_id").cogroup(t.groupBy("t_image", "t_class_id")).applyInPandas(kernel, _MATCH)
+    return d.select("image", "class_id", "own", "other").mapInArrow(kernel, _MATCH)
 
 
 def overlap_pairs(predictions: DataFrame, truth: DataFrame, iou, least: float = 0.0) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.geometry import corners, inside_frame, map_points, polygon_iou, view_matrix
-from assaykit.operators.matching import assign
+from assaykit.functions.geometry import corners, inside_frame, iou_matrix, map_points, polygon_iou, view_matrix
+from assaykit.operators.matching import assign, paired_lists
 
 #: id, family, and what the view does; geometry is an angle or a shift in parts of the image size.
 VIEWS: tuple[dict, ...] = (
@@ -41,39 +42,52 @@ def match_views(references: DataFrame, detections: DataFrame, views: tuple[dict,
     unchanged geometry always is. Detections are mapped back, numbered by box, and assigned to references whatever
     their class: as many as can be at ``least`` overlap, then the largest overlap. Unmatched counts 0 for both values.
     """
-    table = {v["id"]: v for v in views}
-    refs = references.select("image", "width", "height", "prediction_id", F.col("class_id").alias("r_class"), F.array("x1", "y1", "x2", "y2").alias("r_box"))
-    dets = detections.select(F.col("image").alias("d_image"), "transform_id", F.col("class_id").alias("d_class"), F.array("x1", "y1", "x2", "y2").alias("d_box"))
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        left = left.sort_values("prediction_id", kind="stable")
-        for name, view in table.items():
-            if not len(left):
-                continue
-            w, h = float(left["width"].iloc[0]), float(left["height"].iloc[0])
-            m = matrix_of(view, w, h)
-            back = np.linalg.inv(m)
-            moved = "degrees" in view or "shift" in view
-            polygons = [corners(b) for b in left["r_box"]]
-            judged = [i for i, p in enumerate(polygons) if not moved or inside_frame(map_points(p, m), w, h)]
-            own = sorted(((tuple(b), c) for b, c in zip(right.loc[right["transform_id"] == name, "d_box"], right.loc[right["transform_id"] == name, "d_class"])))
-            mapped = [map_points(corners(b), back) for b, _ in own]
-            iou = np.array([[polygon_iou(polygons[i], q) for q in mapped] for i in judged]).reshape(len(judged), len(mapped))
-            pairs = assign(iou, least)
-            for i, (image, pid, cls) in enumerate(zip(left["image"], left["prediction_id"], left["r_class"])):
-                if i not in judged:
-                    out.append((image, pid, name, view["family"], False, "not_evaluable", None, None, None, None, None))
-                    continue
-                k = judged.index(i)
-                if k in pairs:
-                    d = pairs[k]
-                    out.append((image, pid, name, view["family"], True, "matched", d, float(iou[k, d]), int(own[d][1] == cls), float(iou[k, d]), json.dumps(mapped[d].round(6).tolist())))
-                else:
-                    out.append((image, pid, name, view["family"], True, "unmatched", None, None, 0, 0.0, None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _AUDIT.split(", ")]).astype({"detection_id": "Int32", "class_consistency_value": "Int32"})
-
-    return refs.groupBy("image").cogroup(dets.groupBy("d_image")).applyInPandas(kernel, _AUDIT)
+    refs = references.select("image", "width", "height", "prediction_id", "class_id", F.array("x1", "y1", "x2", "y2").alias("box"))
+    dets = detections.select("image", "transform_id", "class_id", F.array("x1", "y1", "x2", "y2").alias("box"))
+    d = paired_lists(refs, dets, ["image"], ["prediction_id", "width", "height", "class_id", "box"], ["transform_id", "box", "class_id"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r for image, own, other in zip(*(c.to_pylist() for c in batch.columns)) for view in views for r in _match_view(image, own, other or [], view, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(_KINDS)], [c.split()[0] for c in _AUDIT.split(", ")])
+
+    return d.select("image", "own", "other").mapInArrow(kernel, _AUDIT)
+
+
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.string())
+
+
+def _match_view(image: str, own: list[dict], detections: list[dict], view: dict, least: float) -> list[tuple]:
+    w, h = float(own[0]["width"]), float(own[0]["height"])
+    moved = "degrees" in view or "shift" in view
+    m = matrix_of(view, w, h)
+    judged = [i for i, r in enumerate(own) if not moved or inside_frame(map_points(corners(r["box"]), m), w, h)]
+    seen = [r for r in detections if r["transform_id"] == view["id"]]
+    if moved:
+        back = np.linalg.inv(m)
+        mapped = [map_points(corners(r["box"]), back) for r in seen]
+        # Boxes whose frames do not touch cannot overlap; without a turn, the frames are the boxes.
+        frames = np.array([[*q.min(0), *q.max(0)] for q in mapped]).reshape(-1, 4)
+        iou = iou_matrix(np.array([own[i]["box"] for i in judged], float).reshape(-1, 4), frames)
+        for i, j in zip(*np.nonzero(iou)) if view.get("degrees") else ():
+            iou[i, j] = polygon_iou(corners(own[judged[i]]["box"]), mapped[j])
+    else:
+        mapped = [corners(r["box"]) for r in seen]
+        iou = iou_matrix(np.array([own[i]["box"] for i in judged], float).reshape(-1, 4), np.array([r["box"] for r in seen], float).reshape(-1, 4))
+    pairs = assign(iou, least)
+    place = {i: k for k, i in enumerate(judged)}
+    out = []
+    for i, r in enumerate(own):
+        head = (image, r["prediction_id"], view["id"], view["family"])
+        if i not in place:
+            out.append((*head, False, "not_evaluable", None, None, None, None, None))
+        elif place[i] in pairs:
+            j = pairs[place[i]]
+            value = float(iou[place[i], j])
+            out.append((*head, True, "matched", j, value, int(seen[j]["class_id"] == r["class_id"]), value, json.dumps(mapped[j].round(6).tolist())))
+        else:
+            out.append((*head, True, "unmatched", None, None, 0, 0.0, None))
+    return out
 
 
 def two_level_means(audit: DataFrame, values: tuple[str, ...] = ("class_consistency_value", "localisation_stability_value"), expected: int | None = None) -> DataFrame:

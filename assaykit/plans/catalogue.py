@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import bin_of, box_iou, median_bits, ratio
+from assaykit.lineage import cut
 from assaykit.operators import bootstrap, calibration, matching, neardup, ranking, review, risk, splits, stability, validate
 from assaykit.operators.graph import connected_components
 from assaykit.protocol import Protocol
-from assaykit.sources.scans import numbered
+from assaykit.sources.scans import numbered, unpaired
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -216,7 +217,7 @@ _CROPS = f"""WITH {_RISKS}, m AS (SELECT DISTINCT method FROM risks),
 a AS (SELECT image, method, count(*) AS predictions, sum(incorrect) AS errors, max(risk) AS crop_risk FROM risks GROUP BY ALL),
 crops AS (SELECT o_orderkey AS image, m.method, coalesce(predictions, 0) AS predictions, coalesce(errors, 0) AS errors, crop_risk FROM orders CROSS JOIN m LEFT JOIN a ON a.image = o_orderkey AND a.method = m.method)"""
 _THRESHOLDS = f"""{_CROPS}, b AS (SELECT unnest([5, 10, 20]) AS budget_percent),
-n AS (SELECT method, budget_percent, floor(count(*) * budget_percent / 100)::BIGINT AS nominal_crops FROM crops, b GROUP BY ALL),
+n AS (SELECT method, budget_percent, floor(count(*) * budget_percent / 100)::BIGINT AS nominal_crops FROM crops, b GROUP BY method, budget_percent),
 o AS (SELECT method, crop_risk, row_number() OVER (PARTITION BY method ORDER BY crop_risk DESC) - 1 AS place FROM crops WHERE crop_risk IS NOT NULL),
 thresholds AS (SELECT n.method, budget_percent, nominal_crops, coalesce(crop_risk, -1) AS threshold FROM n LEFT JOIN o ON o.method = n.method AND place = nominal_crops)"""
 
@@ -242,8 +243,6 @@ SELECT method, budget_percent, count(*) FILTER (sent) AS referred_crops, coalesc
   round((sum(errors) - coalesce(sum(errors) FILTER (sent), 0)) / nullif(sum(predictions) - coalesce(sum(predictions) FILTER (sent), 0), 0), 6) AS automatic_error_rate,
   round(count(*) FILTER (sent) / count(*) * sum(errors), 4) AS random_errors FROM s GROUP BY ALL""")
 def referral_metrics(spark, sf):
-    from assaykit.lineage import cut
-
     crops = cut(crops_of(spark, sf))
     m = review.referral_metrics(crops, review.review_thresholds(crops, ["method"], P.budgets), ["method"])
     m = m.select("method", "budget_percent", "referred_crops", "referred_predictions", "captured_errors", "crop_workload", "error_capture", "automatic_error_rate", "random_errors")
@@ -271,8 +270,6 @@ def grid_weight_search(spark, sf):
 
 @query(f"{_GRID}, x AS (SELECT * FROM evaluated WHERE mean_ap >= (SELECT max(mean_ap) - 1e-12 FROM evaluated)) SELECT conf, cls, loc FROM x WHERE mean_auroc >= (SELECT max(mean_auroc) - 1e-12 FROM x) ORDER BY distance, conf, loc, cls LIMIT 1")
 def weight_selection(spark, sf):
-    from assaykit.lineage import cut
-
     return risk.select_weights(cut(_evaluated(spark, sf))).select("conf", "cls", "loc")
 
 
@@ -389,11 +386,8 @@ def similarity_components(spark, sf):
 @query(f"WITH RECURSIVE {_REACH}, g AS (SELECT c_custkey AS image, coalesce(component, c_custkey) AS component FROM customer LEFT JOIN comps ON node = c_custkey) SELECT component, count(*) AS size, sha256(string_agg(image::VARCHAR, chr(10) ORDER BY image::VARCHAR)) AS component_id FROM g GROUP BY component HAVING count(*) > 1")
 def group_composition(spark, sf):
     nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("image"))
-    e = order_edges(spark, sf)
-    known = e.join(nodes.select(F.col("image").alias("a")), "a", "left_semi").join(nodes.select(F.col("image").alias("b")), "b", "left_semi").select("a", "b")
-    # Edges to customers that do not exist still link the others; the plain components keep them.
-    del known
-    c = connected_components(e, "a", "b").withColumnRenamed("node", "image")
+    # Edges to customers that do not exist still link the others.
+    c = connected_components(order_edges(spark, sf), "a", "b").withColumnRenamed("node", "image")
     g = nodes.join(c, "image", "left").withColumn("component", F.coalesce("component", "image"))
     return splits.component_ids(g).where("size > 1")
 
@@ -443,8 +437,6 @@ def moved_images(spark, sf):
 
 @query("""SELECT o_orderkey AS stem, 'image_without_label' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'label_without_image' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
 def unpaired_keys(spark, sf):
-    from assaykit.sources.scans import unpaired
-
     return unpaired(table(spark, sf, "orders").select(F.col("o_orderkey").alias("stem")), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("stem")).distinct())
 
 
@@ -468,10 +460,10 @@ _LINES = "l AS (SELECT CASE l_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN '1 0.5 0.
 WHEN line LIKE '1 1.5%' THEN 'center_outside_normalized_range' WHEN line LIKE '%1.1 0.1' THEN 'size_outside_normalized_range' END AS issue, count(*) AS n FROM l GROUP BY 1""")
 def annotation_issue_codes(spark, sf):
     k = F.col("l_orderkey") % 11
-    line = F.lit(None)
+    line = F.concat((F.col("l_partkey") % 9).cast("string"), F.lit(" 0.5 0.25  0.1 0.2"))
     for i, text in enumerate(("", "1 0.5 0.5", "x 0.5 0.5 0.1 0.1", "9.5 0.5 0.5 0.1 0.1", "1 0.5 0.5 0 0.1", "1 1.5 0.5 0.1 0.1", "1 0.5 0.5 1.1 0.1")):
-        line = F.when(k == i, text) if i == 0 else line.when(k == i, text)
-    d = table(spark, sf, "lineitem").select(line.otherwise(F.concat((F.col("l_partkey") % 9).cast("string"), F.lit(" 0.5 0.25  0.1 0.2"))).alias("line"))
+        line = F.when(k == i, text).otherwise(line)
+    d = table(spark, sf, "lineitem").select(line.alias("line"))
     return d.groupBy(validate.annotation_issue(F.col("line"), 9).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
 
 
