@@ -45,7 +45,7 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in float64 where no sum can leave its exact range, else in whole numbers."""
     if not q.size or not x.size or q.shape[1] * float(np.abs(q).max()) * float(np.abs(x).max()) < 2.0**52:
         return (q @ x.T).astype(np.int64)
-    return (q.astype(object) @ x.T.astype(object)).astype(np.int64)
+    return (q.astype(np.int64).astype(object) @ x.T.astype(np.int64).astype(object)).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_modulus: int = 50, scale: int = 256, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
