@@ -11,6 +11,7 @@ extensions, to the right among all that agree equally far to the left.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cmp_to_key
 from hashlib import sha256
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut
+from assaykit.lineage import cut, release
 from assaykit.llm.common import among
 from assaykit.llm.wordhash import mix, string_buffer
 
@@ -32,7 +33,7 @@ GRAM, PIECE = 64, (1 << 20) - 4096
 #: Groups of up to so many contexts are compared pair by pair in one vectorised step; larger ones are sorted.
 PAIRWISE = 12
 #: Groups beyond this many different contexts are taken apart by window hashes in Spark instead of in one task.
-LOCAL = 8_192
+LOCAL = 4_096
 _VALUE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _powers: dict[int, np.ndarray] = {}
 
@@ -111,7 +112,7 @@ class _Context:
 
     def __init__(self, left: bytes, right: bytes):
         self.sides = (left[::-1], right)
-        self.hashes = tuple(prefix_hashes(np.frombuffer(s, np.uint8)).tolist() for s in self.sides)
+        self.hashes = tuple(array("Q", prefix_hashes(np.frombuffer(s, np.uint8)).tobytes()) for s in self.sides)
 
     def common(self, other: _Context, side: int) -> int:
         """How far both agree, by binary search over prefix hashes, verified on the bytes."""
@@ -224,7 +225,7 @@ def _solve(length: int):
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["t", "n", "a", "b"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        rows = (r for b in batches for i in range(0, b.num_rows, 512) for r in zip(*(c.to_pylist() for c in b.slice(i, 512).columns)))
         small: list[tuple] = []
         pairs: list[tuple[int, int]] = []
 
@@ -263,7 +264,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, n, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for t, n, text, at in (r for i in range(0, batch.num_rows, 256) for r in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns))):
                 raw = text.encode()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["h"] for x in at], pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array([n] * len(at), pa.int32()), pa.array([x["pos"] for x in at], pa.int32()), pa.array([x["alone"] for x in at], pa.bool_()), pa.array([raw[max(0, x["pos"] - span) : x["pos"]] for x in at], pa.binary()), pa.array([raw[x["pos"] : x["pos"] + length] for x in at], pa.binary())],
@@ -306,6 +307,7 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
     grams = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1"))
     # Equal contexts: all of each is covered, if it holds a whole string.
     shared = cut(among(rows, "h", grams.select("h"), 26).join(grams.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h").groupBy("h", "c", "mixed").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "n", "pos")).alias("at")))
+    release(docs.sparkSession)
     equal = shared.where("k > 1").select("h", "c")
     span = length - GRAM
     lo, hi = F.greatest(F.col("pos") - span, F.lit(0)), F.least(F.col("pos") + length, F.col("n"))
@@ -322,11 +324,14 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
     else:
         contexts = cut(contexts)
         near, far = contexts.join(F.broadcast(large), "h", "left_anti"), contexts.join(large, "h", "left_semi")
-    found = near.repartition("h").sortWithinPartitions("h", "t", "pos").mapInArrow(_solve(length), "t long, n int, a long, b long")
+    # A fixed number of tasks: the work follows the rows, not their bytes.
+    found = near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "t", "pos").mapInArrow(_solve(length), "t long, n int, a long, b long")
     if far is not None:
         found = found.union(_by_windows(far, length))
     spans = whole.union(found).groupBy("t", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return cut(spans)
+    spans = cut(spans)
+    release(docs.sparkSession)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -342,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     spans = repeated_extents(d.select("t", "n", "text"), length)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             removed, runs, digest, kept = [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, at, cut_, parts, k = text.encode(), 0, 0, [], 0
