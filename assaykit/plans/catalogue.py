@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import bin_of, box_iou, median_bits, ratio
 from assaykit.lineage import cut
-from assaykit.operators import bootstrap, calibration, matching, neardup, ranking, review, risk, splits, stability, validate
+from assaykit.operators import audit, bootstrap, calibration, matching, neardup, ranking, review, risk, splits, stability, validate
 from assaykit.operators.graph import connected_components
 from assaykit.protocol import Protocol
 from assaykit.sources.scans import numbered, unpaired
@@ -539,3 +539,50 @@ def benchmark_summary(spark, sf):
 def json_props_extract(spark, sf):
     k = F.from_json("props", "k bigint")["k"]
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
+
+
+# Audit tables
+
+
+@query("SELECT l_returnflag, count(l_extendedprice) AS \"count\", round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS std, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(quantile_cont(l_extendedprice, 0.01), 4) AS p1, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
+def box_description(spark, sf):
+    d = audit.describe(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", (0.01, 0.5, 0.99))
+    return rounded(d, "mean", "std", "p1", "p50", "p99", digits=4)
+
+
+@query("SELECT t::DOUBLE AS threshold, count(*) FILTER (l_tax <= t) AS n FROM lineitem, (SELECT unnest([0.0, 0.02, 0.04, 0.08]::DOUBLE[]) AS t) GROUP BY t")
+def threshold_counts(spark, sf):
+    return audit.threshold_counts(table(spark, sf, "lineitem"), "l_tax", (0.0, 0.02, 0.04, 0.08))
+
+
+@query("WITH o AS (SELECT greatest(0, (0.3::DOUBLE - l_quantity / 50) * 640, (l_quantity / 50 + 0.3::DOUBLE - 1) * 640, (l_tax - l_discount * 10) * 480, (l_discount * 10 + l_tax - 1) * 480) AS px FROM lineitem) SELECT count(*) FILTER (px > 0) AS overflowing, round(max(px), 4) AS worst, round(avg(px), 4) AS mean FROM o")
+def boundary_overflow(spark, sf):
+    px = audit.boundary_overflow(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.lit(0.6), 2 * F.col("l_tax"), F.lit(640), F.lit(480))
+    d = table(spark, sf, "lineitem").select(px.alias("px"))
+    return d.agg(F.count_if(F.col("px") > 0).alias("overflowing"), F.round(F.max("px"), 4).alias("worst"), F.round(F.avg("px"), 4).alias("mean"))
+
+
+@query("WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT count(*) AS classes, max(n) AS most, min(n) AS fewest, round(max(n) / min(n), 6) AS ratio FROM g")
+def class_imbalance(spark, sf):
+    return rounded(audit.imbalance(table(spark, sf, "part"), "p_brand"), "ratio")
+
+
+@query("SELECT p_size AS width, p_size % 7 AS height, count(*) AS n FROM part GROUP BY ALL")
+def image_sizes(spark, sf):
+    return audit.sizes(table(spark, sf, "part").select(F.col("p_size").alias("width"), (F.col("p_size") % 7).alias("height")))
+
+
+@query("""WITH c AS (SELECT n_regionkey AS class_id, count(*) FILTER (c_custkey % 5 > 0) AS train, count(*) FILTER (c_custkey % 5 = 0) AS val, count(*) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+h AS (SELECT a.class_id, r.r_name AS name FROM c a JOIN c b ON a.train = b.train AND a.val = b.val AND a.total = b.total JOIN region r ON r.r_regionkey = b.class_id)
+SELECT class_id, name FROM h WHERE class_id IN (SELECT class_id FROM h GROUP BY 1 HAVING count(*) = 1) AND name IN (SELECT name FROM h GROUP BY 1 HAVING count(*) = 1)""")
+def published_class_names(spark, sf):
+    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = c.groupBy(F.col("n_regionkey").alias("class_id")).agg(F.count_if(F.col("c_custkey") % 5 > 0).alias("train"), F.count_if(F.col("c_custkey") % 5 == 0).alias("val"), F.count(F.lit(1)).alias("total"))
+    other = own.join(F.broadcast(table(spark, sf, "region")), F.col("class_id") == F.col("r_regionkey")).select("train", "val", "total", F.col("r_name").alias("name"))
+    return audit.published_names(own, other)
+
+
+@query("""WITH v AS (SELECT event_type AS metric, avg(value) FILTER (user_id % 2 = 0) AS even, avg(value) FILTER (user_id % 2 = 1) AS odd FROM events GROUP BY 1) SELECT metric, round(even, 6) AS even, round(odd, 6) AS odd, CASE WHEN metric <> 'click' THEN round(odd - even, 6) END AS difference FROM v""")
+def run_comparison(spark, sf):
+    m = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("run")).agg(F.avg("value").alias("v"))
+    return rounded(audit.comparison(m, "metric", "run", "v", "even", "odd", ("click",)), "even", "odd", "difference")
