@@ -334,8 +334,8 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """A row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``.
+def remove_repeats(docs: DataFrame, length: int = 400, keep: bool = True) -> DataFrame:
+    """A row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if wanted, ``kept``.
 
     Every byte of a ``length``-byte string that also starts anywhere else in the table, the same text included, is
     removed; strings are judged on the input. Null and empty texts have no bytes; texts shorter than ``length`` lose
@@ -349,23 +349,28 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             removed, runs, digest, kept = [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, at, cut_, parts, k = text.encode(), 0, 0, [], 0
+            raws = batch.column(1).cast(pa.binary())
+            for raw, found in zip(raws.to_pylist(), batch.column(2).to_pylist()):
+                at = gone = k = 0
+                state, parts = sha256(), []
                 for a, b in sorted((s["a"], s["b"]) for s in found or ()):
                     if a > at or not k:
-                        parts.append(raw[at:a])
+                        state.update(raw[at:a])
+                        parts.append((at, a))
                         k += 1
                         at = a
                     if b > at:
-                        cut_ += b - at
+                        gone += b - at
                         at = b
-                parts.append(raw[at:])
-                left = b"".join(parts)
-                removed.append(cut_)
+                state.update(raw[at:])
+                removed.append(gone)
                 runs.append(k)
-                digest.append(sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(string_buffer(batch.column(1))[1])), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                digest.append(state.hexdigest())
+                if keep:
+                    kept.append(b"".join([*(raw[a:b] for a, b in parts), raw[at:]]))
+            arrays = [batch.column(0), pa.array(np.diff(string_buffer(raws)[1])), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if keep else [])]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep else [])]
     joined = d.join(spans, ["t", "n"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
