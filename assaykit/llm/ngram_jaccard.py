@@ -20,13 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut
+from assaykit.lineage import cut, release
+from assaykit.llm.common import among
 from assaykit.llm.wordhash import shingle_sets
 from assaykit.operators.graph import connected_components
 
 #: Counters of the shingle-frequency sketch. It only orders shingles; its size is fixed, 4 MB as int32.
 SKETCH_BITS = 20
 _CHUNK = 1 << 12
+#: Bits of a set's parity map: each shingle flips one of them, so two sets differ in at least as many shingles as bits.
+MAP_BITS = 1 << 10
+#: Bits of the filter that keeps index entries without a partner from travelling twice: 1,048,576 rows at most.
+ENTRY_FILTER_BITS = 26
 
 
 def _frequency_sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
@@ -66,18 +71,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, bits: int, sketch: np.ndarray, t: Fraction) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix``: set size, a 128-bit signature of the set, its rarest shingles in global order."""
+    """``doc_id, n, s1, s2, map, prefix``: set size, a 128-bit signature, parity map, and rarest shingles in global order."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = shared.value
+        frequency, words = shared.value, MAP_BITS // 64
         for batch in batches:
-            sizes, s1, s2, prefixes = [], [], [], []
+            sizes, s1, s2, maps, prefixes = [], [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 k = len(s)
                 sizes.append(k)
                 s1.append(s.sum(dtype=np.uint64))
                 s2.append(((s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ s).sum(dtype=np.uint64))
+                maps.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1 == 1))
                 keep = k - -(-t.numerator * k // t.denominator) + 1 if k else 0
                 key = (frequency[(s & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
                 if keep < k // 2:
@@ -89,15 +95,18 @@ def _prefixes(docs: DataFrame, n: int, bits: int, sketch: np.ndarray, t: Fractio
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(_signed(np.array(s1, np.uint64))), pa.array(_signed(np.array(s2, np.uint64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(flat)))],
-                ["doc_id", "n", "s1", "s2", "prefix"],
+                [batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(_signed(np.array(s1, np.uint64))), pa.array(_signed(np.array(s2, np.uint64))), pa.ListArray.from_arrays(pa.array(np.arange(0, len(maps) * words + 1, words), pa.int32()), pa.array(np.concatenate(maps).view(np.int64) if maps else np.zeros(0, np.int64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(flat)))],
+                ["doc_id", "n", "s1", "s2", "map", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n long, s1 long, s2 long, map array<long>, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs ``a, b`` whose whole shingle sets reach the threshold; texts travel, not expanded sets."""
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """The pairs ``a, b`` whose whole shingle sets reach the threshold.
+
+    Parity maps first rule out pairs that differ in too many shingles; for the rest the texts travel, not expanded sets.
+    """
     num, den = t.numerator, t.denominator
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +124,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFra
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
+    pairs = cut(pairs)
+    maps = reps.select("rep", "n", "map")
+    maps = cut(among(maps, "rep", pairs.select("a").union(pairs.select("b"))))
+    side = lambda s: maps.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("map").alias(f"map_{s}"))
+    apart = F.expr("aggregate(zip_with(map_a, map_b, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x)")
+    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+    pairs = cut(pairs.select("a", "b"))
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    texts = among(texts, "doc_id", pairs.select("a").union(pairs.select("b")))
     right = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     full = right.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(kernel, "a long, b long").distinct()
@@ -140,16 +157,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     the equal sets that have one, else null. An empty table gives empty results; further columns are ignored.
     Sets are compared by 64-bit hashes of their shingles and recognised as equal by size and 128 bits.
     """
-    docs = docs.select("doc_id", "text")
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     t = Fraction(threshold)
     sketch = _frequency_sketch(docs, n, sketch_bits)
     sets = cut(_prefixes(docs, n, sketch_bits, sketch, t))
     # Equal sets: one answer for all of them.
-    reps = cut(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
+    reps = cut(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("map").alias("map"), F.first("prefix").alias("prefix")))
+    release(spark)
     entries = reps.where("rep IS NOT NULL").select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
     leads = cut(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "rep")).alias("lead")).where("c > 1").select("shingle", "lead"))
-    shared = cut(entries.join(leads, "shingle"))
-    links = cut(_verified(shared.where(F.col("rep") != F.col("lead.rep")).where(_bound(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), t)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), docs, n, t))
+    shared = cut(among(entries, "shingle", leads.select("shingle"), ENTRY_FILTER_BITS).join(leads, "shingle"))
+    release(spark)
+    links = cut(_verified(shared.where(F.col("rep") != F.col("lead.rep")).where(_bound(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), t)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, n, t))
+    release(spark)
 
     def labelled(found: DataFrame) -> DataFrame:
         comps = connected_components(found, "a", "b")
@@ -171,9 +191,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     rest = kept.join(side("x"), ["shingle", "band_x", "pos_x"]).join(side("y"), ["shingle", "band_y", "pos_y"])
     rest = rest.where("comp_x <> comp_y").where(_bound(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), t))
     rest = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    links = cut(links.union(_verified(rest, docs, n, t)))
+    links = cut(links.union(_verified(rest, reps, docs, n, t)))
+    sets = cut(sets.select("doc_id", "n", "s1", "s2"))
+    reps = cut(reps.select("s1", "s2", "n", "rep"))
+    del entries, leads, shared, open_, mixed, blocks, left, right, kept, rest
+    release(spark)
 
     comps = connected_components(links, "a", "b")
-    named = reps.select("s1", "s2", "n", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    members = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    named = reps.join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    members = sets.join(named, ["s1", "s2", "n"], "left")
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), links
