@@ -58,9 +58,12 @@ def _hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``text, position, gram hash, context hash`` of all anchors, piece by piece; texts never run together."""
+    """``text, position, gram hash, context hash`` of all anchors, piece by piece; texts never run together.
+
+    Anchors never step back from one window to the next, so the last one of a piece is all that the next can repeat.
+    """
     span = length - GRAM + 1
-    end = len(raw)
+    end, last = len(raw), -1
     for a in range(0, end, PIECE):
         lo, hi = max(0, a - length), min(end, a + PIECE + 2 * length)
         part = raw[lo:hi]
@@ -87,6 +90,10 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
             continue
         least = np.minimum(back[starts], ahead[starts + span - 1])
         pos = np.unique(0xFFFFF - (least & _U(0xFFFFF)).astype(np.int64))
+        pos = pos[pos + lo > last]
+        if not len(pos):
+            continue
+        last = int(pos[-1]) + lo
         text = np.searchsorted(offsets, pos + lo, side="right") - 1
         left = np.maximum(offsets[text] - lo, pos - (span - 1))
         right = np.minimum(offsets[text + 1] - lo, pos + length)

@@ -240,6 +240,29 @@ def test_suffix_dedup(spark, monkeypatch, way):
     assert got == [(i, *x) for i, x in enumerate(brute_repeats(texts, 400))]
 
 
+@pytest.mark.parametrize("piece", [50, 1_000, 3_001])
+def test_suffix_dedup_anchors_once_across_pieces(monkeypatch, piece):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcd ") for _ in range(n)) for n in (9_000, 400, 399, 2_500, 0)] + ["x" * 1500]
+    texts += texts[:1]
+    buffer = suffix_dedup.string_buffer(pa.array(texts))
+    anchors = lambda: [x for part in suffix_dedup._anchors(*buffer, 400) for x in zip(*(c.tolist() for c in part))]
+    whole = anchors()
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    got = anchors()
+    assert len(set(got)) == len(got) and got == whole
+
+
+def test_suffix_dedup_beyond_one_piece(spark):
+    rnd = random.Random(9)
+    w = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(n))
+    passage, one = w(60), [w(120_000), w(40_000), w(90_000)]
+    texts = [one[0] + "-" + passage + "-" + one[1], one[2] + "+" + passage + "+"]
+    assert len(texts[0]) > suffix_dedup.PIECE
+    got = sorted((r["doc_id"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect())
+    assert got == [(i, len(passage), 1, hashlib.sha256(t.replace(passage, "").encode()).hexdigest()) for i, t in enumerate(texts)]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.remove_repeats(docs(spark, ["a"]).limit(0)).count() == 0
 
