@@ -27,7 +27,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "parts")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Three fixed shapes (assignments to telling names, access key ids, long hex) are always reported. Beyond them, every
 long enough run of a character class is a candidate: a window slides over it, its character counts change by the one
 character that enters and the one that leaves, and with them the sum that gives the window's Shannon entropy. Windows
-at or above the class's threshold are joined into spans; candidates on the allow-list, and spans that touch one of
-the fixed shapes, are left out.
+at or above the class's threshold are joined into spans; candidates on the allow-list are left out. Of spans that
+overlap one of the fixed shapes or an earlier span, the parts outside are reported apart.
 """
 
 from __future__ import annotations
@@ -81,9 +81,10 @@ def _pieces(kind: str, order: int, pattern: str, found: str, sub: str) -> str:
 
 
 def scan_spans(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``row, doc_id, o, kind, start, end``: the spans found, and one row with null ``kind`` for a text without any.
+    """``row, doc_id, o, kind, start, end, over``: the spans found, and one row with null ``kind`` for a text without any.
 
-    Code points, end exclusive. ``row`` tells rows apart that repeat an id.
+    Code points, end exclusive. ``row`` tells rows apart that repeat an id. ``over`` marks entropy spans that overlap a
+    fixed shape or an entropy span before them; their ``kind`` is null.
     """
     whole = "CAST(array(named_struct('s', 0, 'e', length(x.m))) AS array<struct<s:int,e:int>>)"
     none = "CAST(array() AS array<struct<s:int,e:int>>)"
@@ -105,30 +106,47 @@ def scan_spans(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow:
     d = d.withColumn("at", F.sum("gap").over(in_kind.rowsBetween(Window.unboundedPreceding, 0)) + before)
     d = d.select("doc_id", "row", "o", "kind", "at", F.explode_outer("sub").alias("z"))
     d = d.select("doc_id", "row", "o", F.when(F.col("z").isNotNull(), F.col("kind")).alias("kind"), (F.col("at") + F.col("z.s")).alias("start"), (F.col("at") + F.col("z.e")).alias("end"))
-    # Entropy spans that touch a fixed shape, or an entropy span of an earlier class, add nothing.
+    # Entropy spans that touch a fixed shape, or an entropy span before them, are no spans of their own.
     order = Window.partitionBy("row").orderBy(F.col("start").asc_nulls_last(), "o", "end")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     fixed = F.col("o") < 3
     touched = (F.coalesce(F.max(F.when(fixed, F.col("end"))).over(back), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(fixed, F.col("start"))).over(ahead), F.col("end")) < F.col("end"))
     d = d.withColumn("touched", ~fixed & touched)
     seen = F.coalesce(F.max(F.when(~F.col("touched"), F.col("end"))).over(back), F.lit(-1)) > F.col("start")
-    return d.withColumn("kind", F.when(~F.coalesce(F.col("touched") | (~fixed & seen), F.lit(False)), F.col("kind"))).select("row", "doc_id", "o", "kind", "start", "end")
+    d = d.withColumn("over", F.coalesce(F.col("touched") | (~fixed & seen), F.lit(False)))
+    return d.withColumn("kind", F.when(~F.col("over"), F.col("kind"))).select("row", "doc_id", "o", "kind", "start", "end", "over")
+
+
+def _outside() -> str:
+    """SQL for the parts of the spans in ``hidden`` that no span in ``found`` covers, joined where they meet."""
+    # One sweep over starts and ends in order; ``s`` and ``h`` count the open spans of either array.
+    edge = lambda a, s, h: f"transform({a}, x -> named_struct('p', x.start, 's', {s}, 'h', {h})), transform({a}, x -> named_struct('p', x.end, 's', -{s}, 'h', -{h}))"
+    part = "named_struct('s', a.at, 'e', e.p)"
+    joined = f"IF(size(a.out) > 0 AND element_at(a.out, -1).e = a.at, concat(slice(a.out, 1, size(a.out) - 1), array(named_struct('s', element_at(a.out, -1).s, 'e', e.p))), concat(a.out, array({part})))"
+    step = f"named_struct('at', e.p, 's', a.s + e.s, 'h', a.h + e.h, 'out', IF(a.h > 0 AND a.s = 0 AND e.p > a.at, {joined}, a.out))"
+    start = "named_struct('at', 0L, 's', 0, 'h', 0, 'out', CAST(array() AS array<struct<s:bigint,e:bigint>>))"
+    return f"IF(size(hidden) = 0, {start}.out, aggregate(array_sort(concat({edge('found', 1, 0)}, {edge('hidden', 0, 1)})), {start}, (a, e) -> {step}, a -> a.out))"
 
 
 def scan_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """A row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, found``.
+    """A row per input row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, parts, found, rest``.
 
-    ``found`` is the sorted array of ``start, o, kind, end``; the query's strings derive from it. Null, empty and clean
+    ``found`` is the sorted array of ``start, o, kind, end`` from which ``spans`` derives. ``parts`` has, as
+    ``start:end``, what entropy spans that overlap those cover beside them; both together are all that was found, and
+    ``rest`` is the array of ``parts``. Null, empty and clean
     texts have zero counts, the digest of the empty string and no spans. Rows that repeat an id are scanned each for
     itself; an empty table gives no rows; columns but ``doc_id`` and ``text`` are ignored.
     """
     spans = scan_spans(docs.select("doc_id", "text"), classes, allow)
     item = F.when(F.col("kind").isNotNull(), F.struct("start", "o", "kind", "end"))
-    d = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(item)).alias("found"))
+    hidden = F.when(F.col("over"), F.struct("start", "end"))
+    d = spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(item)).alias("found"), F.collect_list(hidden).alias("hidden"))
+    d = d.withColumn("rest", F.expr(_outside()))
     count = lambda o: F.size(F.filter("found", lambda x: x["o"] == o)).cast("long")
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("found", lambda x: x["o"] < 3)
-    return d.select("row", "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), "found")
+    parts = F.array_join(F.transform("rest", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return d.select("row", "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), parts.alias("parts"), "found", "rest")
 
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
@@ -137,7 +155,8 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     Rows meet their spans by id, so rows that repeat an id must repeat the text. Texts without secrets, null and
     empty ones stay as they are.
     """
-    found = scan_secrets(docs).where(F.size("found") > 0).groupBy("doc_id").agg(F.first("found").alias("found"))
+    every = F.array_sort(F.concat(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.transform("rest", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end")))))
+    found = scan_secrets(docs).withColumn("found", every).where(F.size("found") > 0).groupBy("doc_id").agg(F.first("found").alias("found"))
     found = found.select(F.col("doc_id").alias("secret_doc_id"), "found")
     kept = "aggregate(found, named_struct('t', CAST(array() AS array<string>), 'at', 0L), (a, x) -> IF(x.end <= a.at, a, named_struct('t', concat(a.t, array(substring(text, CAST(a.at + 1 AS int), CAST(greatest(0L, x.start - a.at) AS int)), '%s')), 'at', CAST(x.end AS bigint))), a -> concat(array_join(a.t, ''), substring(text, CAST(a.at + 1 AS int))))" % mask
     out = docs.join(found, docs["doc_id"].eqNullSafe(F.col("secret_doc_id")), "left").withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(F.expr(kept)))

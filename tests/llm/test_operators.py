@@ -131,6 +131,37 @@ def test_secrets(spark):
     assert secrets.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_secrets_beside_fixed_shapes(spark):
+    rnd = random.Random(4)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "aZ7" + "".join(rnd.sample(b64, n - 3))
+    fixed = lambda: "AKIA" + "".join(rnd.sample("ABCDEFGHJKLMNPQR", 16))
+    lower = "".join(rnd.sample("0123456789abcdef", 12) + rnd.sample("0123456789abcdef", 12))
+    texts = [f"é {fixed()}{c}{key(40)} z" for c in "/=-_"] + [f"é {key(40)}_{fixed()}", f"{key(30)}/{lower}/{key(30)}", f"password={key(20)}.{key(40)}", "0123ABCDE9F876" + "D5A1C2B3E4F6" + "/" + key(40), "plain", None]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(docs(spark, texts)).collect()}
+
+    def spans(i):
+        named = [tuple(map(int, x.split(":")[1:])) for x in got[i]["spans"].split(",") if x]
+        return named, [tuple(map(int, x.split(":"))) for x in got[i]["parts"].split(",") if x]
+
+    def entropy(t):
+        for c in secrets.CLASSES:
+            for m in re.finditer(c.pattern, t):
+                if re.search(c.must, m[0]) and not any(re.search(a, m[0]) for a in secrets.ALLOW):
+                    for i in range(len(m[0]) - c.window + 1):
+                        if -sum(v / c.window * math.log2(v / c.window) for v in Counter(m[0][i : i + c.window]).values()) >= c.bits - 1e-12:
+                            yield from range(m.start() + i, m.start() + i + c.window)
+
+    for i, t in enumerate(texts):
+        named, parts = spans(i)
+        inside = {k for a, b in named for k in range(a, b)}
+        assert [k for a, b in parts for k in range(a, b)] == sorted(set(entropy(t or "")) - inside)
+        assert all(b < c for (_, b), (c, _) in zip(parts, parts[1:]))
+    assert all(got[i]["n_access"] == 1 and spans(i)[1] for i in range(5)) and spans(8) == ([], [])
+    red = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, texts)).collect()}
+    assert all(not re.search(r"[A-Za-z0-9]{12}", re.sub("REDACTED", "", red[i])) for i in range(6)) and red[8] == "plain"
+
+
 # 3
 
 
