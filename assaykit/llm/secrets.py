@@ -152,14 +152,15 @@ def scan_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allo
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret replaced by ``mask``, all columns kept; ``n_chars``, if there, follows the new text.
 
-    Rows meet their spans by id, so rows that repeat an id must repeat the text. Texts without secrets, null and
-    empty ones stay as they are.
+    Spans depend on the text alone, and rows meet them by its SHA-256: ids may be null or repeated. Texts without
+    secrets, null and empty ones stay as they are.
     """
+    key = F.sha2("text", 256)
     every = F.array_sort(F.concat(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.transform("rest", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end")))))
-    found = scan_secrets(docs).withColumn("found", every).where(F.size("found") > 0).groupBy("doc_id").agg(F.first("found").alias("found"))
-    found = found.select(F.col("doc_id").alias("secret_doc_id"), "found")
-    kept = "aggregate(found, named_struct('t', CAST(array() AS array<string>), 'at', 0L), (a, x) -> IF(x.end <= a.at, a, named_struct('t', concat(a.t, array(substring(text, CAST(a.at + 1 AS int), CAST(greatest(0L, x.start - a.at) AS int)), '%s')), 'at', CAST(x.end AS bigint))), a -> concat(array_join(a.t, ''), substring(text, CAST(a.at + 1 AS int))))" % mask
-    out = docs.join(found, docs["doc_id"].eqNullSafe(F.col("secret_doc_id")), "left").withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(F.expr(kept)))
+    found = scan_secrets(docs.select(key.alias("doc_id"), "text")).withColumn("found", every).where(F.size("found") > 0)
+    found = found.groupBy(F.col("doc_id").alias("secret_key")).agg(F.first("found").alias("secret_spans"))
+    kept = "aggregate(secret_spans, named_struct('t', CAST(array() AS array<string>), 'at', 0L), (a, x) -> IF(x.end <= a.at, a, named_struct('t', concat(a.t, array(substring(text, CAST(a.at + 1 AS int), CAST(greatest(0L, x.start - a.at) AS int)), '%s')), 'at', CAST(x.end AS bigint))), a -> concat(array_join(a.t, ''), substring(text, CAST(a.at + 1 AS int))))" % mask
+    out = docs.join(found, key == F.col("secret_key"), "left").withColumn("text", F.when(F.col("secret_spans").isNull(), F.col("text")).otherwise(F.expr(kept)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

@@ -162,6 +162,14 @@ def test_secrets_beside_fixed_shapes(spark):
     assert all(not re.search(r"[A-Za-z0-9]{12}", re.sub("REDACTED", "", red[i])) for i in range(6)) and red[8] == "plain"
 
 
+def test_redact_rows_without_or_with_repeated_ids(spark):
+    texts = ["password=abcdef1 x", "long clean text of another row", "yyyy token: zzzzzz9", None, "", "password=abcdef1 x", "clean", "secret=qqqqqqq and"]
+    want = ["[REDACTED] x", texts[1], "yyyy [REDACTED]", None, "", "[REDACTED] x", "clean", "[REDACTED] and"]
+    d = spark.createDataFrame([(None if i < 6 else 7, t, i, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, found int, n_chars long")
+    got = sorted((r["found"], r["text"], r["n_chars"]) for r in secrets.redact(d).collect())
+    assert got == [(i, t, len(t or "")) for i, t in enumerate(want)]
+
+
 # 3
 
 
