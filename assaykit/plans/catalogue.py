@@ -521,7 +521,7 @@ def paired_ranking_bootstrap(spark, sf):
     names = ["calibrated_risk", "equal_risk", "weighted_risk"]
     d = population(spark, sf).select("image", "incorrect", *(c[n].alias(n) for n in names))
     images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))
-    s = bootstrap.ranking_bootstrap(d, spark, images, names, "incorrect", 256, P.seed)
+    s = bootstrap.ranking_bootstrap(d, spark, images, names, "incorrect", P.replicates, P.seed)
     return rounded(bootstrap.interval(s, ["method"], "auroc"), "bootstrap_mean", "lower_95", "upper_95")
 
 
