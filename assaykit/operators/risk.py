@@ -51,11 +51,12 @@ def weight_grid(spark: SparkSession, step: int = 1) -> DataFrame:
 def evaluate_grid(population: DataFrame, grid: DataFrame, fold: str = "fold_id", label: str = "incorrect") -> DataFrame:
     """Mean over folds of AP and AUROC for each weight triple.
 
-    The grid has a fixed number of rows (5,151 at most), so it is broadcast; scores are computed once per candidate.
+    The grid has a fixed number of rows (5,151 at most), so it is broadcast; scores are computed once per candidate and
+    distinct triple of signals.
     """
-    wide = population.select(fold, label, "calibrated_confidence", "class_consistency", "localisation_stability").join(F.broadcast(grid))
+    wide = population.groupBy(fold, label, "calibrated_confidence", "class_consistency", "localisation_stability").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(grid))
     scored = wide.withColumn("risk", weighted_risk(F.col("conf"), F.col("cls"), F.col("loc")))
-    per = auroc_ap(scored, ["conf", "cls", "loc", fold], "risk", label)
+    per = auroc_ap(scored, ["conf", "cls", "loc", fold], "risk", label, "_n")
     return per.groupBy("conf", "cls", "loc").agg(F.avg("ap").alias("mean_ap"), F.avg("auroc").alias("mean_auroc")).join(F.broadcast(grid), ["conf", "cls", "loc"])
 
 

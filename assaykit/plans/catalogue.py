@@ -258,9 +258,9 @@ scored AS (SELECT conf, cls, loc, image % 5 AS fold_id, incorrect, (conf * (1 -
 evaluated AS (SELECT conf, cls, loc, avg(ap) AS mean_ap, avg(auroc) AS mean_auroc, (3 * conf - 100) ** 2 + (3 * cls - 100) ** 2 + (3 * loc - 100) ** 2 AS distance FROM ranked GROUP BY ALL)"""
 
 
-def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+def _evaluated(spark: SparkSession, sf: str, step: int = 20) -> DataFrame:
     d = population(spark, sf).withColumn("fold_id", F.col("image") % P.folds)
-    return risk.evaluate_grid(d, risk.weight_grid(spark, 20))
+    return risk.evaluate_grid(d, risk.weight_grid(spark, step))
 
 
 @query(f"{_GRID} SELECT conf, cls, loc, round(mean_ap, 6) AS mean_ap, round(mean_auroc, 6) AS mean_auroc, distance::BIGINT AS distance FROM evaluated")
@@ -273,6 +273,19 @@ def weight_selection(spark, sf):
     return risk.select_weights(cut(_evaluated(spark, sf))).select("conf", "cls", "loc")
 
 
+# The two above search the steps of 20 % of their SQL; these search every whole percentage, too many for it.
+
+
+@query()
+def grid_weight_search_full(spark, sf):
+    return rounded(_evaluated(spark, sf, 1), "mean_ap", "mean_auroc")
+
+
+@query()
+def weight_selection_full(spark, sf):
+    return risk.select_weights(cut(_evaluated(spark, sf, 1))).select("conf", "cls", "loc")
+
+
 @query("SELECT count(*) AS candidates, sum(conf)::BIGINT AS conf, max((3 * conf - 100) ** 2 + (3 * cls - 100) ** 2 + (3 * loc - 100) ** 2)::BIGINT AS farthest FROM (SELECT a.range AS conf, b.range AS cls, 100 - a.range - b.range AS loc FROM range(101) a, range(101) b WHERE a.range + b.range <= 100)")
 def simplex_grid(spark, sf):
     return risk.weight_grid(spark).agg(F.count(F.lit(1)).alias("candidates"), F.sum("conf").alias("conf"), F.max("distance").alias("farthest"))
