@@ -213,6 +213,19 @@ def aurc(spark, sf):
     return rounded(review.aurc(review.coverage_curve(d, ["method"], "risk", "incorrect"), ["method"]), "aurc")
 
 
+# The two above keep the three methods of their SQL; these have all.
+
+
+@query()
+def risk_coverage_curve_all(spark, sf):
+    return rounded(review.coverage_curve(all_risks(spark, sf), ["method"], "risk", "incorrect").drop("added", "total"), "threshold", "coverage", "selective_risk")
+
+
+@query()
+def aurc_all(spark, sf):
+    return rounded(review.aurc(review.coverage_curve(all_risks(spark, sf), ["method"], "risk", "incorrect"), ["method"]), "aurc")
+
+
 _CROPS = f"""WITH {_RISKS}, m AS (SELECT DISTINCT method FROM risks),
 a AS (SELECT image, method, count(*) AS predictions, sum(incorrect) AS errors, max(risk) AS crop_risk FROM risks GROUP BY ALL),
 crops AS (SELECT o_orderkey AS image, m.method, coalesce(predictions, 0) AS predictions, coalesce(errors, 0) AS errors, crop_risk FROM orders CROSS JOIN m LEFT JOIN a ON a.image = o_orderkey AND a.method = m.method)"""
