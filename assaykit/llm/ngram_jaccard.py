@@ -6,7 +6,8 @@ pair is skipped as a whole when its best size and position already exclude the t
 list the set with the smallest position answers first; a set that links to it takes over its answers (its component),
 so only sets that are still in different components are compared further. Identical sets share one answer at once.
 
-What is left after these rounds is enumerated exactly, so no link between different components is lost.
+What is left after these rounds is enumerated exactly, so no link between different components is lost. Answers are
+skipped only where components are all that is wanted: a component does not tell which of its sets link.
 """
 
 from __future__ import annotations
@@ -145,11 +146,13 @@ def _bound(n_a: Column, i: Column, n_b: Column, j: Column, t: Fraction) -> Colum
     return ((p + q) * (n_a - i) >= need) & ((p + q) * (n_b - j) >= need)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), sketch_bits: int = SKETCH_BITS, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """``members, links`` of the self join of ``docs (doc_id, text)`` on word ``n``-gram sets.
 
-    ``members`` has a row per input row: ``doc_id, n_shingles, component_id``. ``links`` holds verified pairs
-    ``a, b`` of sets in different texts that span every component (not all pairs within one).
+    ``members`` has a row per input row: ``doc_id, n_shingles, component_id, n_links``. ``links`` holds all verified
+    pairs ``a, b`` of different sets, each named by its smallest id. ``n_links`` counts the other rows with an id whose
+    sets link with the row's, equal ones included; it is null where ``component_id`` is. Without ``every``, ``links``
+    only spans the components, and ``n_links`` is left out.
 
     Words are the runs of anything but ASCII white space, with A-Z lower-cased. Fewer words than ``n`` make one
     shingle; a null, empty or blank text has an empty set and links with nothing. Equal sets always link, ties need
@@ -162,21 +165,23 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     sketch = _frequency_sketch(docs, n, sketch_bits)
     sets = cut(_prefixes(docs, n, sketch_bits, sketch, t))
     # Equal sets: one answer for all of them.
-    reps = cut(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("map").alias("map"), F.first("prefix").alias("prefix")))
+    reps = cut(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("copies"), F.first("map").alias("map"), F.first("prefix").alias("prefix")))
     release(spark)
     entries = reps.where("rep IS NOT NULL").select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
     leads = cut(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "rep")).alias("lead")).where("c > 1").select("shingle", "lead"))
     shared = cut(among(entries, "shingle", leads.select("shingle"), ENTRY_FILTER_BITS).join(leads, "shingle"))
     release(spark)
-    links = cut(_verified(shared.where(F.col("rep") != F.col("lead.rep")).where(_bound(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), t)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, n, t))
-    release(spark)
+    if not every:
+        links = cut(_verified(shared.where(F.col("rep") != F.col("lead.rep")).where(_bound(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), t)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, n, t))
+        release(spark)
 
     def labelled(found: DataFrame) -> DataFrame:
         comps = connected_components(found, "a", "b")
         return shared.drop("lead").join(comps, F.col("rep") == F.col("node"), "left").select("shingle", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp"))
 
-    # What no first answer settles: lists that still hold several components, block by block.
-    open_ = labelled(links)
+    # Block by block: all lists, or what no first answer settles, lists that still hold several components. Where
+    # every link is wanted, each set counts as its own component.
+    open_ = shared.drop("lead").withColumn("comp", F.col("rep")) if every else labelled(links)
     mixed = open_.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
     ratio = log(t.denominator / t.numerator) if t < 1 else 1.0
     open_ = cut(open_.join(mixed, "shingle").withColumn("band", F.floor(F.log(F.col("n")) / ratio)))
@@ -189,15 +194,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     kept = kept.where(~((F.col("c_lo_x") == F.col("c_hi_x")) & (F.col("c_lo_x") == F.col("c_lo_y")) & (F.col("c_lo_y") == F.col("c_hi_y")))).select("shingle", "band_x", "pos_x", "band_y", "pos_y")
     side = lambda s: open_.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("band", "pos", "n", "rep", "comp")))
     rest = kept.join(side("x"), ["shingle", "band_x", "pos_x"]).join(side("y"), ["shingle", "band_y", "pos_y"])
-    rest = rest.where("comp_x <> comp_y").where(_bound(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), t))
+    # Within one block a pair meets in both orders.
+    rest = rest.where("comp_x <> comp_y AND (rep_x < rep_y OR band_x <> band_y OR pos_x <> pos_y)").where(_bound(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), t))
     rest = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    links = cut(links.union(_verified(rest, reps, docs, n, t)))
+    found = _verified(rest, reps, docs, n, t)
+    links = cut(found if every else links.union(found))
     sets = cut(sets.select("doc_id", "n", "s1", "s2"))
-    reps = cut(reps.select("s1", "s2", "n", "rep"))
+    reps = cut(reps.select("s1", "s2", "n", "rep", "copies"))
     del entries, leads, shared, open_, mixed, blocks, left, right, kept, rest
     release(spark)
 
     comps = connected_components(links, "a", "b")
-    named = reps.join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    members = sets.join(named, ["s1", "s2", "n"], "left")
-    return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), links
+    named = reps.join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "rep", "copies", F.coalesce("component", "rep").alias("component"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if every:
+        nodes = reps.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("copies").alias("near"))
+        ends = links.union(links.select("b", "a"))
+        near = ends.join(nodes, F.col("b") == F.col("rep")).groupBy(F.col("a").alias("near_to")).agg(F.sum("near").alias("near"))
+        named = named.join(near, F.col("rep") == F.col("near_to"), "left").withColumn("near", F.coalesce("near", F.lit(0)))
+        others = F.col("copies") - F.col("doc_id").isNotNull().cast("int") + F.col("near")
+        columns.append(F.when(F.col("rep").isNotNull(), others).when(F.col("doc_id").isNotNull(), F.lit(0)).alias("n_links"))
+    return sets.join(named.drop("near_to"), ["s1", "s2", "n"], "left").select(*columns), links

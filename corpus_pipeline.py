@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A row that repeats a kept id goes as well; rows without an id can be named by no group and stay.
     """
-    members, _ = jaccard_components(docs, n=5, threshold=Fraction(4, 5))
+    members, _ = jaccard_components(docs, n=5, threshold=Fraction(4, 5), every=False)
     gone = members.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).union(docs.where("doc_id IS NULL"))

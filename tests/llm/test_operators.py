@@ -79,6 +79,36 @@ def test_jaccard_components(spark, n, t):
     assert got == brute_components(list(enumerate(texts)), n, t)
 
 
+@pytest.mark.parametrize(("n", "t"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
+def test_jaccard_links_within_components(spark, n, t):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = list(EDGES)
+    for size in (60, 300):
+        base = [word() for _ in range(size)]
+        for k in range(14):
+            w = list(base)
+            for _ in range(k % 4):
+                w[rnd.randrange(size)] = word()
+            texts.append(" ".join(w))
+    texts += [texts[9], texts[9].upper(), texts[-1]]
+    sets = []
+    for x in texts:
+        w = (x or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset({tuple(w)} if w else ()))
+    near = lambda a, b: bool(a & b) and len(a & b) >= t * len(a | b)
+    rep = {s: i for i, s in reversed(list(enumerate(sets)))}
+    want = {(a, b) for x, a in rep.items() for y, b in rep.items() if a < b and near(x, y)}
+    members, links = ngram_jaccard.jaccard_components(docs(spark, texts, extra=True), n, t)
+    got = [tuple(sorted(r)) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r["doc_id"]: r["n_links"] for r in members.collect()} == {i: sum(near(s, o) for j, o in enumerate(sets) if j != i) for i, s in enumerate(sets)}
+    components = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs(spark, texts), n, t, every=False)[0].collect()}
+    assert components == brute_components(list(enumerate(texts)), n, t)
+    lone = {(r["doc_id"], r["n_links"]) for r in ngram_jaccard.jaccard_components(docs(spark, ["a b c d", "a b c d", "a b c d", "x y", None], [5, 6, None, None, 7]))[0].collect()}
+    assert lone == {(5, 1), (6, 1), (None, 2), (None, None), (7, 0)}
+
+
 def test_jaccard_rows_without_or_with_repeated_ids(spark):
     d = docs(spark, ["a b c d", "a b c d", "a b c d", "x y z", None], [5, 5, None, None, 7])
     got = sorted([(str(r["doc_id"]), r["component_id"]) for r in ngram_jaccard.jaccard_components(d)[0].collect()], key=str)
