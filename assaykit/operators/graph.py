@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut
+from assaykit.lineage import cut, drop
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
     """``node, component`` for every endpoint of ``edges``; the component is named by its smallest node.
 
     Alternates large-star and small-star steps, each a map-side combined minimum and an equi-join, until the edges are
-    stars around their minima. Each round is checkpointed. Null endpoints and self-loops are ignored, duplicates
+    stars around their minima. Each round is written to the shared folder. Null endpoints and self-loops are ignored, duplicates
     are harmless, and an empty edge table gives an empty result.
     """
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         e_next = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.u", "p.v")
-        e = cut(e_next.where("u <> v").distinct())
+        before, e = e, cut(e_next.where("u <> v").distinct())
+        drop(before)
         now = _fingerprint(e)
         if now == seen:
             break
