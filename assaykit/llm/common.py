@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +25,28 @@ def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS)
     own = F.xxhash64(F.col(column)).bitwiseAND((1 << bits) - 1)
     near = df.join(F.broadcast(table), F.shiftright(own, 6) == F.col("filter_slot"))
     return near.where(F.getbit("filter_bits", own.bitwiseAND(63).cast("int")) == 1).select(*df.columns)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose first ``keys`` columns, whole numbers, are equal; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(keys)], axis=1)
+        cuts = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
+        at = 0
+        for to in cuts.tolist():
+            now = key[at].tolist()
+            if held and now != last:
+                yield _joined(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+            last, at = now, to
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)

@@ -3,11 +3,12 @@
 Index lists (shingle -> sets whose prefix holds it) carry each set's position in a global rare-first order. Two
 relations spare work. *Index skipping*: a list is grouped into blocks of equal size class and position, and a block
 pair is skipped as a whole when its best size and position already exclude the threshold. *Answer skipping*: in each
-list the set with the smallest position answers first; a set that links to it takes over its answers (its component),
-so only sets that are still in different components are compared further. Identical sets share one answer at once.
+list the set with the smallest position answers first; a set that links to it takes over its component, so only sets
+that are still in different components are looked up further. Identical sets share one answer at once.
 
-What is left after these rounds is enumerated exactly, so no link between different components is lost. Answers are
-skipped only where components are all that is wanted: a component does not tell which of its sets link.
+Every link lies within a component. There, a set's answers are derived from those of a highly similar one: with ``A`` the
+lead of a block of a component, ``|B & C| = |A & C| - |(A - B) & C| + |(B - A) & C|``, so only what sets lack of the lead
+or add to it is compared. The links are counted where they are found and not sent as rows of pairs.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut, release
-from assaykit.llm.common import among
+from assaykit.lineage import cut, drop, release
+from assaykit.llm.common import among, runs_of
 from assaykit.llm.wordhash import shingle_sets
 from assaykit.operators.graph import connected_components
 
@@ -33,6 +34,8 @@ _CHUNK = 1 << 12
 MAP_BITS = 1 << 10
 #: Bits of the filter that keeps index entries without a partner from travelling twice: 1,048,576 rows at most.
 ENTRY_FILTER_BITS = 26
+#: A component is dealt in blocks of about so many sets and so many shingles; two blocks meet in a task.
+BLOCK_SETS, BLOCK_SHINGLES = 1 << 10, 1 << 20
 
 
 def _frequency_sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
@@ -71,6 +74,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    both = np.array([s.sum(dtype=np.uint64), ((s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ s).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+    return int(both[0]), int(both[1])
+
+
 def _prefixes(docs: DataFrame, n: int, bits: int, sketch: np.ndarray, t: Fraction) -> DataFrame:
     """``doc_id, n, s1, s2, map, prefix``: set size, a 128-bit signature, parity map, and rarest shingles in global order."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -78,12 +87,11 @@ def _prefixes(docs: DataFrame, n: int, bits: int, sketch: np.ndarray, t: Fractio
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, words = shared.value, MAP_BITS // 64
         for batch in batches:
-            sizes, s1, s2, maps, prefixes = [], [], [], [], []
+            sizes, signs, maps, prefixes = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 k = len(s)
                 sizes.append(k)
-                s1.append(s.sum(dtype=np.uint64))
-                s2.append(((s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ s).sum(dtype=np.uint64))
+                signs.append(_signature(s))
                 maps.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1 == 1))
                 keep = k - -(-t.numerator * k // t.denominator) + 1 if k else 0
                 key = (frequency[(s & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
@@ -96,7 +104,7 @@ def _prefixes(docs: DataFrame, n: int, bits: int, sketch: np.ndarray, t: Fractio
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(sizes, np.int64)), pa.array(_signed(np.array(s1, np.uint64))), pa.array(_signed(np.array(s2, np.uint64))), pa.ListArray.from_arrays(pa.array(np.arange(0, len(maps) * words + 1, words), pa.int32()), pa.array(np.concatenate(maps).view(np.int64) if maps else np.zeros(0, np.int64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(flat)))],
+                [batch.column(0), pa.array(np.array(sizes, np.int64)), *(pa.array([x[i] for x in signs], pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(maps) * words + 1, words), pa.int32()), pa.array(np.concatenate(maps).view(np.int64) if maps else np.zeros(0, np.int64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(flat)))],
                 ["doc_id", "n", "s1", "s2", "map", "prefix"],
             )
 
@@ -146,18 +154,114 @@ def _bound(n_a: Column, i: Column, n_b: Column, j: Column, t: Fraction) -> Colum
     return ((p + q) * (n_a - i) >= need) & ((p + q) * (n_b - j) >= need)
 
 
+def _shared(row: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
+    """How many tokens each two of ``m`` rows have in common: long token lists by matrix products, short ones pair by pair."""
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(token)))
+    out = np.zeros((m, m))
+    long_ = np.flatnonzero(size > 32)
+    for part in (long_[at : at + 2_048] for at in range(0, len(long_), 2_048)):
+        held = np.zeros((m, len(part)), np.float32)
+        entry = np.repeat(start[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
+        held[row[entry], np.repeat(np.arange(len(part)), size[part])] = 1
+        out += held @ held.T
+    short = np.flatnonzero((size > 1) & (size <= 32))
+    chunk = np.cumsum(size[short] ** 2) >> 22
+    for part in (short[chunk == c] for c in np.unique(chunk)):
+        # Every entry of a list meets every entry of it.
+        k, p = np.repeat(part, size[part] ** 2), np.repeat(size[part], size[part] ** 2)
+        place = np.arange(len(k)) - np.repeat(np.cumsum(size[part] ** 2) - size[part] ** 2, size[part] ** 2)
+        out += np.bincount(row[start[k] + place // p] * m + row[start[k] + place % p], minlength=m * m).reshape(m, m)
+    return out
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """``[i, j]``: common elements of any two different sets, derived from what they share with the smallest set, the lead."""
+    m, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(m), size)
+    lead = int(size.argmin())
+    place = np.full(len(tokens), -1)
+    place[ids[row == lead]] = np.arange(size[lead])
+    added = place[ids] < 0
+    lacks = np.ones((m, size[lead]), bool)
+    lacks[row[~added], place[ids[~added]]] = False
+    missing = lacks.sum(1)
+    both = size[lead] - missing[:, None] - missing[None, :] + _shared(*np.nonzero(lacks), m)
+    return (both + _shared(row[added], ids[added], m)).astype(np.int64)
+
+
+def _decided(members: DataFrame, docs: DataFrame, n: int, t: Fraction, pairs: bool) -> DataFrame:
+    """All links within components, of ``members (s1, s2, n, rep, copies, component)``.
+
+    With ``pairs``, the linked pairs ``a, b`` by id; else ``s1, s2, n, near``: how many rows the links of each set lead to.
+    """
+    num, den = t.numerator, t.denominator
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), F.sum("copies").alias("all"))
+    m = members.join(sizes, "component")
+    # Two sets in a component are linked; nothing needs to be compared.
+    if pairs:
+        two = m.where("k = 2").groupBy("component").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b")
+    else:
+        two = m.where("k = 2").select("s1", "s2", "n", (F.col("all") - F.col("copies")).alias("near"))
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    m = cut(m.where("k > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("s1", "s2"), "blocks").cast("int")))
+    texts = among(docs.where("doc_id IS NOT NULL"), "doc_id", m.select("rep"))
+    units = m.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "s1", "s2", "n", "rep", "copies")
+    units = units.join(texts, F.col("rep") == F.col("doc_id")).select("component", "lo", "hi", "block", "s1", "s2", "rep", "copies", "text")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, ...]] = []
+        for unit in runs_of(batches, 3):
+            lo, hi = unit.column(1)[0].as_py(), unit.column(2)[0].as_py()
+            block, s1, s2, rep, copies = (unit.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
+            sets = list(shingle_sets(unit.column(8), n))
+            signs = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
+            # A row whose id is repeated may hold another text than the set's; equal sets come once.
+            own = np.flatnonzero((signs[:, 0] == s1) & (signs[:, 1] == s2))
+            own = own[np.unique(signs[own], axis=0, return_index=True)[1]]
+            sets, block, s1, s2, rep, copies = [sets[i] for i in own], block[own], s1[own], s2[own], rep[own], copies[own]
+            if len(sets) < 2:
+                continue
+            size = np.array([len(s) for s in sets], np.int64)
+            both = overlaps(sets)
+            linked = (both > 0) & ((num + den) * both >= num * (size[:, None] + size[None, :]))
+            if lo != hi:
+                linked &= block[:, None] != block[None, :]
+            np.fill_diagonal(linked, False)
+            if pairs:
+                i, j = np.nonzero(np.triu(linked))
+                i, j = i[rep[i] != rep[j]], j[rep[i] != rep[j]]
+                out.append((np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])))
+            else:
+                out.append((s1, s2, size, linked @ copies))
+            if sum(len(o[0]) for o in out) > 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names)
+
+    names = two.columns
+    found = units.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(kernel, ", ".join(f"{c} long" for c in names))
+    return found.union(two).distinct() if pairs else found.groupBy("s1", "s2", "n").agg(F.sum("near").alias("near")).union(two)
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), sketch_bits: int = SKETCH_BITS, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """``members, links`` of the self join of ``docs (doc_id, text)`` on word ``n``-gram sets.
 
     ``members`` has a row per input row: ``doc_id, n_shingles, component_id, n_links``. ``links`` holds all verified
-    pairs ``a, b`` of different sets, each named by its smallest id. ``n_links`` counts the other rows with an id whose
-    sets link with the row's, equal ones included; it is null where ``component_id`` is. Without ``every``, ``links``
-    only spans the components, and ``n_links`` is left out.
+    pairs ``a, b`` of different sets, each named by its smallest id; it is worked out only when it is read, and has as
+    many rows as there are pairs. ``n_links`` counts the other rows with an id whose sets link with the row's, equal
+    ones included; it is null where ``component_id`` is. Without ``every``, ``links`` only spans the components, and
+    ``n_links`` is left out.
 
     Words are the runs of anything but ASCII white space, with A-Z lower-cased. Fewer words than ``n`` make one
     shingle; a null, empty or blank text has an empty set and links with nothing. Equal sets always link, ties need
     no order. Rows that repeat an id are further members of the same node; rows without an id get the component of
-    the equal sets that have one, else null. An empty table gives empty results; further columns are ignored.
+    the equal sets that have one, else null. An empty table gives empty results; further columns are ignored. Texts are
+    read whole and may be long: a task holds one text and slices of a few MB at a time.
     Sets are compared by 64-bit hashes of their shingles and recognised as equal by size and 128 bits.
     """
     docs, spark = docs.select("doc_id", "text"), docs.sparkSession
@@ -170,18 +274,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     entries = reps.where("rep IS NOT NULL").select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
     leads = cut(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "rep")).alias("lead")).where("c > 1").select("shingle", "lead"))
     shared = cut(among(entries, "shingle", leads.select("shingle"), ENTRY_FILTER_BITS).join(leads, "shingle"))
+    drop(leads)
     release(spark)
-    if not every:
-        links = cut(_verified(shared.where(F.col("rep") != F.col("lead.rep")).where(_bound(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), t)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, n, t))
-        release(spark)
-
-    def labelled(found: DataFrame) -> DataFrame:
-        comps = connected_components(found, "a", "b")
-        return shared.drop("lead").join(comps, F.col("rep") == F.col("node"), "left").select("shingle", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp"))
-
-    # Block by block: all lists, or what no first answer settles, lists that still hold several components. Where
-    # every link is wanted, each set counts as its own component.
-    open_ = shared.drop("lead").withColumn("comp", F.col("rep")) if every else labelled(links)
+    first = shared.where(F.col("rep") != F.col("lead.rep")).where(_bound(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), t)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    first = cut(_verified(first, reps, docs, n, t))
+    release(spark)
+    comps = connected_components(first, "a", "b")
+    open_ = shared.drop("lead").join(comps, F.col("rep") == F.col("node"), "left").select("shingle", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp"))
+    # What no first answer settles, block by block: lists that still hold several components.
     mixed = open_.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
     ratio = log(t.denominator / t.numerator) if t < 1 else 1.0
     open_ = cut(open_.join(mixed, "shingle").withColumn("band", F.floor(F.log(F.col("n")) / ratio)))
@@ -197,21 +297,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     # Within one block a pair meets in both orders.
     rest = rest.where("comp_x <> comp_y AND (rep_x < rep_y OR band_x <> band_y OR pos_x <> pos_y)").where(_bound(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), t))
     rest = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    found = _verified(rest, reps, docs, n, t)
-    links = cut(found if every else links.union(found))
-    sets = cut(sets.select("doc_id", "n", "s1", "s2"))
-    reps = cut(reps.select("s1", "s2", "n", "rep", "copies"))
-    del entries, leads, shared, open_, mixed, blocks, left, right, kept, rest
+    links = cut(first.union(_verified(rest, reps, docs, n, t)))
+    sets_, reps_ = cut(sets.select("doc_id", "n", "s1", "s2")), cut(reps.select("s1", "s2", "n", "rep", "copies"))
+    drop(sets, reps, shared, open_, first)
+    sets, reps = sets_, reps_
     release(spark)
 
     comps = connected_components(links, "a", "b")
-    named = reps.join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "rep", "copies", F.coalesce("component", "rep").alias("component"))
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    named = cut(reps.join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "rep", "copies", "component"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")]
     if every:
-        nodes = reps.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("copies").alias("near"))
-        ends = links.union(links.select("b", "a"))
-        near = ends.join(nodes, F.col("b") == F.col("rep")).groupBy(F.col("a").alias("near_to")).agg(F.sum("near").alias("near"))
-        named = named.join(near, F.col("rep") == F.col("near_to"), "left").withColumn("near", F.coalesce("near", F.lit(0)))
-        others = F.col("copies") - F.col("doc_id").isNotNull().cast("int") + F.col("near")
+        linked = named.where("component IS NOT NULL")
+        near = cut(_decided(linked, docs, n, t, pairs=False)).select(*(F.col(c).alias(f"near_{c}") for c in ("s1", "s2", "n")), "near")
+        links = _decided(linked, docs, n, t, pairs=True)
+        named = named.join(near, (F.col("s1") == F.col("near_s1")) & (F.col("s2") == F.col("near_s2")) & (F.col("n") == F.col("near_n")), "left").drop("near_s1", "near_s2", "near_n")
+        others = F.col("copies") - F.col("doc_id").isNotNull().cast("int") + F.coalesce("near", F.lit(0))
         columns.append(F.when(F.col("rep").isNotNull(), others).when(F.col("doc_id").isNotNull(), F.lit(0)).alias("n_links"))
-    return sets.join(named.drop("near_to"), ["s1", "s2", "n"], "left").select(*columns), links
+    return sets.join(named, ["s1", "s2", "n"], "left").select(*columns), links

@@ -120,15 +120,25 @@ def _gram(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """Consecutive slices of a string column of about ``most`` bytes, or one text each where texts are longer."""
+    _, offsets = string_buffer(column)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield column.slice(at, to - at)
+        at = to
+
+
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct ``n``-word shingle hashes; fewer words give one, none give none."""
-    raw, offsets = string_buffer(column)
-    h, first = words(raw, offsets)
-    grams = _gram(h, n) if len(h) >= n else np.zeros(0, _U)
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a >= n:
-            yield np.unique(grams[a : b - n + 1])
-        elif b > a:
-            yield _gram(h[a:b], int(b - a))
-        else:
-            yield h[:0]
+    for part in slices(column):
+        h, first = words(*string_buffer(part))
+        grams = _gram(h, n) if len(h) >= n else np.zeros(0, _U)
+        for a, b in zip(first[:-1], first[1:]):
+            if b - a >= n:
+                yield np.unique(grams[a : b - n + 1])
+            elif b > a:
+                yield _gram(h[a:b], int(b - a))
+            else:
+                yield h[:0]
