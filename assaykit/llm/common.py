@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 FILTER_BITS = 22
 
 
-def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS, others: bool = False) -> DataFrame:
     """``df`` without most rows whose ``column`` is not in the one column of ``keys``; no row that is in it goes.
 
     A hashed bit table of fixed size, broadcast, stands before a shuffled join, so that rows without a partner need not
-    travel. With more keys than bits it lets everything pass; results never depend on it.
+    travel. With more keys than bits it lets everything pass; results never depend on it. ``others`` gives the rows
+    that it holds back instead. A null is a key like any other.
     """
     at = F.xxhash64(F.col(keys.columns[0])).bitwiseAND((1 << bits) - 1)
     table = keys.select(F.shiftright(at, 6).alias("filter_slot"), F.expr("shiftleft(1L, 0)").alias("one"), at.bitwiseAND(63).cast("int").alias("bit"))
     table = table.groupBy("filter_slot").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("filter_bits"))
     own = F.xxhash64(F.col(column)).bitwiseAND((1 << bits) - 1)
-    near = df.join(F.broadcast(table), F.shiftright(own, 6) == F.col("filter_slot"))
-    return near.where(F.getbit("filter_bits", own.bitwiseAND(63).cast("int")) == 1).select(*df.columns)
+    near = df.join(F.broadcast(table), F.shiftright(own, 6) == F.col("filter_slot"), "left" if others else "inner")
+    hit = F.getbit("filter_bits", own.bitwiseAND(63).cast("int")) == 1
+    return near.where(~F.coalesce(hit, F.lit(False)) if others else hit).select(*df.columns)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:

@@ -3,26 +3,27 @@
 Positions are first dealt to *anchors*: in every ``length``-byte string the gram with the smallest hash (rightmost, if
 several) is its anchor, so equal strings have equal anchors at equal offsets, and there is one anchor for about every
 ``length / 2`` bytes. An anchor's context is all that strings through it can cover. Equal contexts repeat as a whole.
-Contexts that share an anchor gram but differ are compared as suffixes: prefix polynomial hashes and binary search
-find how far two of them agree from the anchor on either side, so a mergesort needs few steps for a comparison;
-agreement found by hash is verified on the bytes. In sorted order the nearest neighbours give each context's longest
-extensions, to the right among all that agree equally far to the left.
+Contexts that share an anchor gram but differ are sorted as suffixes, to the right of the anchor and to the left: a
+mergesort whose comparisons find by prefix polynomial hashes and binary search how far two of them agree. Neighbours in
+the finished order are verified on the bytes, their order and their agreement; where a hash misled, bytes sort instead.
+Smallest agreements between places in both orders tell how far each context repeats.
+
+A group of contexts that is too large for a task is split by what its members agree on beyond what all of them share,
+again and again, and what all share is a repeat itself if it is long enough. So one way serves every size.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
-from functools import cmp_to_key
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut, release
-from assaykit.llm.common import among
+from assaykit.lineage import cut, drop, release
+from assaykit.llm.common import among, runs_of
 from assaykit.llm.wordhash import mix, string_buffer
 
 _U = np.uint64
@@ -30,10 +31,8 @@ _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of an anchor gram. Positions in a piece of text fit 20 bits.
 GRAM, PIECE = 64, (1 << 20) - 4096
-#: Groups of up to so many contexts are compared pair by pair in one vectorised step; larger ones are sorted.
-PAIRWISE = 12
-#: Groups beyond this many different contexts are taken apart by window hashes in Spark instead of in one task.
-LOCAL = 4_096
+#: Contexts of one group that meet in a task, and contexts of small groups that are sorted in one go.
+LOCAL, BATCH = 4_096, 1_500
 _VALUE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _powers: dict[int, np.ndarray] = {}
 
@@ -58,14 +57,14 @@ def _hash(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``text, position, gram hash, context hash`` of all anchors, piece by piece; texts never run together.
+    """``text, position, gram hash`` of all anchors, piece by piece; texts never run together.
 
     Anchors never step back from one window to the next, so the last one of a piece is all that the next can repeat.
     """
     span = length - GRAM + 1
     end, last = len(raw), -1
     for a in range(0, end, PIECE):
-        lo, hi = max(0, a - length), min(end, a + PIECE + 2 * length)
+        lo, hi = a, min(end, a + PIECE + length)
         part = raw[lo:hi]
         n = len(part)
         if n < length:
@@ -81,11 +80,10 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         blocks = padded.reshape(-1, span)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = np.arange(a - lo, min(a + PIECE, end) - lo)
+        starts = np.arange(min(a + PIECE, end) - lo)
         starts = starts[starts + length <= n]
         text = np.searchsorted(offsets, starts + lo, side="right") - 1
-        ok = starts + lo + length <= offsets[text + 1]
-        starts = starts[ok]
+        starts = starts[starts + lo + length <= offsets[text + 1]]
         if not len(starts):
             continue
         least = np.minimum(back[starts], ahead[starts + span - 1])
@@ -95,214 +93,244 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
             continue
         last = int(pos[-1]) + lo
         text = np.searchsorted(offsets, pos + lo, side="right") - 1
-        left = np.maximum(offsets[text] - lo, pos - (span - 1))
-        right = np.minimum(offsets[text + 1] - lo, pos + length)
-        left, right = np.maximum(left, 0), np.minimum(right, n)
-        context = mix(_hash(p, left, right) + (pos - left).astype(_U) * _U(0xC2B2AE3D27D4EB4F) + (right - left).astype(_U))
-        yield text, pos + lo - offsets[text], gram[pos], context
+        yield text, pos + lo - offsets[text], gram[pos]
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``h, c, t, n, pos``: gram and context hash of every anchor of every text (named by hash and size)."""
+    """``h, c, d, t, n, pos``: gram hash and context digest of every anchor of every text (named by hash and size)."""
+    span = length - GRAM
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for text, pos, h, c in _anchors(*string_buffer(batch.column(2)), length):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(t[text]), pa.array(n[text].astype(np.int32)), pa.array(pos.astype(np.int32))], ["h", "c", "t", "n", "pos"])
-
-    return docs.where(F.col("n") >= length).select("t", "n", "text").mapInArrow(kernel, "h long, c long, t long, n int, pos int")
-
+            raw, offsets = string_buffer(batch.column(2))
+            view = memoryview(raw)
+            for text, pos, h in _anchors(raw, offsets, length):
+                at = pos + offsets[text]
+                bounds = zip(np.maximum(offsets[text], at - span).tolist(), np.minimum(offsets[text + 1], at + length).tolist())
+                digest = np.frombuffer(b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in bounds), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(t[text]), pa.array(n[text].astype(np.int32)), pa.array(pos.astype(np.int32))], ["h", "c", "d", "t", "n", "pos"])
+
+    return docs.where(F.col("n") >= length).select("t", "n", "text").mapInArrow(kernel, "h long, c long, d long, t long, n int, pos int")
+
+
+class _Side:
+    """Strings that run away from their anchors, end to end, with prefix hashes for comparison."""
+
+    def __init__(self, strings: list[bytes]):
+        self.strings = strings
+        self.size = np.array([len(s) for s in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(strings) + b"\0", np.uint8)
+        self.hashes = prefix_hashes(self.raw)
+        self.down = _power(_INVERSE, len(self.hashes) + 1)
+
+    def agree(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How far the strings of each pair agree, by hash and binary search."""
+        a, b, p, down = self.start[i], self.start[j], self.hashes, self.down
+        lo, hi = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
+        pa_, pb, da, db = p[a], p[b], down[a], down[b]
+        while (lo < hi).any():
+            mid = (lo + hi + 1) >> 1
+            same = (p[a + mid] - pa_) * da == (p[b + mid] - pb) * db
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        return lo
 
-class _Context:
-    """A context as two strings that run away from the anchor, each with prefix hashes for comparison."""
+    def order(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Negative where string ``i`` comes before string ``j``; an end comes before every byte."""
+        n = self.agree(i, j)
+        after = lambda k: np.where(n < self.size[k], self.raw[self.start[k] + np.minimum(n, np.maximum(self.size[k] - 1, 0))].astype(np.int64), -1)
+        return after(i) - after(j)
 
-    def __init__(self, left: bytes, right: bytes):
-        self.sides = (left[::-1], right)
-        self.hashes = tuple(array("Q", prefix_hashes(np.frombuffer(s, np.uint8)).tobytes()) for s in self.sides)
+    def common(self, i: int, j: int, n: int) -> int:
+        """How far two strings agree, verified on the bytes; ``n`` is what their hashes say."""
+        x, y = self.strings[i], self.strings[j]
+        return n if x[:n] == y[:n] else next(k for k, (u, v) in enumerate(zip(x, y)) if u != v)
 
-    def common(self, other: _Context, side: int) -> int:
-        """How far both agree, by binary search over prefix hashes, verified on the bytes."""
-        a, b, x, y = self.hashes[side], other.hashes[side], self.sides[side], other.sides[side]
-        lo, hi = 0, min(len(x), len(y))
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if a[mid] == b[mid] else (lo, mid - 1)
-        if x[:lo] != y[:lo]:  # a collision: what the bytes say holds
-            lo = next(i for i, (p, q) in enumerate(zip(x, y)) if p != q)
-        return lo
 
-    def before(self, other: _Context, side: int) -> int:
-        x, y, n = self.sides[side], other.sides[side], self.common(other, side)
-        return (x[n : n + 1] > y[n : n + 1]) - (x[n : n + 1] < y[n : n + 1])
+def suffix_sort(side: _Side, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings of each group, and how far each in that order agrees with the next one.
 
+    Group ``k`` is the strings ``first[k]`` to ``first[k + 1]``; all groups are mergesorted at once. Every place in the
+    merged run is found by binary search in the other run.
+    """
+    m = int(first[-1])
+    at = np.arange(m)
+    begin, end = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
+    order, width = at.copy(), 1
+    while width < (end - begin).max(initial=0):
+        run = (at - begin) // width
+        other = begin + (run ^ 1) * width
+        lo, hi = other.copy(), np.maximum(other, np.minimum(other + width, end))
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            c = side.order(order[mid], order[live])
+            before = np.where(run[live] % 2 == 0, c < 0, c <= 0)  # equal ones keep their order
+            lo[live] = np.where(before, mid + 1, lo[live])
+            hi[live] = np.where(before, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        merged = np.empty_like(order)
+        merged[begin + np.minimum(run, run ^ 1) * width + (at - begin - run * width) + lo - other] = order
+        order, width = merged, 2 * width
+    near = _neighbours(side, order, first)
+    if near is None:  # a collision of hashes: bytes decide
+        order = np.concatenate([sorted(range(a, b), key=side.strings.__getitem__) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]).astype(np.int64)
+        near = _neighbours(side, order, first)
+    return order, near
+
+
+def _neighbours(side: _Side, order: np.ndarray, first: np.ndarray) -> np.ndarray | None:
+    """Verified agreement of each string with the next in its group; none, if the order does not hold on the bytes."""
+    out = np.zeros(len(order), np.int64)
+    inner = np.ones(len(order), bool)
+    inner[first[1:] - 1] = False
+    k = np.flatnonzero(inner)
+    said = side.agree(order[k], order[k + 1])
+    for q, i, j, n in zip(k.tolist(), order[k].tolist(), order[k + 1].tolist(), said.tolist()):
+        n = side.common(i, j, n)
+        if side.strings[i][n : n + 1] > side.strings[j][n : n + 1]:
+            return None
+        out[q] = n
+    return out
 
-def _sorted_extents(members: list[_Context], length: int) -> list[tuple[int, int, int]]:
-    """``member, left, right`` extents of repeats, for a group of any size.
 
-    Both sides are mergesorted. Going down the agreements of left neighbours joins runs that agree that far; for every
-    member the nearest in right order on the other side of the join is its longest extension there.
-    """
-    m = len(members)
-    by_right = sorted(range(m), key=cmp_to_key(lambda i, j: members[i].before(members[j], 1)))
-    rank = np.empty(m, np.int64)
-    rank[by_right] = np.arange(m)
-    lcp = np.array([members[i].common(members[j], 1) for i, j in zip(by_right, by_right[1:])] or [0], np.int64)
-    # Sparse table: the agreement of two members is the smallest between their ranks.
-    table = [lcp]
-    while 2 << len(table) - 1 <= len(lcp):
-        half = 1 << len(table) - 1
-        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-    flat = np.full((len(table), len(lcp)), 0, np.int64)
-    for i, t in enumerate(table):
-        flat[i, : len(t)] = t
-
-    def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        k = np.frexp((hi - lo).astype(float))[1] - 1
-        return np.minimum(flat[k, lo], flat[k, hi - (1 << k)])
-
-    by_left = sorted(range(m), key=cmp_to_key(lambda i, j: members[i].before(members[j], 0)))
-    near = [members[i].common(members[j], 0) for i, j in zip(by_left, by_left[1:])]
-    run = {i: i for i in range(m)}
-    ranks = {i: np.array([rank[by_left[i]]]) for i in range(m)}
-
-    def find(i: int) -> int:
-        while run[i] != i:
-            run[i] = run[run[i]]
-            i = run[i]
-        return i
-
-    out = []
-    for at in sorted(range(m - 1), key=lambda i: -near[i]):
-        a, b = find(at), find(at + 1)
-        x, y = ranks[a], ranks[b]
-        for own, other in ((x, y), (y, x)):
-            place = np.searchsorted(other, own)
-            right = np.zeros(len(own), np.int64)
-            for q in (place - 1, place):
-                ok = (q >= 0) & (q < len(other))
-                right[ok] = np.maximum(right[ok], agree(own[ok], other[q[ok]]))
-            for i in np.flatnonzero(near[at] + right >= length):
-                out.append((by_right[own[i]], near[at], int(right[i])))
-        run[b] = a
-        ranks[a] = np.sort(np.concatenate([x, y]))
-        del ranks[b]
+def _between(place: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """``[i, b]``: the smallest of ``near`` between places ``place[i]`` and ``b``; at its own place 0."""
+    m, most = len(near) + 1, np.int64(1) << 40
+    k = np.arange(m - 1)[None, :]
+    up = np.minimum.accumulate(np.where(k >= place[:, None], near[None, :], most), axis=1)
+    down = np.minimum.accumulate(np.where(k < place[:, None], near[None, :], most)[:, ::-1], axis=1)[:, ::-1]
+    out = np.zeros((len(place), m), np.int64)
+    out[:, 1:] = np.where(k >= place[:, None], up, 0)
+    out[:, :-1] += np.where(k < place[:, None], down, 0)
     return out
 
 
-def _pair_extents(lefts: list[bytes], rights: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far the contexts of each pair agree to the left and right of the anchor; all pairs at once."""
-    out = []
-    for strings in ([s[::-1] for s in lefts], rights):
-        size = np.array([len(s) for s in strings], np.int64)
-        start = np.cumsum(size) - size
-        raw = np.frombuffer(b"".join(strings), np.uint8)
-        p = prefix_hashes(raw)
-        down = _power(_INVERSE, len(p) + 1)
-        a, b = start[pairs[:, 0]], start[pairs[:, 1]]
-        lo, hi = np.zeros(len(pairs), np.int64), np.minimum(size[pairs[:, 0]], size[pairs[:, 1]])
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = (p[a + mid] - p[a]) * down[a] == (p[b + mid] - p[b]) * down[b]
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        for k, (i, j, n) in enumerate(zip(pairs[:, 0].tolist(), pairs[:, 1].tolist(), lo.tolist())):
-            x, y = strings[i], strings[j]
-            if x[:n] != y[:n]:
-                lo[k] = next(q for q, (u, v) in enumerate(zip(x, y)) if u != v)
-        out.append(lo)
+def extents(lefts: list[bytes], rights: list[bytes], first: np.ndarray, alone: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each context repeats to the left and right of its anchor, within its group; 0, 0 where it does not.
+
+    All strings of a context that repeat cover the anchor, so they make up one run: the farthest agreements, to either
+    side, with contexts that agree over ``length`` bytes in all. Only contexts ``alone`` are asked about.
+    """
+    (by_left, near_left), (by_right, near_right) = (suffix_sort(_Side(s), first) for s in (lefts, rights))
+    m = len(lefts)
+    out = np.zeros((2, m), np.int64)
+    # Groups of two, the most frequent ones, all at once.
+    two = first[:-1][np.diff(first) == 2]
+    ok = two[near_left[two] + near_right[two] >= length]
+    for k in (0, 1):
+        out[0, ok + k], out[1, ok + k] = near_left[ok], near_right[ok]
+    place = np.empty((2, m), np.int64)
+    place[0, by_left], place[1, by_right] = np.arange(m), np.arange(m)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a < 3:
+            continue
+        asked = np.flatnonzero(alone[a:b]) + a
+        for part in (asked[i : i + 128] for i in range(0, len(asked), 128)):
+            left, right = np.empty((2, len(part), b - a), np.int64)
+            left[:, by_left[a:b] - a] = _between(place[0, part] - a, near_left[a : b - 1])
+            right[:, by_right[a:b] - a] = _between(place[1, part] - a, near_right[a : b - 1])
+            long_ = left + right >= length
+            out[0, part], out[1, part] = (left * long_).max(axis=1), (right * long_).max(axis=1)
+    out[:, ~alone] = 0
     return out[0], out[1]
 
 
 def _solve(length: int):
-    """Over rows sorted by anchor hash: the repeated extents around each context that stands alone."""
-
-    def groups(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-        held: list[tuple] = []
-        for r in rows:
-            if held and held[-1][0] != r[0]:
-                yield held
-                held = []
-            held.append(r)
-        if held:
-            yield held
-
-    def emit(found: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["t", "n", "a", "b"])
+    """Over rows sorted by group: the repeated extents around each context that stands alone."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for i in range(0, b.num_rows, 512) for r in zip(*(c.to_pylist() for c in b.slice(i, 512).columns)))
-        small: list[tuple] = []
-        pairs: list[tuple[int, int]] = []
+        held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            where = np.array(pairs, np.int64).reshape(-1, 2)
-            left, right = _pair_extents([r[5] for r in small], [r[6] for r in small], where)
-            found = set()
-            for k in np.flatnonzero(left + right >= length):
-                for i in where[k].tolist():
-                    _, t, n, pos, alone, *_ = small[i]
-                    if alone:
-                        found.add((t, n, pos - int(left[k]), pos + int(right[k])))
-            return emit(sorted(found))
-
-        for g in groups(rows):
-            if len(g) <= PAIRWISE:
-                base = len(small)
-                small += g
-                pairs += [(base + i, base + j) for i in range(len(g)) for j in range(i)]
-                if len(small) > 1_000:
-                    yield flush()
-                    small, pairs = [], []
-            else:
-                members = [_Context(r[5], r[6]) for r in g]
-                found = {(g[i][1], g[i][2], g[i][3] - a, g[i][3] + b) for i, a, b in _sorted_extents(members, length) if g[i][4]}
-                yield emit(sorted(found))
-        if pairs:
+            rows = pa.concat_batches(held)
+            first = np.cumsum([0, *(h.num_rows for h in held)])
+            t, n, pos = (rows.column(i).to_numpy() for i in (1, 2, 3))
+            left, right = extents(rows.column(5).to_pylist(), rows.column(6).to_pylist(), first, rows.column(4).to_numpy(zero_copy_only=False), length)
+            k = np.flatnonzero(left + right)
+            return pa.RecordBatch.from_arrays([pa.array(t[k]), pa.array(n[k]), pa.array(pos[k] - left[k]), pa.array(pos[k] + right[k])], ["t", "n", "a", "b"])
+
+        for group in runs_of(batches, 1):
+            if group.num_rows > 1:
+                held.append(group)
+            if sum(h.num_rows for h in held) > BATCH:
+                yield flush()
+                held = []
+        if held:
             yield flush()
 
     return kernel
 
 
+_CONTEXT = "g long, t long, n int, pos int, alone boolean, left binary, right binary"
+_NAMES = ["g", "t", "n", "pos", "alone", "left", "right"]
+
+
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``h, t, n, pos, alone, left, right``: the bytes on either side of each wanted anchor."""
+    """``g, t, n, pos, alone, left, right``: the bytes that run away from each wanted anchor to the left and right."""
     span = length - GRAM
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, n, text, at in (r for i in range(0, batch.num_rows, 256) for r in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns))):
-                raw = text.encode()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["h"] for x in at], pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array([n] * len(at), pa.int32()), pa.array([x["pos"] for x in at], pa.int32()), pa.array([x["alone"] for x in at], pa.bool_()), pa.array([raw[max(0, x["pos"] - span) : x["pos"]] for x in at], pa.binary()), pa.array([raw[x["pos"] : x["pos"] + length] for x in at], pa.binary())],
-                    ["h", "t", "n", "pos", "alone", "left", "right"],
-                )
-
-    wanted = cut(wanted.groupBy("t", "n").agg(F.collect_list(F.struct("h", "pos", "alone")).alias("at")))
+            for i in range(0, batch.num_rows, 64):
+                rows: list[tuple] = []
+                for t, n, text, at in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns)):
+                    raw = text.encode()
+                    rows += ((x["h"], t, n, x["pos"], x["alone"], raw[max(0, x["pos"] - span) : x["pos"]][::-1], raw[x["pos"] : x["pos"] + length]) for x in at)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
+
+    wanted = wanted.groupBy("t", "n").agg(F.collect_list(F.struct("h", "pos", "alone")).alias("at"))
     texts = among(docs.where(F.col("n") >= length).select("t", "n", "text"), "t", wanted.select("t"))
     # Equal texts need one copy: any of them will do.
     texts = texts.join(wanted, ["t", "n"]).dropDuplicates(["t", "n"]).select("t", "n", "text", "at")
-    return texts.mapInArrow(kernel, "h long, t long, n int, pos int, alone boolean, left binary, right binary")
+    return texts.mapInArrow(kernel, _CONTEXT)
 
 
-def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same extents for groups too large for one task: every window through an anchor by its own two hashes."""
+def _split(contexts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Groups of at most ``LOCAL`` contexts that hold all pairs still to be compared, and the extents found on the way.
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, t, n, pos, alone, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = np.frombuffer(left + right, np.uint8)
-                s = np.arange(0, len(raw) - length + 1)
-                s = s[(s <= len(left)) & (s + length >= len(left) + GRAM)]
-                p, q = prefix_hashes(raw), prefix_hashes(raw[::-1])
-                x, y = mix(_hash(p, s, s + length)), mix(_hash(q, len(raw) - s - length, len(raw) - s))
-                k = len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array([t] * k, pa.int64()), pa.array([n] * k, pa.int32()), pa.array(s + pos - len(left)), pa.array([alone] * k, pa.bool_())], ["x", "y", "t", "n", "a", "alone"])
+    With ``l`` and ``r`` what all members of a group agree on to either side (the agreement of its least and greatest
+    string): if that is long enough, it repeats in all of them, and what is left are pairs that agree further to one
+    side; else any repeat is longer than half of what is missing on one side or the other. Both ways members meet
+    again by the bytes that they have to agree on; who gets there both ways counts once.
+    """
 
-    w = cut(contexts.mapInArrow(kernel, "x long, y long, t long, n int, a long, alone boolean"))
-    start = F.struct("t", "n", "a")  # a window can hold several anchors, so it may be listed more than once
-    twice = cut(w.groupBy("x", "y").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi").select("x", "y"))
-    return w.where("alone").join(twice, ["x", "y"]).select("t", "n", "a", (F.col("a") + length).alias("b"))
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = lambda x, y: next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        for batch in batches:
+            g, *ends = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([far(x, y) for x, y in zip(ends[0], ends[1])], pa.int32()), pa.array([far(x, y) for x, y in zip(ends[2], ends[3])], pa.int32())], ["g", "l", "r"])
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1_024) for b in batches for i in range(0, b.num_rows, 1_024)):
+            rows = []
+            for _, t, n, pos, alone, left, right, l, r in zip(*(c.to_pylist() for c in batch.columns)):
+                half = l + (length - l - r + 1) // 2
+                for x, y in ((l + 1, r), (l, r + 1)) if l + r >= length else ((half, r), (l, length - half + 1)):
+                    if x <= len(left) and y <= len(right):
+                        key = blake2b(b"%d:%d:" % (x, y) + left[:x] + right[:y], digest_size=8).digest()
+                        rows.append((int.from_bytes(key, "little", signed=True), t, n, pos, alone, left, right))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], _NAMES)
+
+    ready, found, level = [], [], cut(contexts)
+    while True:
+        sizes = level.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("left").alias("l0"), F.max("left").alias("l1"), F.min("right").alias("r0"), F.max("right").alias("r1"))
+        large = cut(sizes.where(F.col("m") > LOCAL).select("g", "l0", "l1", "r0", "r1").mapInArrow(shared, "g long, l int, r int"))
+        if large.isEmpty():
+            ready.append(level)
+            break
+        ready.append(cut(level.join(large, "g", "left_anti")))
+        hot = cut(level.join(large, "g").select(*_NAMES, "l", "r"))
+        found.append(cut(hot.where("alone").where(F.col("l") + F.col("r") >= length).select("t", "n", (F.col("pos") - F.col("l")).cast("long").alias("a"), (F.col("pos") + F.col("r")).cast("long").alias("b"))))
+        before, level = level, cut(hot.mapInArrow(parted, _CONTEXT).dropDuplicates(["g", "t", "n", "pos"]))
+        drop(before, hot, large)
+    out = ready[0]
+    for x in ready[1:]:
+        out = out.union(x)
+    return out, found
 
 
 def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -310,34 +338,41 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
 
     ``docs`` has ``t, n, text``: a hash of the text, its size in bytes, and the text.
     """
+    spark = docs.sparkSession
     rows = cut(_anchor_rows(docs, length))
-    grams = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("k > 1"))
+    context = F.struct("c", "d")
+    grams = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), (F.min(context) != F.max(context)).alias("mixed")).where("k > 1").select("h", "mixed"))
+    release(spark)
     # Equal contexts: all of each is covered, if it holds a whole string.
-    shared = cut(among(rows, "h", grams.select("h"), 26).join(grams.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h").groupBy("h", "c", "mixed").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "n", "pos")).alias("at")))
-    release(docs.sparkSession)
-    equal = shared.where("k > 1").select("h", "c")
+    shared = cut(among(rows, "h", grams.select("h"), 26).join(grams, "h").groupBy("h", "c", "d", "mixed").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "n", "pos")).alias("at")))
+    drop(grams)
+    release(spark)
+    equal = shared.where("k > 1").select("h", "c", "d")
     span = length - GRAM
     lo, hi = F.greatest(F.col("pos") - span, F.lit(0)), F.least(F.col("pos") + length, F.col("n"))
-    whole = among(rows, "c", equal.select("c"), 26).join(equal, ["h", "c"]).select("t", "n", lo.cast("long").alias("a"), hi.cast("long").alias("b")).where(F.col("b") - F.col("a") >= length).distinct()
+    whole = among(rows, "c", equal.select("c"), 26).join(equal, ["h", "c", "d"]).select("t", "n", lo.cast("long").alias("a"), hi.cast("long").alias("b")).where(F.col("b") - F.col("a") >= length)
+    whole = cut(whole.groupBy("t", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    drop(rows)
     # Different contexts around one gram, where at least one stands alone.
     mixed = shared.where("mixed")
     sizes = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("least")).where("least = 1").select("h", "size")
-    wanted = mixed.join(sizes, "h").select("h", "at.t", "at.n", "at.pos", (F.col("k") == 1).alias("alone"), "size")
-    large = cut(wanted.where(F.col("size") > LOCAL).select("h").distinct())
-    contexts = _contexts(docs, wanted.drop("size"), length)
-    if large.isEmpty():
-        near = contexts
-        far = None
-    else:
-        contexts = cut(contexts)
-        near, far = contexts.join(F.broadcast(large), "h", "left_anti"), contexts.join(large, "h", "left_semi")
+    wanted = cut(mixed.join(sizes, "h").select("h", "at.t", "at.n", "at.pos", (F.col("k") == 1).alias("alone"), "size"))
+    drop(shared)
+    release(spark)
+    contexts, found = _contexts(docs, wanted.where(F.col("size") <= LOCAL).drop("size"), length), []
+    if not wanted.where(F.col("size") > LOCAL).isEmpty():
+        parts, found = _split(_contexts(docs, wanted.where(F.col("size") > LOCAL).drop("size"), length), length)
+        contexts = contexts.union(parts)
     # A fixed number of tasks: the work follows the rows, not their bytes.
-    found = near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "t", "pos").mapInArrow(_solve(length), "t long, n int, a long, b long")
-    if far is not None:
-        found = found.union(_by_windows(far, length))
-    spans = whole.union(found).groupBy("t", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = cut(spans)
-    release(docs.sparkSession)
+    found.append(contexts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "t", "pos").mapInArrow(_solve(length), "t long, n int, a long, b long"))
+    runs = found[0]
+    for x in found[1:]:
+        runs = runs.union(x)
+    each = runs.groupBy("t", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = cut(each.union(whole).groupBy("t", "n").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+    drop(whole, wanted)
+    del contexts, found, runs, each, mixed, sizes, equal
+    release(spark)
     return spans
 
 
@@ -347,8 +382,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: bool = True) -> Dat
     Every byte of a ``length``-byte string that also starts anywhere else in the table, the same text included, is
     removed; strings are judged on the input. Null and empty texts have no bytes; texts shorter than ``length`` lose
     nothing; a row that repeats another loses all, if long enough. ``kept`` is the remaining bytes. Columns but
-    ``doc_id`` and ``text`` are ignored; an empty table gives none. Texts are told apart by a 64-bit hash and size,
-    contexts by 128 bits of hash; where contexts differ, what hashes say is verified on the bytes.
+    ``doc_id`` and ``text`` are ignored; an empty table gives none. Long texts are hashed in pieces of a megabyte; a task
+    holds a text whole. Texts are told apart by a 64-bit hash and size, equal contexts by 128 bits of BLAKE2; where
+    contexts differ, what polynomial hashes say is verified on the bytes.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text")).withColumn("n", F.octet_length("text").cast("int"))
     spans = repeated_extents(d.select("t", "n", "text"), length)
@@ -360,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: bool = True) -> Dat
             for raw, found in zip(raws.to_pylist(), batch.column(2).to_pylist()):
                 at = gone = k = 0
                 state, parts = sha256(), []
-                for a, b in sorted((s["a"], s["b"]) for s in found or ()):
+                for a, b in ((s["a"], s["b"]) for s in found or ()):
                     if a > at or not k:
                         state.update(raw[at:a])
                         parts.append((at, a))
@@ -379,5 +415,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: bool = True) -> Dat
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep else [])]
-    joined = d.join(spans, ["t", "n"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(kernel, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)
+    # Only texts that may have spans travel; the others are digested where they are.
+    some = among(d, "t", spans.select("t")).join(spans, ["t", "n"], "left").select("doc_id", "text", "spans")
+    none = among(d, "t", spans.select("t"), others=True).select("doc_id", "text", F.lit(None).cast(some.schema["spans"].dataType).alias("spans"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
+    return some.mapInArrow(kernel, schema).union(none.mapInArrow(kernel, schema))

@@ -288,12 +288,7 @@ def brute_repeats(texts, length):
         yield len(r), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(r) else 0)), hashlib.sha256(bytes(b for b, x in zip(r, gone) if not x)).hexdigest()
 
 
-@pytest.mark.parametrize("way", ["pairs", "sorted", "windows"])
-def test_suffix_dedup(spark, monkeypatch, way):
-    if way == "sorted":
-        monkeypatch.setattr(suffix_dedup, "PAIRWISE", 1)
-    if way == "windows":
-        monkeypatch.setattr(suffix_dedup, "LOCAL", 5)
+def test_suffix_dedup(spark):
     rnd = random.Random(3)
     w = lambda n: " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(2, 7))) for _ in range(n))
     passages = [w(100) for _ in range(3)]
@@ -322,6 +317,48 @@ def test_suffix_dedup_anchors_once_across_pieces(monkeypatch, piece):
     assert len(set(got)) == len(got) and got == whole
 
 
+def test_suffix_dedup_splits_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LOCAL", 12)
+    rnd = random.Random(6)
+    w = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    passage = w(110)
+    texts = [w(rnd.randint(0, 30)) + passage[: rnd.randint(380, 460)] + rnd.choice(["x", "xy", "z", ""]) + w(rnd.randint(0, 30)) for _ in range(36)]
+    texts += [passage[70:] + w(9), texts[3]]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs(spark, texts, extra=True)).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_repeats(texts, 400))]
+
+
+@pytest.mark.parametrize("hashes", ["good", "pairs of letters collide", "all collide"])
+def test_suffix_sort_and_extents(monkeypatch, hashes):
+    values = suffix_dedup._VALUE.copy()
+    if hashes == "pairs of letters collide":
+        values[ord("b")] = values[ord("a")]
+    if hashes == "all collide":
+        values[:] = 0
+    monkeypatch.setattr(suffix_dedup, "_VALUE", values)
+    rnd = random.Random(5)
+    strings, first = [], [0]
+    for size in (2, 1, 2, 9, 40, 3, 2, 150):
+        base = "".join(rnd.choice("ab") for _ in range(30))
+        group = {(base[: rnd.randrange(20, 30)] + "".join(rnd.choice("abc") for _ in range(rnd.randrange(6)))).encode() for _ in range(size)}
+        strings += sorted(group, key=lambda x: rnd.random())
+        first.append(len(strings))
+    first = np.array(first)
+    order, near = suffix_dedup.suffix_sort(suffix_dedup._Side(strings), first)
+    agree = lambda x, y: next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+    for a, b in zip(first[:-1], first[1:]):
+        assert [strings[i] for i in order[a:b]] == sorted(strings[a:b])
+        assert near[a : b - 1].tolist() == [agree(strings[i], strings[j]) for i, j in zip(order[a:b], order[a + 1 : b])]
+    lefts = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(9))).encode() for _ in strings]
+    alone = np.array([rnd.random() < 0.7 for _ in strings])
+    left, right = suffix_dedup.extents(lefts, strings, first, alone, 26)
+    for a, b in zip(first[:-1], first[1:]):
+        for i in range(a, b):
+            far = [(agree(lefts[i], lefts[j]), agree(strings[i], strings[j])) for j in range(a, b) if j != i]
+            far = [x for x in far if sum(x) >= 26 and alone[i]]
+            assert (left[i], right[i]) == (max((x for x, _ in far), default=0), max((y for _, y in far), default=0))
+
+
 def test_suffix_dedup_beyond_one_piece(spark):
     rnd = random.Random(9)
     w = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(n))
