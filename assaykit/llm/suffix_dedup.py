@@ -8,8 +8,7 @@ mergesort whose comparisons find by prefix polynomial hashes and binary search h
 the finished order are verified on the bytes, their order and their agreement; where a hash misled, bytes sort instead.
 Smallest agreements between places in both orders tell how far each context repeats.
 
-A group of contexts that is too large for a task is split by what its members agree on beyond what all of them share,
-again and again, and what all share is a repeat itself if it is long enough. So one way serves every size.
+A group of more contexts than a task should hold is not sorted: its strings meet their equals by digest.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of an anchor gram. Positions in a piece of text fit 20 bits.
 GRAM, PIECE = 64, (1 << 20) - 4096
-#: Contexts of one group that meet in a task, and contexts of small groups that are sorted in one go.
+#: Contexts of one group that are sorted in one task at most (a few MB), and contexts of small groups that are sorted in one go.
 LOCAL, BATCH = 4_096, 1_500
 _VALUE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _powers: dict[int, np.ndarray] = {}
@@ -263,10 +262,6 @@ def _solve(length: int):
     return kernel
 
 
-_CONTEXT = "g long, t long, n int, pos int, alone boolean, left binary, right binary"
-_NAMES = ["g", "t", "n", "pos", "alone", "left", "right"]
-
-
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``g, t, n, pos, alone, left, right``: the bytes that run away from each wanted anchor to the left and right."""
     span = length - GRAM
@@ -279,58 +274,40 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     raw = text.encode()
                     rows += ((x["h"], t, n, x["pos"], x["alone"], raw[max(0, x["pos"] - span) : x["pos"]][::-1], raw[x["pos"] : x["pos"] + length]) for x in at)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "t", "n", "pos", "alone", "left", "right"])
 
     wanted = wanted.groupBy("t", "n").agg(F.collect_list(F.struct("h", "pos", "alone")).alias("at"))
     texts = among(docs.where(F.col("n") >= length).select("t", "n", "text"), "t", wanted.select("t"))
     # Equal texts need one copy: any of them will do.
     texts = texts.join(wanted, ["t", "n"]).dropDuplicates(["t", "n"]).select("t", "n", "text", "at")
-    return texts.mapInArrow(kernel, _CONTEXT)
+    return texts.mapInArrow(kernel, "g long, t long, n int, pos int, alone boolean, left binary, right binary")
 
 
-def _split(contexts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Groups of at most ``LOCAL`` contexts that hold all pairs still to be compared, and the extents found on the way.
+def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
+    """The same extents for groups that no task should hold: each string through an anchor meets its equals by digest.
 
-    With ``l`` and ``r`` what all members of a group agree on to either side (the agreement of its least and greatest
-    string): if that is long enough, it repeats in all of them, and what is left are pairs that agree further to one
-    side; else any repeat is longer than half of what is missing on one side or the other. Both ways members meet
-    again by the bytes that they have to agree on; who gets there both ways counts once.
+    Work and rows grow with the members, not with their pairs. The digest, 128 bits of BLAKE2, is of the bytes.
     """
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = lambda x, y: next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
-        for batch in batches:
-            g, *ends = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([far(x, y) for x, y in zip(ends[0], ends[1])], pa.int32()), pa.array([far(x, y) for x, y in zip(ends[2], ends[3])], pa.int32())], ["g", "l", "r"])
-
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1_024) for b in batches for i in range(0, b.num_rows, 1_024)):
-            rows = []
-            for _, t, n, pos, alone, left, right, l, r in zip(*(c.to_pylist() for c in batch.columns)):
-                half = l + (length - l - r + 1) // 2
-                for x, y in ((l + 1, r), (l, r + 1)) if l + r >= length else ((half, r), (l, length - half + 1)):
-                    if x <= len(left) and y <= len(right):
-                        key = blake2b(b"%d:%d:" % (x, y) + left[:x] + right[:y], digest_size=8).digest()
-                        rows.append((int.from_bytes(key, "little", signed=True), t, n, pos, alone, left, right))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], _NAMES)
-
-    ready, found, level = [], [], cut(contexts)
-    while True:
-        sizes = level.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("left").alias("l0"), F.max("left").alias("l1"), F.min("right").alias("r0"), F.max("right").alias("r1"))
-        large = cut(sizes.where(F.col("m") > LOCAL).select("g", "l0", "l1", "r0", "r1").mapInArrow(shared, "g long, l int, r int"))
-        if large.isEmpty():
-            ready.append(level)
-            break
-        ready.append(cut(level.join(large, "g", "left_anti")))
-        hot = cut(level.join(large, "g").select(*_NAMES, "l", "r"))
-        found.append(cut(hot.where("alone").where(F.col("l") + F.col("r") >= length).select("t", "n", (F.col("pos") - F.col("l")).cast("long").alias("a"), (F.col("pos") + F.col("r")).cast("long").alias("b"))))
-        before, level = level, cut(hot.mapInArrow(parted, _CONTEXT).dropDuplicates(["g", "t", "n", "pos"]))
-        drop(before, hot, large)
-    out = ready[0]
-    for x in ready[1:]:
-        out = out.union(x)
-    return out, found
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            digests, starts, counts = [], [], []
+            for pos, left, right in zip(*(batch.column(i).to_pylist() for i in (3, 5, 6))):
+                raw = memoryview(left[::-1] + right)
+                s = range(max(0, len(left) + GRAM - length), min(len(left), len(raw) - length) + 1)
+                digests += (blake2b(raw[i : i + length], digest_size=16).digest() for i in s)
+                starts.append(np.array(s, np.int64) + pos - len(left))
+                counts.append(len(s))
+            key = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), *(batch.column(i).take(rows) for i in (1, 2, 3, 4)), pa.array(np.concatenate(starts))], ["x", "y", "t", "n", "pos", "alone", "a"])
+
+    w = cut(contexts.mapInArrow(kernel, "x long, y long, t long, n int, pos int, alone boolean, a long"))
+    start = F.struct("t", "n", "a")  # a string can hold several anchors, so it may be listed more than once
+    twice = w.groupBy("x", "y").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi").select("x", "y")
+    found = cut(w.where("alone").join(twice, ["x", "y"]).groupBy("t", "n", "pos").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).select("t", "n", "a", "b"))
+    drop(w)
+    return found
 
 
 def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -359,19 +336,16 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
     wanted = cut(mixed.join(sizes, "h").select("h", "at.t", "at.n", "at.pos", (F.col("k") == 1).alias("alone"), "size"))
     drop(shared)
     release(spark)
-    contexts, found = _contexts(docs, wanted.where(F.col("size") <= LOCAL).drop("size"), length), []
-    if not wanted.where(F.col("size") > LOCAL).isEmpty():
-        parts, found = _split(_contexts(docs, wanted.where(F.col("size") > LOCAL).drop("size"), length), length)
-        contexts = contexts.union(parts)
+    contexts = _contexts(docs, wanted.where(F.col("size") <= LOCAL).drop("size"), length)
     # A fixed number of tasks: the work follows the rows, not their bytes.
-    found.append(contexts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "t", "pos").mapInArrow(_solve(length), "t long, n int, a long, b long"))
-    runs = found[0]
-    for x in found[1:]:
-        runs = runs.union(x)
+    runs = contexts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "t", "pos").mapInArrow(_solve(length), "t long, n int, a long, b long")
+    large = wanted.where(F.col("size") > LOCAL).drop("size")
+    if not large.isEmpty():
+        runs = runs.union(_by_windows(_contexts(docs, large, length), length))
     each = runs.groupBy("t", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = cut(each.union(whole).groupBy("t", "n").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     drop(whole, wanted)
-    del contexts, found, runs, each, mixed, sizes, equal
+    del contexts, runs, large, each, mixed, sizes, equal
     release(spark)
     return spans
 

@@ -317,7 +317,7 @@ def test_suffix_dedup_anchors_once_across_pieces(monkeypatch, piece):
     assert len(set(got)) == len(got) and got == whole
 
 
-def test_suffix_dedup_splits_large_groups(spark, monkeypatch):
+def test_suffix_dedup_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LOCAL", 12)
     rnd = random.Random(6)
     w = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(n))
