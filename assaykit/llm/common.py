@@ -29,6 +29,17 @@ def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS,
     return near.where(~F.coalesce(hit, F.lit(False)) if others else hit).select(*df.columns)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, with underscores appended where ``df`` has such a column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose first ``keys`` columns, whole numbers, are equal; rows come sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -15,6 +15,9 @@ from math import log2
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.lineage import cut
+from assaykit.llm.common import among, free_names
+
 # The shapes that are always reported, in reporting order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -135,7 +138,7 @@ def scan_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allo
     ``start:end``, what entropy spans that overlap those cover beside them; both together are all that was found, and
     ``rest`` is the array of ``parts``. Null, empty and clean
     texts have zero counts, the digest of the empty string and no spans. Rows that repeat an id are scanned each for
-    itself; an empty table gives no rows; columns but ``doc_id`` and ``text`` are ignored.
+    itself; an empty table gives no rows; columns but ``doc_id`` and ``text`` are ignored. Long texts are scanned whole.
     """
     spans = scan_spans(docs.select("doc_id", "text"), classes, allow)
     item = F.when(F.col("kind").isNotNull(), F.struct("start", "o", "kind", "end"))
@@ -152,15 +155,19 @@ def scan_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allo
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret replaced by ``mask``, all columns kept; ``n_chars``, if there, follows the new text.
 
-    Spans depend on the text alone, and rows meet them by its SHA-256: ids may be null or repeated. Texts without
-    secrets, null and empty ones stay as they are.
+    Spans depend on the text alone, and rows meet them by its SHA-256: ids may be null or repeated, and further columns
+    may have any names. Texts without secrets, null and empty ones stay as they are, and all but a few of them where
+    they are: only texts that a filter lets pass travel.
     """
-    key = F.sha2("text", 256)
+    key, secret_key, spans = free_names(docs, "text_key", "secret_key", "secret_spans")
+    keyed = docs.withColumn(key, F.sha2("text", 256))
     every = F.array_sort(F.concat(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), F.transform("rest", lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end")))))
-    found = scan_secrets(docs.select(key.alias("doc_id"), "text")).withColumn("found", every).where(F.size("found") > 0)
-    found = found.groupBy(F.col("doc_id").alias("secret_key")).agg(F.first("found").alias("secret_spans"))
-    kept = "aggregate(secret_spans, named_struct('t', CAST(array() AS array<string>), 'at', 0L), (a, x) -> IF(x.end <= a.at, a, named_struct('t', concat(a.t, array(substring(text, CAST(a.at + 1 AS int), CAST(greatest(0L, x.start - a.at) AS int)), '%s')), 'at', CAST(x.end AS bigint))), a -> concat(array_join(a.t, ''), substring(text, CAST(a.at + 1 AS int))))" % mask
-    out = docs.join(found, key == F.col("secret_key"), "left").withColumn("text", F.when(F.col("secret_spans").isNull(), F.col("text")).otherwise(F.expr(kept)))
+    found = scan_secrets(keyed.select(F.col(key).alias("doc_id"), "text")).withColumn("found", every).where(F.size("found") > 0)
+    found = cut(found.groupBy(F.col("doc_id").alias(secret_key)).agg(F.first("found").alias(spans)))
+    kept = f"aggregate({spans}, named_struct('t', CAST(array() AS array<string>), 'at', 0L), (a, x) -> IF(x.end <= a.at, a, named_struct('t', concat(a.t, array(substring(text, CAST(a.at + 1 AS int), CAST(greatest(0L, x.start - a.at) AS int)), '{mask}')), 'at', CAST(x.end AS bigint))), a -> concat(array_join(a.t, ''), substring(text, CAST(a.at + 1 AS int))))"
+    near = among(keyed, key, found.select(secret_key)).join(found, F.col(key) == F.col(secret_key), "left")
+    near = near.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.expr(kept)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        near = near.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return among(keyed, key, found.select(secret_key), others=True).select(*docs.columns).union(near.select(*docs.columns))
