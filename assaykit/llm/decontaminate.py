@@ -19,7 +19,8 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of the filter over benchmark fingerprints that stands before the join: 64 for each, within these bounds.
 FILTER_BITS = (14, 19)
-#: The benchmark's fingerprints are broadcast up to this many (each a hash, an id and 20 words); beyond, both sides shuffle.
+#: The benchmark's fingerprints are broadcast up to this many (each a hash, an id and the words within reach, 15 for
+#: windows of 10); beyond, both sides shuffle.
 BROADCAST_ROWS = 50_000
 
 
@@ -43,8 +44,18 @@ def _winnowed(grams: str, span: int) -> str:
     return f"array_distinct(transform(sequence(1, greatest(1, size({grams}) - {span - 1})), i -> array_min(slice({grams}, i, {span}))))"
 
 
+def _around(w: str, p: str, reach: int, most: int) -> str:
+    """The words from ``reach`` before place ``p`` to ``most + reach`` after it."""
+    return f"slice({w}, greatest(1, {p} - {reach}), least({p} - 1, {reach}) + {most + reach})"
+
+
+def _place(p: str, reach: int) -> str:
+    """Where the word at place ``p`` stands in what ``_around`` gives."""
+    return f"least({p}, {reach + 1})"
+
+
 def _fingerprints(benchmark: DataFrame, window: int, k: int) -> DataFrame:
-    """``item_id, m, h, iw, q``: each joinable gram of each item, with the item's words and the gram's place in it.
+    """``item_id, m, h, iw, q``: each joinable gram of each item, with the words within reach and the gram's place in them.
 
     Items of ``window`` words or more are winnowed (``m`` is ``k``); a shorter one is a single window, found by its
     first gram of ``m = min(k, words)`` words.
@@ -53,7 +64,8 @@ def _fingerprints(benchmark: DataFrame, window: int, k: int) -> DataFrame:
     items = items.withColumn("c", F.size("iw")).where("c > 0")
     long_ = items.where(F.col("c") >= window).withColumn("g", F.expr(_grams(k, "iw", "c"))).withColumn("f", F.expr(_winnowed("g", window - k + 1)))
     long_ = long_.withColumn("q", F.explode(F.expr("filter(sequence(1, size(g)), i -> array_contains(f, g[i - 1]))")))
-    long_ = long_.select("item_id", F.lit(k).alias("m"), F.expr("g[q - 1]").alias("h"), "iw", "c", "q", F.lit(window).alias("least"))
+    long_ = long_.select("item_id", F.lit(k).alias("m"), F.expr("g[q - 1]").alias("h"), F.expr(_around("iw", "q", window - k, k)).alias("iw"), F.expr(_place("q", window - k)).alias("q"), F.lit(window).alias("least"))
+    long_ = long_.select("item_id", "m", "h", "iw", F.size("iw").alias("c"), "q", "least")
     short = items.where(F.col("c") < window).withColumn("m", F.least("c", F.lit(k)))
     short = short.select("item_id", "m", F.expr("xxhash64(slice(iw, 1, m))").alias("h"), "iw", "c", F.lit(1).alias("q"), F.col("c").alias("least"))
     return long_.union(short)
@@ -83,7 +95,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     Null, empty and word-free texts have no words and no hits; an item without words or without an id takes no part;
     items that repeat count once; rows that repeat a document id are marked each for itself; empty tables give no
-    rows, an empty benchmark no hits.
+    rows, an empty benchmark no hits. Long texts are searched whole, as one array of words.
     """
     fps = cut(_fingerprints(benchmark.select("item_id", "text"), window, k))
     kinds = {(r["m"], r["least"] < window): r["n"] for r in fps.groupBy("m", "least").count().withColumnRenamed("count", "n").collect()}
@@ -108,6 +120,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         hits = f"concat({hits}, IF(size(c{i}) = 0, CAST(array() AS array<struct<m:int,h:bigint,p:int>>), transform(filter(sequence(1, size({source})), j -> array_contains(c{i}, {source}[j - 1])), j -> named_struct('m', {m}, 'h', {source}[j - 1], 'p', j))))"
     d = d.withColumn("hit", F.expr(f"array_distinct({hits})")).select("doc_id", "row", "n", F.when(F.size("hit") > 0, F.col("w")).alias("w"), "hit")
     d = d.select("doc_id", "row", "n", "w", F.explode_outer("hit").alias("t")).select("doc_id", "row", "n", "w", "t.m", "t.h", "t.p")
+    # Only the words within reach go on to the join.
+    d = d.select("doc_id", "row", F.col("n").alias("n_words"), "m", "h", F.col("p").alias("at"), F.expr(_around("w", "p", window - k, window)).alias("w"), F.expr(_place("p", window - k)).alias("p")).withColumn("n", F.size("w"))
     side = F.broadcast(fps) if count <= BROADCAST_ROWS else fps
     d = d.join(side, ["m", "h"], "left")
     reach = window - k
@@ -118,7 +132,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     d = d.withColumn("r", F.expr(f"IF(item_id IS NULL, 0, IF(least < {window}, IF(slice(w, p, c) = iw, c, 0), {right}))")).withColumn("l", F.expr(f"IF(item_id IS NULL OR least < {window}, 0, {left})"))
     ok = (F.col("item_id").isNotNull()) & (F.col("l") + F.col("r") >= F.col("least")) & (F.col("r") > 0)
     # One row per document survives without a span; equal spans meet before they travel.
-    spans = d.select("doc_id", "row", "n", F.when(ok, F.col("item_id")).alias("item_id"), F.when(ok, F.col("p") - F.col("l")).alias("first"), F.when(ok, F.col("p") + F.col("r") - 1).alias("last")).distinct()
+    spans = d.select("doc_id", "row", F.col("n_words").alias("n"), F.when(ok, F.col("item_id")).alias("item_id"), F.when(ok, F.col("at") - F.col("l")).alias("first"), F.when(ok, F.col("at") + F.col("r") - 1).alias("last")).distinct()
     spans = cut(spans)
     per = Window.partitionBy("row").orderBy(F.col("first").asc_nulls_last(), "last")
     reached = F.coalesce(F.max("last").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
