@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assaykit.lineage import cut
+
 #: Ids in a block, and blocks in a run: the scan goes within runs and then over runs.
 BLOCK, RUN = 1 << 16, 1 << 10
 EOD = 50_256
@@ -107,7 +109,8 @@ def separator_scan(blocks: DataFrame, eod: int = EOD, dtype: str = "<u2") -> Dat
             yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], ["file", "block", "n", "ends", "lengths", "tail", *(["docs"] if named else [])])
 
     extra = ", docs array<long>" if named else ""
-    b = blocks.select("file", "block", "ids", *(["docs"] if named else [])).mapInArrow(kernel, f"file {kind}, block long, n long, ends long, lengths array<long>, tail long{extra}")
+    # The summaries are read twice, the blocks (and whatever makes them) once.
+    b = cut(blocks.select("file", "block", "ids", *(["docs"] if named else [])).mapInArrow(kernel, f"file {kind}, block long, n long, ends long, lengths array<long>, tail long{extra}"))
     b = b.withColumn("run", F.floor(F.col("block") / RUN))
     inner = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # Within a run: ids before the block, documents before it, and ids up to the last separator before it.
@@ -126,5 +129,9 @@ def separator_scan(blocks: DataFrame, eod: int = EOD, dtype: str = "<u2") -> Dat
 
 
 def token_counts(docs: DataFrame, vocabulary: str, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_tokens`` of whole texts, by scanning their flat token streams; a row per input row."""
+    """``doc_id, n_tokens`` of whole texts, by scanning their flat token streams; a row per input row.
+
+    Null and empty texts have no tokens; rows that repeat an id, or have none, are counted each for itself; an empty
+    table gives none; columns but ``doc_id`` and ``text`` are ignored. A task holds one text's tokens beside a block.
+    """
     return separator_scan(tokenize_flat(docs, vocabulary, block=block)).select("doc_id", "n_tokens")
