@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame and SQL functions only.
 
 The mix is a sequence of slots, each one block of equal token count. Slot ``j`` takes the golden-ratio point
-``frac((j + 1/2) * phi)`` through the cumulative slot weights of the sources, so every stretch of the mix is close to
+``frac(j / phi)``, in whole numbers of ``2**64`` parts, through the cumulative slot weights of the sources, so every stretch of the mix is close to
 the target proportions. The slots of a source are ranked in order; rank ``r`` takes block ``r`` of the source's
 documents, which are shuffled by a hash and laid end to end, starting over when they run out.
 """
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from assaykit.lineage import cut
 
-GOLDEN = 0.6180339887498949
+#: ``2**64`` over the golden ratio, made odd; multiples of it modulo ``2**64`` are the points, exact for any number of slots.
+GOLDEN = 0x9E3779B97F4A7C15
 #: Cells of the unit interval that turn the point-in-interval join into an equi-join.
 CELLS = 1024
 #: Hash ranges into which each source, and runs into which the slots, are cut for two-level running sums.
@@ -78,8 +79,9 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "slot long, source_no long, rank long")
     x = F.col("point")
-    slots = spark.range(total).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * GOLDEN - F.floor((F.col("id") + 0.5) * GOLDEN)).alias("share"))
-    slots = slots.select("slot", F.least(F.floor(F.col("share") * total), F.lit(total - 1)).alias("point")).withColumn("cell", F.floor(x * CELLS / total))
+    share = f"CAST((CAST(id AS decimal(17,0)) * CAST({GOLDEN} AS decimal(20,0))) % CAST({1 << 64} AS decimal(20,0)) AS decimal(20,0))"
+    slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"CAST({share} * CAST({total} AS decimal(17,0)) div CAST({1 << 64} AS decimal(20,0)) AS bigint)").alias("point"))
+    slots = slots.withColumn("cell", F.floor(x * CELLS / total))
     spans = g.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS / total), F.floor((F.col("hi") - 1) * CELLS / total))))
     hits = slots.join(spans, "cell").where((x >= F.col("lo")) & (x < F.col("hi"))).select("slot", "source_no", "need")
     run = F.floor(F.col("slot") * PARTS / total)
@@ -99,10 +101,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     """``taken, schedule``: what the mix takes of every document, and the slots that take it.
 
     ``docs`` needs ``doc_id, text, source``; further columns are ignored. ``taken`` has a row per input row: ``doc_id,
-    source, size, source_size, target, taken``. A source yields exactly its target, rounded to a whole token; a
+    source, size, source_size, target, taken, first_slot``, the last being the first slot of the mix that takes words of
+    the document, null where none does. A source yields exactly its target, rounded to a whole token; a
     document is passed over at most ``most`` times. Null texts and blank ones have size 0 and are never taken; null
     is a source of its own; rows that repeat an id are laid end to end like any others; an empty table gives none.
-    The order within a source is that of ``md5(seed + doc_id)``, so reruns agree.
+    Long texts are counted whole. The order within a source is that of ``md5(seed + doc_id)``, so reruns agree.
     """
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     goals = targets(sized, weights, most)
@@ -116,7 +119,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     end = F.least(F.col("begin") + F.col("size"), F.col("wanted"))
     parts = passes.withColumn("end", end).withColumn("rank", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")))
     parts = parts.withColumn("n", F.least("end", (F.col("rank") + 1) * block) - F.greatest("begin", F.col("rank") * block))
-    used = parts.join(slots, ["source_no", "rank"]).groupBy("source_no", "at", "doc_id", "size").agg(F.sum("n").alias("n"))
+    used = parts.join(slots, ["source_no", "rank"]).groupBy("source_no", "at", "doc_id", "size").agg(F.sum("n").alias("n"), F.min("slot").alias("slot"))
     used = used.select(*(F.col(c).alias(f"u_{c}") for c in used.columns))
     whole = laid.join(used, (laid["source_no"] == F.col("u_source_no")) & (laid["at"] == F.col("u_at")) & laid["doc_id"].eqNullSafe(F.col("u_doc_id")) & (laid["size"] == F.col("u_size")), "left")
-    return whole.select("doc_id", "source", "size", "source_size", "target", F.coalesce("u_n", F.lit(0)).cast("long").alias("taken")), slots
+    return whole.select("doc_id", "source", "size", "source_size", "target", F.coalesce("u_n", F.lit(0)).cast("long").alias("taken"), F.col("u_slot").alias("first_slot")), slots

@@ -48,7 +48,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +92,23 @@ f AS (SELECT *, row_number() OVER v AS rank,
 o AS (SELECT min(rank) AS rank FROM f WHERE level <= ratio),
 g AS (SELECT f.source, f.source_size, CASE WHEN f.rank >= o.rank THEN f.weight * l.level ELSE f.lim::DOUBLE END AS target
       FROM f, o LEFT JOIN f l ON l.rank = o.rank),
-t AS (SELECT *, round(target)::BIGINT AS wanted FROM g),
-a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.wanted,
+t AS (SELECT *, round(target)::BIGINT AS wanted, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM g),
+a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.wanted, t.no,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(d.key, 1, 4))::INT % 1024, d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE (wanted // source_size) * size + greatest(0, least(start_at + size, wanted % source_size) - start_at) END::BIGINT AS taken
-FROM a"""
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+need AS (SELECT no, (wanted + 1023) // 1024 AS need, (sum((wanted + 1023) // 1024) OVER (ORDER BY no))::BIGINT AS hi FROM t WHERE wanted > 0),
+total AS (SELECT coalesce(max(hi), 0)::BIGINT AS total FROM need),
+point AS (SELECT j AS slot, (((j::HUGEINT * 11400714819323198485) % 18446744073709551616) * total // 18446744073709551616)::BIGINT AS point FROM total, range((SELECT total FROM total)) r(j)),
+hit AS (SELECT no, need, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM point JOIN need ON point >= hi - need AND point < hi),
+got AS (SELECT no, count(*) AS got FROM hit GROUP BY no),
+slots AS (SELECT no, rank, slot FROM hit WHERE rank < need UNION ALL
+          SELECT no, r.k, total + hi - need + r.k FROM need LEFT JOIN got USING (no), total, LATERAL (SELECT unnest(range(coalesce(got, 0), need)) AS k) r),
+pass AS (SELECT doc_id, size, start_at, no, wanted, unnest(range((wanted + source_size - 1) // source_size)) * source_size + start_at AS b FROM a WHERE size > 0 AND wanted > 0),
+part AS (SELECT DISTINCT doc_id, size, start_at, no, unnest(range(b // 1024, (least(b + size, wanted) - 1) // 1024 + 1)) AS rank FROM pass WHERE b < wanted),
+first_ AS (SELECT doc_id, size, start_at, no, min(slot) AS first_slot FROM part JOIN slots USING (no, rank) GROUP BY ALL)
+SELECT a.doc_id, a.size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (wanted // source_size) * a.size + greatest(0, least(a.start_at + a.size, wanted % source_size) - a.start_at) END::BIGINT AS taken, first_slot::BIGINT AS first_slot
+FROM a LEFT JOIN first_ f ON f.doc_id IS NOT DISTINCT FROM a.doc_id AND f.size = a.size AND f.start_at = a.start_at AND f.no = a.no"""
 
 _TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings
