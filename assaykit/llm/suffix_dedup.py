@@ -304,9 +304,10 @@ def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
 
     w = cut(contexts.mapInArrow(kernel, "x long, y long, t long, n int, pos int, alone boolean, a long"))
     start = F.struct("t", "n", "a")  # a string can hold several anchors, so it may be listed more than once
-    twice = w.groupBy("x", "y").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi").select("x", "y")
+    # Written first, so that a string that very many share can be dealt out again at the join.
+    twice = cut(w.groupBy("x", "y").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi").select("x", "y"))
     found = cut(w.where("alone").join(twice, ["x", "y"]).groupBy("t", "n", "pos").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b")).select("t", "n", "a", "b"))
-    drop(w)
+    drop(w, twice)
     return found
 
 
