@@ -21,8 +21,8 @@ from assaykit.llm.toxicity import SEPARATORS
 from assaykit.llm.wordhash import string_buffer, words_and_prefixes
 
 BITS, BEGINNINGS = 16, (2, 3, 4)
-#: Text evidence counts in full up to so many features; beyond, its mean counts, as features of a text are not independent.
-FULL = 40
+#: Every word counts once, with up to so many features of its own: each feature carries that part of the evidence.
+EVIDENCE = 1 / (1 + len(BEGINNINGS))
 #: Pseudo-counts of the next wider level in a host's and a suffix's prior, and of a declaration being right (a tenth: wrong).
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 5.0, 20.0, 1.0
 SALTS = 32
@@ -41,8 +41,8 @@ def _buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and log-likelihoods ``[language, bucket]`` from all rows of ``labelled (text, lang)``.
 
-    Counts are summed in Spark; one table of ``2**16`` counts per language reaches the driver. Rows without a text or
-    language are left out.
+    Counts are summed in Spark; one table of ``2**16`` counts per language reaches the driver (512 KB; labels are taken to
+    be languages, of which there are at most some hundreds). Rows without a text or language are left out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     ``pages`` has ``page_id, url, html``; further columns are ignored. Without a text, declaration or address the other
     evidence decides; with none at all, the overall prior does. Ties go to the language first by name; ``text_lang`` is
     null without text. Null urls share one empty host. Without labelled rows ``lang`` is null and the probability 0.
-    Repeated rows get a row each; an empty table gives none.
+    Repeated rows get a row each; an empty table gives none. Labels may hold any characters. Long pages are read whole.
     """
     langs, model = fit_text_model(labelled)
     shared = pages.sparkSession.sparkContext.broadcast(model)
@@ -102,8 +102,7 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
                 text, bucket = _buckets(pc.replace_substring_regex(html, BOILERPLATE, " "))
                 n = np.bincount(text, minlength=part.num_rows)
                 ll = np.stack([np.bincount(text, weights=table[i][bucket], minlength=part.num_rows) for i in range(k)], axis=1).astype(float)
-                ll *= np.minimum(1, FULL / np.maximum(n, 1))[:, None]
-                ll -= ll.max(1, keepdims=True)
+                ll = EVIDENCE * (ll - ll.max(1, keepdims=True))
                 ends = pa.array(np.arange(0, len(n) * k + 1, k), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(ll.ravel()))], ["page_id", "host", "suffix", "declared", "n", "ll"])
 
@@ -111,8 +110,11 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"), F.when(declared != "", declared).alias("declared"))
     p = cut(p.mapInArrow(judge, "page_id long, host string, suffix string, declared string, n long, ll array<double>"))
-    share = lambda i: f"exp(ll[{i}]) / ({' + '.join(f'exp(ll[{j}])' for j in range(k))})"
-    p = p.select("*", *(F.expr(f"IF(n > 0, {share(i)}, 0D)").alias(f"t{i}") for i in range(k)))
+    parts = [F.exp(F.col("ll")[i]) for i in range(k)]
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole + x
+    p = p.select("*", *(F.when(F.col("n") > 0, parts[i] / whole).otherwise(0.0).alias(f"t{i}") for i in range(k)))
     # Languages by place: sums of the text's verdicts, by suffix and host; overall sums are one row.
     sums = lambda prefix: [F.sum(f"t{i}").alias(f"{prefix}{i}") for i in range(k)]
     by_host = cut(p.groupBy("host", "suffix").agg(*sums("h")))
@@ -125,15 +127,18 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     q = p.withColumn("own_salt", salt).join(places, (F.col("host") == F.col("p_host")) & (F.col("own_salt") == F.col("salt")))
     said = by_declared.withColumn("d_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     q = q.join(said, (F.col("declared") == F.col("d_declared")) & (F.col("own_salt") == F.col("d_salt")), "left")
-    s_all, h_all = " + ".join(f"(s{i} - t{i})" for i in range(k)), " + ".join(f"(h{i} - t{i})" for i in range(k))
+    rest = lambda p, i: F.greatest(F.lit(0.0), F.col(f"{p}{i}") - F.col(f"t{i}"))  # noqa: E731  without the page itself
+    total_of = lambda p: F.aggregate(F.array(*(F.col(f"{p}{i}") - F.col(f"t{i}") for i in range(k))), F.lit(0.0), lambda a, x: a + x)
+    q = q.withColumns({"s_all": F.greatest(F.lit(0.0), total_of("s")), "h_all": F.greatest(F.lit(0.0), total_of("h"))})
     scores = []
-    for i in range(k):
-        suffix = f"((greatest(0D, s{i} - t{i}) + {SUFFIX_WEIGHT}D * {world[i]!r}D) / (greatest(0D, {s_all}) + {SUFFIX_WEIGHT}D))"
-        place = f"((greatest(0D, h{i} - t{i}) + {HOST_WEIGHT}D * {suffix}) / (greatest(0D, {h_all}) + {HOST_WEIGHT}D))"
+    for i, lang in enumerate(langs):
+        suffix = (rest("s", i) + SUFFIX_WEIGHT * world[i]) / (F.col("s_all") + SUFFIX_WEIGHT)
+        place = (rest("h", i) + HOST_WEIGHT * suffix) / (F.col("h_all") + HOST_WEIGHT)
         # How often pages of this language declare what this one declares, against pages of any.
-        record = f"IF(d{i} IS NULL, 0D, ln((greatest(0D, d{i} - t{i}) + IF(declared = '{langs[i]}', {DECLARED_WEIGHT}D, {DECLARED_WEIGHT / 10}D)) / ({total[i]!r}D + {2 * DECLARED_WEIGHT}D)))"
-        scores.append(f"named_struct('v', ll[{i}] + ln({place}) + {record}, 'o', {-i}, 'lang', '{langs[i]}')")
-    q = q.withColumn("all", F.expr(f"array({', '.join(scores)})")).withColumn("best", F.array_max("all"))
+        right = F.when(F.col("declared") == F.lit(lang.lower()), DECLARED_WEIGHT).otherwise(DECLARED_WEIGHT / 10)
+        record = F.when(F.col(f"d{i}").isNull(), 0.0).otherwise(F.log((rest("d", i) + right) / (total[i] + 2 * DECLARED_WEIGHT)))
+        scores.append(F.struct((F.col("ll")[i] + F.log(place) + record).alias("v"), F.lit(-i).alias("o"), F.lit(lang).alias("lang")))
+    q = q.withColumn("all", F.array(*scores)).withColumn("best", F.array_max("all"))
     text = F.expr("array_max(transform(ll, (x, i) -> named_struct('v', x, 'o', -i)))")["o"]
     names = F.array(*(F.lit(x) for x in langs))
     return q.select("page_id", F.col("best.lang").alias("lang"), F.expr("1D / aggregate(all, 0D, (a, x) -> a + exp(x.v - best.v))").alias("probability"), F.when(F.col("n") > 0, F.element_at(names, (-text + 1).cast("int"))).alias("text_lang"), "declared", F.col("n").alias("n_features"))
