@@ -222,6 +222,25 @@ def test_top_k(spark, monkeypatch):
     assert topk._scores(np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0]])).tolist() == [[2**60 + 1]]
 
 
+def test_top_k_sends_only_what_blocks_can_use(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(20, 16))
+    v = np.concatenate([c + 0.05 * rng.normal(size=(200, 16)) for c in centre])
+    d = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    answers, sent = topk._top_k(d, 5, 50, 256, topk.PIVOTS, 8)
+    blocks = sent.select("block").distinct().count()
+    assert blocks >= 8 and sent.count() < 0.5 * blocks * len(v)
+    z = np.floor(256 * v).astype(np.int64)
+    got = {}
+    for r in answers.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == 80
+    for q, found in got.items():
+        s = z @ z[q]
+        want = sorted((-int(x), i) for i, x in enumerate(s) if i != q)[:5]
+        assert sorted(found) == [(r + 1, i, -x) for r, (x, i) in enumerate(want)]
+
+
 # 4
 
 
@@ -415,6 +434,52 @@ def test_language_id(spark):
     assert language_id.identify(d.limit(0), labelled).count() == 0 and language_id.identify(d, labelled.limit(0)).first()["lang"] is None
 
 
+def test_language_id_against_plain_bayes(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = [r.asDict() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()][:200]
+    pages += [{"page_id": 9_000, "url": pages[0]["url"], "html": None}, {"page_id": 9_001, "url": None, "html": "<html lang=fr>'"}, dict(pages[3])]
+    labelled = [(r["text"], "o'" + r["lang"] if r["lang"] == "es" else r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] and r["lang"]]
+
+    def buckets(text):
+        return language_id._buckets(pa.array([text]))[1].tolist()
+
+    langs = sorted({k for _, k in labelled})
+    counts = {k: Counter() for k in langs}
+    for t, k in labelled:
+        counts[k].update(buckets(t))
+    size = {k: sum(counts[k].values()) + 0.1 * 2**16 for k in langs}
+    boiler = re.compile(language_id.BOILERPLATE)
+    seen = []
+    for p in pages:
+        html, url = p["html"] or "", p["url"] or ""
+        found = buckets(boiler.sub(" ", html))
+        ll = [sum(math.log((counts[k][b] + 0.1) / size[k]) for b in found) / 4 for k in langs]
+        ll = [x - max(ll) for x in ll]
+        own = [math.exp(x) / sum(map(math.exp, ll)) if found else 0.0 for x in ll]
+        m = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url)
+        host = m[1].lower() if m else ""
+        d = re.search(r"""<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]{2,3})""", html, re.I)
+        seen.append((p["page_id"], host, host.split(".")[-1], d[1].lower() if d else None, ll, own))
+    total = [sum(s[5][i] for s in seen) for i in range(len(langs))]
+    world = [(x + 1) / (sum(total) + len(langs)) for x in total]
+    want = []
+    for page, host, suffix, declared, ll, own in seen:
+        at = lambda f: [max(0, sum(s[5][i] for s in seen if f(s)) - own[i]) for i in range(len(langs))]
+        h, z, d = at(lambda s: s[1] == host), at(lambda s: s[2] == suffix), at(lambda s: s[3] == declared)
+        score = []
+        for i, k in enumerate(langs):
+            wide = (z[i] + 20 * world[i]) / (sum(z) + 20)
+            prior = (h[i] + 5 * wide) / (sum(h) + 5)
+            record = math.log((d[i] + (1 if declared == k else 0.1)) / (total[i] + 2)) if declared else 0
+            score.append(ll[i] + math.log(prior) + record)
+        best = max(range(len(langs)), key=lambda i: (score[i], -i))
+        want.append((page, langs[best], 1 / sum(math.exp(s - score[best]) for s in score)))
+    d = spark.createDataFrame([(p["page_id"], p["url"], p["html"]) for p in pages], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["lang"], r["probability"]) for r in language_id.identify(d, spark.createDataFrame(labelled, "text string, lang string")).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], abs=1e-6)
+
+
 # 9
 
 
@@ -464,3 +529,98 @@ def test_toxicity(spark):
     alone = toxicity.toxicity(docs(spark, ["you idiot", "fine"]), lab.limit(0)).orderBy("doc_id").collect()
     assert [x["predicted"] for x in alone] == [1, 0]
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
+
+
+def brute_label_model(rows, told, y, rounds):
+    """The same steps in plain Python: tree of greatest conditional information, rates by counting, posteriors by products."""
+    m = len(rows[0][0])
+
+    def estimate(cells):  # (class, votes) -> weight
+        mass = [sum(w for (k, _), w in cells.items() if k == c) for c in (0, 1)]
+        info = {}
+        for i in range(m):
+            for j in range(m):
+                info[i, j] = 0.0
+                for c in (0, 1):
+                    t = Counter()
+                    for (k, v), w in cells.items():
+                        if k == c:
+                            t[v[i], v[j]] += w
+                    for (a, b), w in t.items():
+                        own, other = sum(x for (p, _), x in t.items() if p == a), sum(x for (_, q), x in t.items() if q == b)
+                        info[i, j] += w * math.log(w * mass[c] / (own * other)) if w else 0
+        parent, inside = {0: None}, [0]
+        while len(inside) < m:
+            i, j = max(((i, j) for i in inside for j in range(m) if j not in inside), key=lambda e: info[e])
+            parent[j] = i
+            inside.append(j)
+        rates = {}
+        for c in (0, 1):
+            for i in range(m):
+                overall = min(max(sum(w for (_, v), w in cells.items() if v[i]), 1e-6), 1 - 1e-6)
+                lean = 1e-3 * mass[c]
+                own = (sum(w for (k, v), w in cells.items() if k == c and v[i]) + lean * overall) / (mass[c] + lean)
+                for u in (0, 1):
+                    if parent[i] is None:
+                        rate = own
+                    else:
+                        seen = sum(w for (k, v), w in cells.items() if k == c and v[parent[i]] == u)
+                        rate = (sum(w for (k, v), w in cells.items() if k == c and v[i] and v[parent[i]] == u) + lean * own) / (seen + lean)
+                    rates[c, i, u] = min(max(rate, 1e-6), 1 - 1e-6)
+        return parent, rates, min(max(mass[1] / sum(mass), 1e-4), 1 - 1e-4)
+
+    def posterior(model, v):
+        parent, rates, share = model
+        p = [1 - share, share]
+        for c in (0, 1):
+            for i in range(m):
+                r = rates[c, i, v[parent[i]] if parent[i] is not None else 0]
+                p[c] *= r if v[i] else 1 - r
+        return p[1] / sum(p)
+
+    labelled = Counter()
+    for v, k in zip(told, y):
+        labelled[k, v] += 1 / len(y)
+    model, n = estimate(labelled), sum(w for _, w in rows)
+    for _ in range(rounds):
+        post = [posterior(model, v) for v, _ in rows]
+        share = sum(w * p for (_, w), p in zip(rows, post)) / n
+        cells = Counter()
+        for (v, w), p in zip(rows, post):
+            cells[0, v] += w * (1 - p) / n / 2
+            cells[1, v] += w * p / n / 2
+        for (k, v), w in labelled.items():
+            cells[k, v] += w * (share if k else 1 - share) / (sum(x == k for x in y) / len(y)) / 2
+        model = estimate(cells)
+    return model, [posterior(model, v) for v, _ in rows]
+
+
+def test_label_model_against_plain_python():
+    rnd = random.Random(12)
+
+    def votes(k):
+        a = int(rnd.random() < (0.8 if k else 0.1))
+        b = a if rnd.random() < 0.9 else int(rnd.random() < 0.5)  # says the same thing again
+        c = int(rnd.random() < (0.6 if k else 0.05))
+        return a, b, c, int(rnd.random() < 0.3)
+
+    texts = [(int(rnd.random() < 0.25),) for _ in range(3_000)]
+    texts = [(k, votes(k)) for (k,) in texts]
+    rows = sorted(Counter(v for _, v in texts[400:]).items())
+    told, y = [v for _, v in texts[:400]], [k for k, _ in texts[:400]]
+    model = toxicity.label_model(np.array([v for v, _ in rows]), np.array([float(w) for _, w in rows]), np.array(told), np.array(y), rounds=5)
+    plain, post = brute_label_model(rows, told, y, 5)
+    assert model.parent.tolist() == [-1 if plain[0][i] is None else plain[0][i] for i in range(4)]
+    assert model.share == pytest.approx(plain[2]) and model.parent[1] == 0
+    assert [model.rates[k, u, i] for k in (0, 1) for i in range(4) for u in (0, 1)] == pytest.approx([plain[1][k, i, u] for k in (0, 1) for i in range(4) for u in (0, 1)])
+    assert model.posterior(np.array([v for v, _ in rows])).tolist() == pytest.approx(post)
+    # What the second voter repeats adds little to what the first one says.
+    one, both = model.posterior(np.array([[1, 0, 0, 0], [1, 1, 0, 0]]))
+    assert abs(both - one) < 0.4 and 0.15 < model.share < 0.35
+
+
+def test_toxicity_keeps_columns_that_are_named_alike(spark):
+    d = docs(spark, ["you idiot", "fine"]).selectExpr("*", "'mine' AS score", "2 AS predicted")
+    lab = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.toxicity(d, lab, names=("held_out", "score_", "predicted_")).orderBy("doc_id").collect()
+    assert [(r["score"], r["predicted"], r["predicted_"]) for r in got] == [("mine", 2, 1), ("mine", 2, 0)]
