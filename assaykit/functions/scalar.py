@@ -67,11 +67,18 @@ def beta_map(p: Column, a: Column, b: Column, c: Column) -> Column:
 
 
 def interpolated(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise linear through the knots, constant beyond them."""
-    out = F.when(x <= xs[0], F.lit(float(ys[0])))
-    for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:]):
-        out = out.when(x <= x1, y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
-    return out.otherwise(F.lit(float(ys[-1])))
+    """Piecewise linear through the knots, constant beyond them; the knots are one array, searched by halving."""
+    n = len(xs)
+    knots = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in zip(xs, ys)))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
+    # How many knots lie below ``x``.
+    below = F.aggregate(steps, F.lit(0), lambda k, step: F.when((k + step <= n) & (F.get(knots, k + step - 1)["x"] < x), k + step).otherwise(k))
+
+    def at(k: Column) -> Column:
+        a, b = F.get(knots, F.greatest(k - 1, F.lit(0))), F.get(knots, F.least(k, F.lit(n - 1)))
+        return F.when(a["x"] == b["x"], a["y"]).otherwise(a["y"] + (x - a["x"]) * ((b["y"] - a["y"]) / (b["x"] - a["x"])))
+
+    return F.when(x.isNotNull(), F.element_at(F.transform(F.array(below), at), 1))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -53,9 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop(*frames: DataFrame) -> None:
-    """Delete the tables behind frames made by ``cut`` that no later step reads."""
+    """Delete the tables behind frames made by ``cut`` that no later step reads, and let go of what made them."""
     for df in frames:
         delete(df.sparkSession, df._cut_path)
+    release(frames[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import ratio
+from assaykit.operators.ranking import with_quantiles
 
 
 def describe(df: DataFrame, by: list[str], column: str, percentiles: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """``by, count, mean, std, min, max`` and exact linear percentiles ``p<percent>``."""
-    q = F.percentile(column, F.array(*map(F.lit, percentiles)))
-    d = df.groupBy(*by).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), q.alias("_q"))
-    return d.select(*by, "count", "mean", "std", "min", "max", *(F.col("_q")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(percentiles)))
+    d = df.groupBy(*by).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return with_quantiles(d, df, by, column, {f"p{p * 100:g}".replace(".", "_"): p for p in percentiles})
 
 
 def threshold_counts(df: DataFrame, column: str, thresholds: tuple[float, ...], above: bool = False) -> DataFrame:

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.lineage import cut
+from assaykit.operators.ranking import auroc_ap, with_quantiles
+
 _BATCH = 128
 
 
@@ -23,6 +26,23 @@ def draw_indices(n: int, replicates: int, seed: int) -> Iterator[np.ndarray]:
         done += size
 
 
+def generator_states(n: int, replicates: int, seed: int) -> list[dict]:
+    """The generator's state before each block of replicates, so that a block is drawn without those before it."""
+    rng, states = np.random.Generator(np.random.PCG64(seed)), []
+    for done in range(0, replicates, _BATCH):
+        states.append(rng.bit_generator.state)
+        if done + _BATCH < replicates:
+            rng.integers(0, n, size=(_BATCH, n))
+    return states
+
+
+def draw_block(state: dict, n: int, size: int) -> np.ndarray:
+    """How often each of ``n`` clusters is drawn, ``[replicate, cluster]``, in the block that begins at ``state``."""
+    rng = np.random.Generator(np.random.PCG64())
+    rng.bit_generator.state = state
+    return np.stack([np.bincount(row, minlength=n) for row in rng.integers(0, n, size=(size, n))])
+
+
 def draw_digest(n: int, replicates: int, seed: int) -> str:
     """SHA-256 over the draws as little-endian 64-bit integers: pins the resamples of a study."""
     h = hashlib.sha256()
@@ -34,23 +54,21 @@ def draw_digest(n: int, replicates: int, seed: int) -> str:
 def draw_table(images: DataFrame, replicates: int, seed: int, cluster: str = "image") -> DataFrame:
     """``replicate, cluster, multiplicity`` for the clusters in name order; drawn on executors, one task per block.
 
-    Blocks are drawn from the same stream by skipping ahead, so the table equals a single sequential draw.
+    Every block is drawn from the generator's state at its beginning, so the table equals a single sequential draw.
     """
     names = [r[0] for r in images.select(cluster).distinct().orderBy(cluster).collect()]
     spark, n = images.sparkSession, len(names)
     shared = spark.sparkContext.broadcast(names)
     kind = images.schema[cluster].dataType.simpleString()
+    states = generator_states(n, replicates, seed)
 
     def kernel(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.array(shared.value, dtype=object)
         for ids in blocks:
-            wanted = set(ids["id"].tolist())
-            for b, block in enumerate(draw_indices(n, min(replicates, (max(wanted, default=-1) + 1) * _BATCH), seed)):
-                if b in wanted:
-                    for i, row in enumerate(block):
-                        count = np.bincount(row, minlength=n)
-                        at = np.flatnonzero(count)
-                        yield pd.DataFrame({"replicate": b * _BATCH + i, cluster: own[at], "multiplicity": count[at]})
+            for b in ids["id"].tolist():
+                for i, count in enumerate(draw_block(states[b], n, min(_BATCH, replicates - b * _BATCH))):
+                    at = np.flatnonzero(count)
+                    yield pd.DataFrame({"replicate": b * _BATCH + i, cluster: own[at], "multiplicity": count[at]})
 
     blocks = spark.range(0, -(-replicates // _BATCH))
     return blocks.mapInPandas(kernel, f"replicate long, {cluster} {kind}, multiplicity long")
@@ -64,9 +82,10 @@ def resampled(rows: DataFrame, draws: DataFrame, cluster: str = "image") -> Data
 def interval(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     """``by, bootstrap_mean, lower_95, upper_95, valid_replicates, invalid_replicates``; NULL and NaN are invalid."""
     v = F.when(~F.isnan(value), F.col(value))
-    q = F.percentile(v, F.array(F.lit(0.025), F.lit(0.975)))
-    out = samples.groupBy(*by).agg(F.avg(v).alias("bootstrap_mean"), q.alias("q"), F.count(v).alias("valid_replicates"), F.count(F.lit(1)).alias("all"))
-    return out.select(*by, "bootstrap_mean", F.col("q")[0].alias("lower_95"), F.col("q")[1].alias("upper_95"), "valid_replicates", (F.col("all") - F.col("valid_replicates")).alias("invalid_replicates"))
+    samples = cut(samples)
+    out = samples.groupBy(*by).agg(F.avg(v).alias("bootstrap_mean"), F.count(v).alias("valid_replicates"), F.count(F.lit(1)).alias("all"))
+    out = with_quantiles(out, samples, by, value, {"lower_95": 0.025, "upper_95": 0.975})
+    return out.select(*by, "bootstrap_mean", "lower_95", "upper_95", "valid_replicates", (F.col("all") - F.col("valid_replicates")).alias("invalid_replicates"))
 
 
 def loss_bootstrap(rows: DataFrame, draws: DataFrame, by: list[str], losses: list[str], cluster: str = "image") -> DataFrame:
@@ -77,44 +96,54 @@ def loss_bootstrap(rows: DataFrame, draws: DataFrame, by: list[str], losses: lis
 
 
 def ranking_bootstrap(rows: DataFrame, spark: SparkSession, images: DataFrame, methods: list[str], label: str, replicates: int, seed: int, cluster: str = "image", most_rows: int = 20_000_000) -> DataFrame:
-    """``replicate, method, auroc, ap`` by a vectorised kernel over blocks of replicates.
+    """``replicate, method, auroc, ap`` on paired draws: every method and metric sees the same ones.
 
-    The population (scores, label, cluster number) is sorted once per method and broadcast, after a check that it has
-    at most ``most_rows`` rows; the relational form serves beyond that. Every method and metric sees the same draws.
+    Up to ``most_rows`` rows the population (label and cluster number, sorted by each method's score) is broadcast
+    and a kernel works through blocks of replicates; beyond that draws are joined with rows, and tie groups of each
+    replicate and method are summed in Spark.
     """
-    names = [r[0] for r in images.select(cluster).distinct().orderBy(cluster).collect()]
     if rows.count() > most_rows:
-        raise ValueError("population too large to broadcast; use resampled() with auroc_ap()")
+        draws = cut(draw_table(images, replicates, seed, cluster))
+        long_ = rows.unpivot([cluster, label], methods, "method", "score")
+        out = auroc_ap(resampled(long_, draws, cluster), ["replicate", "method"], "score", label, "multiplicity")
+        return out.select("replicate", "method", "auroc", "ap")
+    names = [r[0] for r in images.select(cluster).distinct().orderBy(cluster).collect()]
     where = {c: i for i, c in enumerate(names)}
     pdf = rows.select(cluster, label, *methods).toPandas()
     at = pdf[cluster].map(where).to_numpy()
-    y = pdf[label].to_numpy().astype(float)
+    y = pdf[label].to_numpy().astype(bool)
     plans = {}
     for m in methods:
         s = pdf[m].to_numpy()
         order = np.argsort(-s, kind="stable")
-        starts = np.flatnonzero(np.r_[True, s[order][1:] != s[order][:-1]])
-        plans[m] = (at[order], y[order], starts)
+        group = np.cumsum(np.r_[False, s[order][1:] != s[order][:-1]])
+        # Clusters of either label in score order, the tie groups that they stand in, and where those begin.
+        sides = [(at[order][k], *(np.unique(group[k], return_index=True))) for k in (y[order], ~y[order])]
+        plans[m] = (int(group[-1]) + 1 if len(group) else 0, sides)
     shared, n = spark.sparkContext.broadcast(plans), len(names)
+    states = generator_states(n, replicates, seed)
+
+    def summed(weights: np.ndarray, groups: int, side: tuple) -> np.ndarray:
+        cl, group, start = side
+        out = np.zeros((len(weights), groups))
+        if len(cl):
+            out[:, group] = np.add.reduceat(weights[:, cl], start, axis=1)
+        return out
 
     def kernel(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids in blocks:
-            wanted = set(ids["id"].tolist())
-            for b, block in enumerate(draw_indices(n, min(replicates, (max(wanted, default=-1) + 1) * _BATCH), seed)):
-                if b not in wanted:
-                    continue
-                weights = np.stack([np.bincount(r, minlength=n) for r in block]).astype(float)
-                for m, (cl, lab, starts) in shared.value.items():
-                    w = weights[:, cl]
-                    pos, neg = np.add.reduceat(w * lab, starts, axis=1), np.add.reduceat(w * (1 - lab), starts, axis=1)
+        for b in (b for ids in blocks for b in ids["id"].tolist()):
+            block = draw_block(states[b], n, min(_BATCH, replicates - b * _BATCH)).astype(np.int32)
+            for m, (groups, sides) in shared.value.items():
+                for i in range(0, len(block), 4):  # few replicates at a time stay in the processor's cache
+                    pos, neg = (summed(block[i : i + 4], groups, s) for s in sides)
                     cp, cn = np.cumsum(pos, axis=1), np.cumsum(neg, axis=1)
-                    tp, tn = cp[:, -1], cn[:, -1]
+                    tp, tn = pos.sum(axis=1), neg.sum(axis=1)
                     with np.errstate(invalid="ignore", divide="ignore"):
                         auroc = (pos * (tn[:, None] - cn + neg / 2)).sum(1) / (tp * tn)
                         ap = np.where(pos > 0, pos * cp / np.maximum(cp + cn, 1e-300), 0).sum(1) / tp
                     auroc[(tp == 0) | (tn == 0)] = np.nan
                     ap[tp == 0] = np.nan
-                    yield pd.DataFrame({"replicate": b * _BATCH + np.arange(len(block)), "method": m, "auroc": auroc, "ap": ap})
+                    yield pd.DataFrame({"replicate": b * _BATCH + i + np.arange(len(pos)), "method": m, "auroc": auroc, "ap": ap})
 
     blocks = spark.range(0, -(-replicates // _BATCH), 1, min(64, -(-replicates // _BATCH)))
     out = blocks.mapInPandas(kernel, "replicate long, method string, auroc double, ap double")

@@ -25,13 +25,13 @@ def _greedy(image: str, cls: int, pred: list[dict], truth: list[dict], thetas: t
     for theta in thetas:
         free = list(range(len(truth)))
         for r, row in zip(pred, ious):
-            best = max(row, default=None)
+            best = max(row, default=0.0)
             top = max(free, key=lambda j: row[j], default=None)  # noqa: B023
-            unused = None if top is None else row[top]
+            unused = 0.0 if top is None else row[top]
             hit = top is not None and unused >= theta
             if hit:
                 free.remove(top)
-            status = "matched" if hit else "duplicate" if best is not None and best >= theta else "unmatched"
+            status = "matched" if hit else "duplicate" if best >= theta else "unmatched"
             out.append((image, cls, r["source_row"], theta, int(hit), status, truth[top]["gt_id"] if hit else None, unused if hit else None, unused, best))
     return out
 
@@ -48,7 +48,7 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, thetas: tuple[float,
 
     Within an image and class, predictions come by confidence (ties by ``source_row``); each takes the free true box with
     the largest overlap (ties: the first ``line``) and is correct if that reaches the threshold. A prediction whose
-    best box is taken is a duplicate. Thresholds are judged apart. Images without truth leave all unmatched. The boxes
+    best box is taken is a duplicate. Thresholds are judged apart. Images without truth leave all unmatched, with overlaps of 0. The boxes
     of one image and class meet in one row; a task works through Arrow batches of such rows.
     """
     own = ["source_row", "confidence", "x1", "y1", "x2", "y2"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import ratio
+from assaykit.lineage import cut
 from assaykit.operators.scan import running_totals
 
 
@@ -44,24 +45,51 @@ def average_rank(order: str, by: list[str] | None = None) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """``n, rho``: rank correlation from tie groups; NULL for a constant or fewer than two rows."""
-    data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    data = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("m"))
+    data = cut(data)
 
     def ranks(c: str) -> DataFrame:
-        g = running_totals(data.groupBy(c).agg(F.count(F.lit(1)).alias("k")), [], c, ["k"])
+        g = running_totals(data.groupBy(c).agg(F.sum("m").alias("k")), [], c, ["k"])
         return g.select(c, (F.col("cum_k") - F.col("k") + (F.col("k") + 1) / 2).alias(f"r{c}"))
 
-    d = data.join(ranks("x"), "x").join(ranks("y"), "y").select("rx", "ry")
-    m = d.agg(*(F.sum(e).alias(n) for n, e in {"sx": F.col("rx"), "sy": F.col("ry"), "sxx": F.col("rx") ** 2, "syy": F.col("ry") ** 2, "sxy": F.col("rx") * F.col("ry")}.items()), F.count(F.lit(1)).alias("n"))
+    d = data.join(ranks("x"), "x").join(ranks("y"), "y").select("rx", "ry", "m")
+    m = d.agg(*(F.sum(F.col("m") * e).alias(n) for n, e in {"sx": F.col("rx"), "sy": F.col("ry"), "sxx": F.col("rx") ** 2, "syy": F.col("ry") ** 2, "sxy": F.col("rx") * F.col("ry")}.items()), F.sum("m").alias("n"))
     n = F.col("n")
     spread = (n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2)
     return m.select("n", F.when(spread > 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)).alias("rho"))
 
 
+def quantiles(df: DataFrame, by: list[str], column: str, probs: tuple[float, ...]) -> DataFrame:
+    """``by, q0, q1, ...``: exact quantiles, linear between order statistics, found in running counts of values.
+
+    Null and NaN values do not count; a group without any value gives no row. No task holds a group's values.
+    """
+    x = F.col(column).cast("double")
+    g = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_k"))
+    g = running_totals(g, by, "_x", ["_k"])
+    at = lambda place: F.max(F.when((F.col("cum__k") - F.col("_k") <= place) & (place < F.col("cum__k")), F.col("_x")))
+    place = [(F.col("all__k") - 1) * p for p in probs]
+    found = g.groupBy(*by).agg(F.max("all__k").alias("_n"), *(f(p).alias(f"_{side}{i}") for i, p in enumerate(place) for side, f in (("a", lambda p: at(F.floor(p))), ("b", lambda p: at(F.ceil(p))))))
+    part = [(F.col("_n") - 1) * p - F.floor((F.col("_n") - 1) * p) for p in probs]
+    return found.select(*by, *((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * part[i]).alias(f"q{i}") for i in range(len(probs))))
+
+
+def with_quantiles(summary: DataFrame, df: DataFrame, by: list[str], column: str, named: dict[str, float]) -> DataFrame:
+    """``summary`` (a row per group) with named quantiles of ``column``; null for a group without values."""
+    q = quantiles(df, by, column, tuple(named.values()))
+    q = q.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(F.col(f"q{i}").alias(n) for i, n in enumerate(named)))
+    if not by:
+        return summary.join(q, F.lit(True), "left")  # one row each
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return summary.join(q, on, "left").drop(*(f"_by_{c}" for c in by))
+
+
 def descriptives(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """``by, n, mean, std`` (population) and linear quartiles; every value exact."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), q.alias("q"))
-    return out.select(*by, "n", "mean", "std", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    return with_quantiles(out, df, by, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def best_row(df: DataFrame, by: list[str], metric: str, position: str, *keep: str) -> DataFrame:

@@ -25,9 +25,12 @@ def aurc(curve: DataFrame, by: list[str]) -> DataFrame:
 def crop_risks(images: DataFrame, scores: DataFrame, by: list[str], risk: str, label: str) -> DataFrame:
     """A row per image and group: ``image, by, predictions, errors, crop_risk``; empty images keep a NULL risk.
 
-    ``by`` values come from the scores; images without predictions are crossed with these few values.
+    ``by`` values come from the scores; images without predictions meet each of these few (more than 1,000 are an error).
     """
-    groups = scores.select(*by).distinct()
+    values = scores.select(*by).distinct().limit(1_001).collect()
+    if len(values) > 1_000:
+        raise ValueError("more than 1,000 groups of scores")
+    groups = scores.sparkSession.createDataFrame(values, scores.select(*by).schema)
     agg = scores.groupBy("image", *by).agg(F.count(F.lit(1)).alias("predictions"), F.sum(label).alias("errors"), F.max(risk).alias("crop_risk"))
     return images.select("image").join(F.broadcast(groups)).join(agg, ["image", *by], "left").fillna(0, ["predictions", "errors"])
 

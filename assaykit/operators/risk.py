@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.lineage import cut
 from assaykit.operators.ranking import auroc_ap
 from assaykit.protocol import Protocol
 
@@ -48,13 +53,49 @@ def weight_grid(spark: SparkSession, step: int = 1) -> DataFrame:
     return g.withColumn("distance", sum(((3 * F.col(c) - 100) * (3 * F.col(c) - 100) for c in ("conf", "cls", "loc")), F.lit(0)).cast("long"))
 
 
-def evaluate_grid(population: DataFrame, grid: DataFrame, fold: str = "fold_id", label: str = "incorrect") -> DataFrame:
+def _ranked(counts: DataFrame, grid: DataFrame, fold: str, signals: list[str]) -> DataFrame:
+    """Mean AP and AUROC of each candidate over folds, in a kernel over candidates with all counted triples at hand."""
+    pdf = counts.toPandas()
+    folds = [tuple(g[c].to_numpy(float) for c in (*signals, "pos", "neg")) for _, g in pdf.groupby(fold, dropna=False)]
+    shared = grid.sparkSession.sparkContext.broadcast(folds)
+
+    def score(conf: int, cls: int, loc: int) -> tuple[float | None, float | None]:
+        aps, aurocs = [], []
+        for a, b, c, pos, neg in shared.value:
+            risk = (conf * (1 - a) + cls * (1 - b) + loc * (1 - c)) / 100
+            order = np.argsort(-risk)
+            first = np.flatnonzero(np.r_[True, np.diff(risk[order]) != 0])
+            p, n = np.add.reduceat(pos[order], first), np.add.reduceat(neg[order], first)
+            cp, cn = np.cumsum(p), np.cumsum(n)
+            if cp[-1]:
+                aps.append(float((p * cp / np.maximum(cp + cn, 1)).sum() / cp[-1]))
+                if cn[-1]:
+                    aurocs.append(float((p * (cn[-1] - cn + n / 2)).sum() / (cp[-1] * cn[-1])))
+        mean = lambda x: sum(x) / len(x) if x else None
+        return mean(aps), mean(aurocs)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            found = [score(*w) for w in zip(g["conf"].tolist(), g["cls"].tolist(), g["loc"].tolist())]
+            yield g[["conf", "cls", "loc"]].assign(mean_ap=[f[0] for f in found], mean_auroc=[f[1] for f in found], distance=g["distance"])
+
+    grid = grid.select("conf", "cls", "loc", "distance")
+    tasks = min(200, grid.count())
+    return grid.repartition(tasks).mapInPandas(kernel, "conf long, cls long, loc long, mean_ap double, mean_auroc double, distance long")
+
+
+def evaluate_grid(population: DataFrame, grid: DataFrame, fold: str = "fold_id", label: str = "incorrect", most_rows: int = 2_000_000) -> DataFrame:
     """Mean over folds of AP and AUROC for each weight triple.
 
-    The grid has a fixed number of rows (5,151 at most), so it is broadcast; scores are computed once per candidate and
-    distinct triple of signals.
+    The population is counted by fold and distinct triple of signals first. Up to ``most_rows`` of those are broadcast,
+    and a kernel ranks them for each candidate; beyond that every candidate is scored in Spark (the grid has a fixed number
+    of rows, 5,151 at most).
     """
-    wide = population.groupBy(fold, label, "calibrated_confidence", "class_consistency", "localisation_stability").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(grid))
+    signals = ["calibrated_confidence", "class_consistency", "localisation_stability"]
+    counts = cut(population.groupBy(fold, *signals).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg")))
+    if counts.count() <= most_rows:
+        return _ranked(counts, grid, fold, signals)
+    wide = population.groupBy(fold, label, *signals).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(grid))
     scored = wide.withColumn("risk", weighted_risk(F.col("conf"), F.col("cls"), F.col("loc")))
     per = auroc_ap(scored, ["conf", "cls", "loc", fold], "risk", label, "_n")
     return per.groupBy("conf", "cls", "loc").agg(F.avg("ap").alias("mean_ap"), F.avg("auroc").alias("mean_auroc")).join(F.broadcast(grid), ["conf", "cls", "loc"])

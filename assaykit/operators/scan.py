@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut
+from assaykit.lineage import cut, drop
 
 
 def running_totals(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
@@ -16,8 +16,11 @@ def running_totals(df: DataFrame, by: list[str], order: str, columns: list[str])
     """
     if not columns:
         return df
+    # Dealing by range reads its input twice, once to find the ranges, so it is written first.
+    df = cut(df)
     dealt = cut(df.repartitionByRange(*[F.col(c) for c in (*by, order)]).withColumn("_range", F.spark_partition_id()))
     key = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by]
+    drop(df)
     dealt = dealt.withColumn("_key", F.concat_ws("\u0001", *key) if key else F.lit(""))
     ranges = dealt.groupBy("_key", "_range").agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
     earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

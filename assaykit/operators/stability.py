@@ -39,12 +39,14 @@ def match_views(references: DataFrame, detections: DataFrame, views: tuple[dict,
 
     ``references`` has ``image, width, height, prediction_id, class_id, x1..y2``; ``detections`` adds ``transform_id`` and lacks
     the sizes and ids. A reference whose box leaves the view's frame is not evaluable there and takes no part in matching;
-    unchanged geometry always is. Detections are mapped back, numbered by box, and assigned to references whatever
+    unchanged geometry always is. Detections are mapped back, numbered by box and then by arrival (``detection_index``, if
+    there, else the order of rows as they are read), and assigned to references whatever
     their class: as many as can be at ``least`` overlap, then the largest overlap. Unmatched counts 0 for both values.
     """
     refs = references.select("image", "width", "height", "prediction_id", "class_id", F.array("x1", "y1", "x2", "y2").alias("box"))
-    dets = detections.select("image", "transform_id", "class_id", F.array("x1", "y1", "x2", "y2").alias("box"))
-    d = paired_lists(refs, dets, ["image"], ["prediction_id", "width", "height", "class_id", "box"], ["transform_id", "box", "class_id"])
+    arrival = F.col("detection_index") if "detection_index" in detections.columns else F.monotonically_increasing_id()
+    dets = detections.select("image", "transform_id", "class_id", F.array("x1", "y1", "x2", "y2").alias("box"), arrival.alias("arrival"))
+    d = paired_lists(refs, dets, ["image"], ["prediction_id", "width", "height", "class_id", "box"], ["transform_id", "box", "arrival", "class_id"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

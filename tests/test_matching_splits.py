@@ -24,7 +24,7 @@ def test_greedy_cases(spark):
     r = {(x["image"], x["source_row"], x["theta"]): x for x in matching.greedy_match(p, t).collect()}
     assert r["d", 2, 0.5]["status"] == "matched" and r["d", 1, 0.5]["status"] == "duplicate"
     assert r["b", 1, 0.5]["gt_id"] == "b1" and r["b", 1, 0.75]["status"] == "unmatched"
-    assert r["c", 1, 0.5]["status"] == "unmatched" and r["c", 1, 0.5]["best_same_class_iou"] is None
+    assert r["c", 1, 0.5]["status"] == "unmatched" and r["c", 1, 0.5]["best_same_class_iou"] == 0 == r["c", 1, 0.5]["best_unused_iou"]
     assert [r["i", k, th]["correct"] for th in (0.5, 0.75) for k in (1, 2)] == [1, 0, 0, 1]
 
 
@@ -182,3 +182,53 @@ def test_running_best_and_dual_sink(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("SELECT * FROM best").collect())) == [("a", 2, 0.7), ("b", 1, 0.1)]
     incremental.dual_sink(stream, (lambda b: b.where("m > 0.5"), str(tmp_path / "hi")), (lambda b: b.groupBy("k").count(), str(tmp_path / "n")), str(tmp_path / "c2")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "hi")).count() == 2 and spark.read.parquet(str(tmp_path / "n")).count() == 2
+
+
+def test_match_views_breaks_ties_by_arrival(spark):
+    refs = spark.createDataFrame([("i", 100, 100, "i#1", 5, 20.0, 20.0, 40.0, 40.0)], "image string, width int, height int, prediction_id string, class_id int, x1 double, y1 double, x2 double, y2 double")
+    dets = spark.createDataFrame([("i", "blur", 5, 20.0, 20.0, 40.0, 40.0, 0), ("i", "blur", 3, 20.0, 20.0, 40.0, 40.0, 1)], "image string, transform_id string, class_id int, x1 double, y1 double, x2 double, y2 double, detection_index int")
+    for d in (dets, dets.orderBy(F.desc("detection_index"))):
+        (r,) = stability.match_views(refs, d).where("transform_id = 'blur'").collect()
+        assert (r["class_consistency_value"], r["detection_id"]) == (1, 0)
+
+
+def test_hamming_pairs_at_ten_compare_few(spark):
+    rng = np.random.default_rng(1)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 400)]
+    other = [b ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 14), replace=False)) - (0) for b in base]
+    other = [(x + 2**63) % 2**64 - 2**63 for x in other]
+    left, right = (spark.createDataFrame([(i, h) for i, h in enumerate(x)], "id long, hash long") for x in (base, other))
+    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    want = {(i, j, far(a, b)) for i, a in enumerate(base) for j, b in enumerate(other) if far(a, b) <= 10}
+    got = [tuple(r) for r in neardup.hamming_pairs(left, right, 10).collect()]
+    assert len(want) > 200 and set(got) == want and len(got) == len(want)
+    assert neardup.hamming_candidates(left, right, 10).count() < 0.05 * 400 * 400
+    for distance in (0, 1, 18):
+        assert {tuple(r)[:2] for r in neardup.hamming_pairs(left, right, distance).collect()} == {(i, j) for i, a in enumerate(base) for j, b in enumerate(other) if far(a, b) <= distance}
+
+
+def test_folds_are_even_seeded_and_checked(spark):
+    rng = np.random.default_rng(2)
+    groups, at = [], 0
+    for size in [9, 4, 4, 3, 3, 3, 2, 2, *[1] * 50]:
+        groups += [(f"n{at + i:03}", f"n{at:03}") for i in range(size)]
+        at += size
+    df = spark.createDataFrame([groups[i] for i in rng.permutation(len(groups))], "image string, component string")
+    dealt = {s: splits.grouped_folds(df, 5, s) for s in (1, 2)}
+    place = {s: {r["image"]: r["fold_id"] for r in d.collect()} for s, d in dealt.items()}
+    assert place[1] != place[2] and place[1] == {r["image"]: r["fold_id"] for r in splits.grouped_folds(df.repartition(7), 5, 1).collect()}
+    sizes = [list(place[1].values()).count(f) for f in range(5)]
+    assert max(sizes) - min(sizes) <= 1 and all(place[1][i] == place[1][c] for i, c in groups)
+    rows = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(groups)] + [("stranger", 1)], "image string, y int")
+    found = {r["problem"]: r["n"] for r in splits.fold_problems(dealt[1], rows, 5, "y").collect()}
+    assert found == {"without_fold": 1, "in_two_folds": 0, "group_cut": 0, "empty_folds": 0, "folds_of_one_label": 0}
+
+
+def test_component_digests_of_large_groups(spark, monkeypatch):
+    names = [f"x{i:02}" for i in range(25)]
+    df = spark.createDataFrame([(n, "x00") for n in names] + [("z", "z")], "image string, component string")
+    line = lambda x: splits.digest_of(list(x))
+    assert {r["component"]: (r["size"], r["component_id"]) for r in splits.component_ids(df).collect()} == {"x00": (25, line(names)), "z": (1, line(["z"]))}
+    monkeypatch.setattr(splits, "DIGEST_PART", 10)
+    want = line([line(names[:10]), line(names[10:20]), line(names[20:])])
+    assert {r["component"]: r["component_id"] for r in splits.component_ids(df).collect()} == {"x00": want, "z": line(["z"])}

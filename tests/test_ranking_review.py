@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,58 @@ def test_isotonic_and_bounds(spark):
 def test_protocol_is_checked():
     with pytest.raises(ValueError):
         Protocol(weights=(50, 40, 20))
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(x)) for k in ("a", "b") for x in rng.integers(0, 30, 41 if k == "a" else 8)] + [("a", None), ("a", float("nan")), ("c", None), (None, 2.5)]
+    d = spark.createDataFrame(rows, "k string, x double")
+    probs = (0.0, 0.025, 0.5, 0.975, 1.0)
+    got = {r["k"]: [r[f"q{i}"] for i in range(5)] for r in ranking.quantiles(d, ["k"], "x", probs).collect()}
+    for k in ("a", "b", None):
+        x = [v for g, v in rows if g == k and v is not None and v == v]
+        assert got[k] == pytest.approx([float(q) for q in np.quantile(x, probs)])
+    assert set(got) == {"a", "b", None}
+    s = {r["k"]: r for r in ranking.descriptives(d.where("x IS NULL OR NOT isnan(x)"), ["k"], "x").collect()}
+    assert s["c"]["n"] == 0 and s["c"]["median"] is None and s[None]["median"] == 2.5
+
+
+def test_calibrators_beyond_the_driver_agree(spark):
+    rng = np.random.default_rng(6)
+    p = np.round(rng.random(600), 3)
+    d = spark.createDataFrame([(float(a), int(rng.random() < a**1.5)) for a in p], "p double, y int")
+    counts = calibration.score_counts(d, "p", "y").repartition(5).cache()
+    near, far = calibration.fit_counts(counts), calibration.fit_counts(counts, most_scores=10)
+    for m in ("temperature", "platt", "beta"):
+        assert far[m].parameters == pytest.approx(near[m].parameters, abs=1e-6)
+    assert far["isotonic"].x == near["isotonic"].x and far["isotonic"].y == pytest.approx(near["isotonic"].y)
+    folded = d.withColumn("fold", (F.col("p") * 1000).cast("int") % 3)
+    a, b = (calibration.cross_fit(folded, "p", "y", "fold", 3, most_scores=n).orderBy("method", "p", "y").collect() for n in (5_000_000, 10))
+    assert [r["probability"] for r in a] == pytest.approx([r["probability"] for r in b], abs=1e-6)
+    x, y = near["isotonic"].x, near["isotonic"].y
+    at = sorted({-1.0, 0.0, 0.3141, 0.5, 2.0, *x})
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in at], "x double").orderBy("x").select(near["isotonic"].apply(F.col("x"))).collect()]
+    assert got == pytest.approx(np.interp(at, x, y).tolist())
+
+
+def test_bootstrap_blocks_and_the_relational_way(spark):
+    states = bootstrap.generator_states(7, 300, 5)
+    whole = np.concatenate(list(bootstrap.draw_indices(7, 300, 5)))
+    drawn = np.concatenate([bootstrap.draw_block(s, 7, min(128, 300 - 128 * i)) for i, s in enumerate(states)])
+    assert drawn.tolist() == [np.bincount(r, minlength=7).tolist() for r in whole]
+    rng = np.random.default_rng(8)
+    d = spark.createDataFrame([(f"i{k % 6}", int(rng.random() < 0.5), float(rng.integers(0, 5)), float(rng.random())) for k in range(40)], "image string, y int, a double, b double")
+    images = spark.createDataFrame([(f"i{k}",) for k in range(7)], "image string")
+    ways = [{(r["replicate"], r["method"]): (r["auroc"], r["ap"]) for r in bootstrap.ranking_bootstrap(d, spark, images, ["a", "b"], "y", 20, 3, most_rows=n).collect()} for n in (1_000, 0)]
+    assert set(ways[0]) == set(ways[1]) and len(ways[0]) == 40
+    for k, v in ways[0].items():
+        assert v == pytest.approx(ways[1][k])
+
+
+def test_grid_without_broadcast_agrees(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k % 3, int(rng.random() < 0.4), *(float(x) for x in rng.integers(0, 6, 3) / 6)) for k in range(60)]
+    d = spark.createDataFrame(rows, "fold_id int, incorrect int, calibrated_confidence double, class_consistency double, localisation_stability double")
+    grid = risk.weight_grid(spark, 25)
+    a, b = ({(r["conf"], r["cls"]): (r["mean_ap"], r["mean_auroc"], r["distance"]) for r in risk.evaluate_grid(d, grid, most_rows=n).collect()} for n in (1_000, 0))
+    assert set(a) == set(b) and all(a[k] == pytest.approx(b[k]) for k in a)
