@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a key filter. As rows of 64 bits it has at most ``2**(bits - 6)`` rows of 16 bytes, whatever the input.
@@ -29,6 +31,31 @@ def among(df: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS,
     return near.where(~F.coalesce(hit, F.lit(False)) if others else hit).select(*df.columns)
 
 
+def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel``, after which its worker gives memory back that it no longer uses; workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of about ``size`` for what is run within: a few of them at a time are all that a task holds."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
     """``names``, with underscores appended where ``df`` has such a column, in whatever case."""
     taken = {c.lower() for c in df.columns}

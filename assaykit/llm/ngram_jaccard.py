@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut, drop, release
-from assaykit.llm.common import among, runs_of
+from assaykit.lineage import cut, drop
+from assaykit.llm.common import among, runs_of, small_batches, trimmed
 from assaykit.llm.wordhash import shingle_sets
 from assaykit.operators.graph import connected_components
 
@@ -32,9 +32,10 @@ SKETCH_BITS = 20
 _CHUNK = 1 << 12
 #: Bits of a set's parity map: each shingle flips one of them, so two sets differ in at least as many shingles as bits.
 MAP_BITS = 1 << 10
-#: Bits of the filter that keeps index entries without a partner from travelling twice: 1,048,576 rows at most.
-ENTRY_FILTER_BITS = 26
-#: A component is dealt in blocks of about so many sets and so many shingles; two blocks meet in a task.
+#: Bits of the filter that keeps index entries without a partner from travelling twice: 262,144 rows at most.
+ENTRY_FILTER_BITS = 24
+#: A component is dealt in blocks of about so many sets and so many shingles, two of which meet in a task; pairs with one
+#: lead in parts of about so many.
 BLOCK_SETS, BLOCK_SHINGLES = 1 << 10, 1 << 20
 
 
@@ -65,7 +66,7 @@ def _frequency_sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     sketch = np.zeros(1 << bits, dtype=np.int32)
-    for row in docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():
+    for row in docs.select("text").mapInArrow(trimmed(count), schema).repartition("chunk").mapInArrow(add, schema).collect():
         sketch[row["chunk"] : row["chunk"] + _CHUNK] = np.frombuffer(row["counts"], "<i4")
     return sketch
 
@@ -108,43 +109,51 @@ def _prefixes(docs: DataFrame, n: int, bits: int, sketch: np.ndarray, t: Fractio
                 ["doc_id", "n", "s1", "s2", "map", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, n long, s1 long, s2 long, map array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(kernel), "doc_id long, n long, s1 long, s2 long, map array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     """The pairs ``a, b`` whose whole shingle sets reach the threshold.
 
-    Parity maps first rule out pairs that differ in too many shingles; for the rest the texts travel, not expanded sets.
+    Parity maps first rule out pairs that differ in too many shingles. For the rest texts travel, not expanded sets: each
+    ``b`` once for each pair, and ``a`` once for every few hundred pairs that it leads.
     """
     num, den = t.numerator, t.denominator
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hubs: dict[int, np.ndarray] = {}
+        lead, heads = None, []
         for batch in batches:
-            a = batch.column(0).to_pylist()
-            fresh = [i for i, x in enumerate(a) if x not in hubs and a.index(x) == i] if len(a) < 200 else list({x: i for i, x in reversed(list(enumerate(a))) if x not in hubs}.values())
-            if len(hubs) > 2000:
-                hubs, fresh = {}, list({x: i for i, x in enumerate(a)}.values())
-            hubs |= {a[i]: s for i, s in zip(fresh, shingle_sets(batch.column(2).take(pa.array(fresh, pa.int64())), n))}
-            ok = []
-            for x, s in zip(a, shingle_sets(batch.column(3), n)):
-                both = len(np.intersect1d(hubs[x], s, assume_unique=True))
-                ok.append(bool(both) and den * both >= num * (len(hubs[x]) + len(s) - both))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            found: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for (a, salt, second, b), s in zip(keys, shingle_sets(batch.column(4), n)):
+                if lead != (a, salt):
+                    lead, heads = (a, salt), []
+                if not second:  # an id that is repeated can have several texts
+                    heads.append(s)
+                    continue
+                for h in heads:
+                    both = len(np.intersect1d(h, s, assume_unique=True))
+                    if both and den * both >= num * (len(h) + len(s) - both):
+                        found.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     pairs = cut(pairs)
     maps = reps.select("rep", "n", "map")
     maps = cut(among(maps, "rep", pairs.select("a").union(pairs.select("b"))))
     side = lambda s: maps.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("map").alias(f"map_{s}"))
     apart = F.expr("aggregate(zip_with(map_a, map_b, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x)")
-    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-    pairs = cut(pairs.select("a", "b"))
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    texts = among(texts, "doc_id", pairs.select("a").union(pairs.select("b")))
-    right = pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    full = right.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(kernel, "a long, b long").distinct()
+    near = pairs.join(side("b"), "b").join(side("a"), "a").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+    near = cut(near.select("a", "b").distinct())
+    leads = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("salts"))
+    heads = leads.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("second"), F.col("a").alias("b"))
+    rows = near.join(leads, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("second"), "b").union(heads)
+    texts = among(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id", rows.select("b"))
+    rows = rows.join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "second", "b", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "second")
+    found = cut(rows.mapInArrow(trimmed(kernel), "a long, b long").distinct())
+    drop(pairs, maps, near)
+    return found
 
 
 def _bound(n_a: Column, i: Column, n_b: Column, j: Column, t: Fraction) -> Column:
@@ -244,7 +253,7 @@ def _decided(members: DataFrame, docs: DataFrame, n: int, t: Fraction, pairs: bo
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names)
 
     names = two.columns
-    found = units.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(kernel, ", ".join(f"{c} long" for c in names))
+    found = units.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(trimmed(kernel), ", ".join(f"{c} long" for c in names))
     return found.union(two).distinct() if pairs else found.groupBy("s1", "s2", "n").agg(F.sum("near").alias("near")).union(two)
 
 
@@ -264,21 +273,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     read whole and may be long: a task holds one text and slices of a few MB at a time.
     Sets are compared by 64-bit hashes of their shingles and recognised as equal by size and 128 bits.
     """
-    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
-    t = Fraction(threshold)
+    with small_batches(docs.sparkSession):
+        return _jaccard(docs.select("doc_id", "text"), n, Fraction(threshold), sketch_bits, every)
+
+
+def _jaccard(docs: DataFrame, n: int, t: Fraction, sketch_bits: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    spark = docs.sparkSession
     sketch = _frequency_sketch(docs, n, sketch_bits)
     sets = cut(_prefixes(docs, n, sketch_bits, sketch, t))
     # Equal sets: one answer for all of them.
     reps = cut(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("copies"), F.first("map").alias("map"), F.first("prefix").alias("prefix")))
-    release(spark)
+    wide, sets = sets, cut(sets.select("doc_id", "n", "s1", "s2"))
+    drop(wide)
     entries = reps.where("rep IS NOT NULL").select("rep", "n", F.posexplode("prefix").alias("pos", "shingle"))
     leads = cut(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "n", "rep")).alias("lead")).where("c > 1").select("shingle", "lead"))
     shared = cut(among(entries, "shingle", leads.select("shingle"), ENTRY_FILTER_BITS).join(leads, "shingle"))
     drop(leads)
-    release(spark)
     first = shared.where(F.col("rep") != F.col("lead.rep")).where(_bound(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), t)).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    first = cut(_verified(first, reps, docs, n, t))
-    release(spark)
+    first = _verified(first, reps, docs, n, t)
     comps = connected_components(first, "a", "b")
     open_ = shared.drop("lead").join(comps, F.col("rep") == F.col("node"), "left").select("shingle", "pos", "n", "rep", F.coalesce("component", "rep").alias("comp"))
     # What no first answer settles, block by block: lists that still hold several components.
@@ -298,10 +310,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: Fraction = Fracti
     rest = rest.where("comp_x <> comp_y AND (rep_x < rep_y OR band_x <> band_y OR pos_x <> pos_y)").where(_bound(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), t))
     rest = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     links = cut(first.union(_verified(rest, reps, docs, n, t)))
-    sets_, reps_ = cut(sets.select("doc_id", "n", "s1", "s2")), cut(reps.select("s1", "s2", "n", "rep", "copies"))
-    drop(sets, reps, shared, open_, first)
-    sets, reps = sets_, reps_
-    release(spark)
+    wide, reps = reps, cut(reps.select("s1", "s2", "n", "rep", "copies"))
+    drop(wide, shared, open_, first)
 
     comps = connected_components(links, "a", "b")
     named = cut(reps.join(comps, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", "rep", "copies", "component"))

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.lineage import cut, drop, release
-from assaykit.llm.common import among, runs_of
+from assaykit.lineage import cut, drop
+from assaykit.llm.common import among, runs_of, small_batches, trimmed
 from assaykit.llm.wordhash import mix, string_buffer
 
 _U = np.uint64
@@ -110,7 +110,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 digest = np.frombuffer(b"".join(blake2b(view[a:b], digest_size=16).digest() for a, b in bounds), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(t[text]), pa.array(n[text].astype(np.int32)), pa.array(pos.astype(np.int32))], ["h", "c", "d", "t", "n", "pos"])
 
-    return docs.where(F.col("n") >= length).select("t", "n", "text").mapInArrow(kernel, "h long, c long, d long, t long, n int, pos int")
+    return docs.where(F.col("n") >= length).select("t", "n", "text").mapInArrow(trimmed(kernel), "h long, c long, d long, t long, n int, pos int")
 
 
 class _Side:
@@ -280,7 +280,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     texts = among(docs.where(F.col("n") >= length).select("t", "n", "text"), "t", wanted.select("t"))
     # Equal texts need one copy: any of them will do.
     texts = texts.join(wanted, ["t", "n"]).dropDuplicates(["t", "n"]).select("t", "n", "text", "at")
-    return texts.mapInArrow(kernel, "g long, t long, n int, pos int, alone boolean, left binary, right binary")
+    return texts.mapInArrow(trimmed(kernel), "g long, t long, n int, pos int, alone boolean, left binary, right binary")
 
 
 def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -302,7 +302,7 @@ def _by_windows(contexts: DataFrame, length: int) -> DataFrame:
             rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), *(batch.column(i).take(rows) for i in (1, 2, 3, 4)), pa.array(np.concatenate(starts))], ["x", "y", "t", "n", "pos", "alone", "a"])
 
-    w = cut(contexts.mapInArrow(kernel, "x long, y long, t long, n int, pos int, alone boolean, a long"))
+    w = cut(contexts.mapInArrow(trimmed(kernel), "x long, y long, t long, n int, pos int, alone boolean, a long"))
     start = F.struct("t", "n", "a")  # a string can hold several anchors, so it may be listed more than once
     # Written first, so that a string that very many share can be dealt out again at the join.
     twice = cut(w.groupBy("x", "y").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi").select("x", "y"))
@@ -320,15 +320,13 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
     rows = cut(_anchor_rows(docs, length))
     context = F.struct("c", "d")
     grams = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), (F.min(context) != F.max(context)).alias("mixed")).where("k > 1").select("h", "mixed"))
-    release(spark)
     # Equal contexts: all of each is covered, if it holds a whole string.
-    shared = cut(among(rows, "h", grams.select("h"), 26).join(grams, "h").groupBy("h", "c", "d", "mixed").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "n", "pos")).alias("at")))
+    shared = cut(among(rows, "h", grams.select("h"), 24).join(grams, "h").groupBy("h", "c", "d", "mixed").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "n", "pos")).alias("at")))
     drop(grams)
-    release(spark)
     equal = shared.where("k > 1").select("h", "c", "d")
     span = length - GRAM
     lo, hi = F.greatest(F.col("pos") - span, F.lit(0)), F.least(F.col("pos") + length, F.col("n"))
-    whole = among(rows, "c", equal.select("c"), 26).join(equal, ["h", "c", "d"]).select("t", "n", lo.cast("long").alias("a"), hi.cast("long").alias("b")).where(F.col("b") - F.col("a") >= length)
+    whole = among(rows, "c", equal.select("c"), 24).join(equal, ["h", "c", "d"]).select("t", "n", lo.cast("long").alias("a"), hi.cast("long").alias("b")).where(F.col("b") - F.col("a") >= length)
     whole = cut(whole.groupBy("t", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     drop(rows)
     # Different contexts around one gram, where at least one stands alone.
@@ -336,18 +334,16 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
     sizes = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("least")).where("least = 1").select("h", "size")
     wanted = cut(mixed.join(sizes, "h").select("h", "at.t", "at.n", "at.pos", (F.col("k") == 1).alias("alone"), "size"))
     drop(shared)
-    release(spark)
     contexts = _contexts(docs, wanted.where(F.col("size") <= LOCAL).drop("size"), length)
     # A fixed number of tasks: the work follows the rows, not their bytes.
-    runs = contexts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "t", "pos").mapInArrow(_solve(length), "t long, n int, a long, b long")
+    runs = contexts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "t", "pos").mapInArrow(trimmed(_solve(length)), "t long, n int, a long, b long")
     large = wanted.where(F.col("size") > LOCAL).drop("size")
     if not large.isEmpty():
         runs = runs.union(_by_windows(_contexts(docs, large, length), length))
     each = runs.groupBy("t", "n").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = cut(each.union(whole).groupBy("t", "n").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
-    drop(whole, wanted)
     del contexts, runs, large, each, mixed, sizes, equal
-    release(spark)
+    drop(whole, wanted)
     return spans
 
 
@@ -362,7 +358,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: bool = True) -> Dat
     contexts differ, what polynomial hashes say is verified on the bytes.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text")).withColumn("n", F.octet_length("text").cast("int"))
-    spans = repeated_extents(d.select("t", "n", "text"), length)
+    with small_batches(docs.sparkSession):
+        spans = repeated_extents(d.select("t", "n", "text"), length)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assaykit.lineage import cut
+from assaykit.llm.common import small_batches, trimmed
 from assaykit.llm.wordhash import string_buffer, words, words_and_prefixes
 
 _U = np.uint64
@@ -148,7 +149,7 @@ def _associations(train: DataFrame, least: int, most: int) -> tuple[np.ndarray,
     n_t, n_c = totals["t"], totals["n"] - totals["t"]
     if not n_t or not n_c:
         return np.zeros(0, _U), np.zeros(0), np.zeros(0)
-    counts = train.mapInArrow(kernel, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= least)
+    counts = train.mapInArrow(trimmed(kernel), "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= least)
     odds = F.log((F.col("t") + 0.5) / (n_t + 1.0)) - F.log((F.col("c") + 0.5) / (n_c + 1.0))
     counts = cut(counts.withColumn("odds", odds).withColumn("z", F.col("odds") * F.sqrt(F.when(F.col("odds") > 0, F.col("t")).otherwise(F.col("c") * F.lit(n_t / n_c)))))
     rows = counts.where("odds > 0").orderBy(F.desc("z"), "h").limit(most).union(counts.where("odds < 0").orderBy("z", "h").limit(most)).select("h", "odds", "z").collect()
@@ -312,7 +313,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int
                     seen[v] = seen.get(v, 0) + n
         yield pa.RecordBatch.from_pydict({"v": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    table = docs.select("text").mapInArrow(count, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()
+    table = docs.select("text").mapInArrow(trimmed(count), "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()
     table.sort(key=lambda r: r["v"])
     vocabulary = Vocabulary(hashes)
 
@@ -364,10 +365,12 @@ def score_toxicity(docs: DataFrame, model: Model, folds: int = 5, names: tuple[s
                 score = _sigmoid(np.bincount(text, weights=weights[feature] if len(weights) else None, minlength=part.num_rows) + bias)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*kept, names[1]])
 
-    scored = docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(kernel, StructType([*fields, StructField(names[1], DoubleType())]))
+    scored = docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(trimmed(kernel), StructType([*fields, StructField(names[1], DoubleType())]))
     return scored.withColumn(names[0], held_out(F.col("doc_id"), folds)).withColumn(names[2], (F.col(names[1]) >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
     """Fit on ``docs``, part of them labelled, and score all of them."""
-    return score_toxicity(docs, fit_toxicity(docs, labels, folds), folds, names)
+    with small_batches(docs.sparkSession):
+        model = fit_toxicity(docs, labels, folds)
+    return score_toxicity(docs, model, folds, names)
