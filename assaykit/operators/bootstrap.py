@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.lineage import cut
-from assaykit.operators.ranking import auroc_ap, with_quantiles
+from assaykit.operators.ranking import auroc_ap, tie_groups, with_quantiles
+from assaykit.operators.scan import running_totals
 
-_BATCH = 128
+#: Replicates of a block, drawn and resampled together.
+BATCH = 128
 
 
 def draw_indices(n: int, replicates: int, seed: int) -> Iterator[np.ndarray]:
@@ -21,7 +23,7 @@ def draw_indices(n: int, replicates: int, seed: int) -> Iterator[np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     done = 0
     while done < replicates:
-        size = min(_BATCH, replicates - done)
+        size = min(BATCH, replicates - done)
         yield rng.integers(0, n, size=(size, n))
         done += size
 
@@ -29,10 +31,10 @@ def draw_indices(n: int, replicates: int, seed: int) -> Iterator[np.ndarray]:
 def generator_states(n: int, replicates: int, seed: int) -> list[dict]:
     """The generator's state before each block of replicates, so that a block is drawn without those before it."""
     rng, states = np.random.Generator(np.random.PCG64(seed)), []
-    for done in range(0, replicates, _BATCH):
+    for done in range(0, replicates, BATCH):
         states.append(rng.bit_generator.state)
-        if done + _BATCH < replicates:
-            rng.integers(0, n, size=(_BATCH, n))
+        if done + BATCH < replicates:
+            rng.integers(0, n, size=(BATCH, n))
     return states
 
 
@@ -66,11 +68,11 @@ def draw_table(images: DataFrame, replicates: int, seed: int, cluster: str = "im
         own = np.array(shared.value, dtype=object)
         for ids in blocks:
             for b in ids["id"].tolist():
-                for i, count in enumerate(draw_block(states[b], n, min(_BATCH, replicates - b * _BATCH))):
+                for i, count in enumerate(draw_block(states[b], n, min(BATCH, replicates - b * BATCH))):
                     at = np.flatnonzero(count)
-                    yield pd.DataFrame({"replicate": b * _BATCH + i, cluster: own[at], "multiplicity": count[at]})
+                    yield pd.DataFrame({"replicate": b * BATCH + i, cluster: own[at], "multiplicity": count[at]})
 
-    blocks = spark.range(0, -(-replicates // _BATCH))
+    blocks = spark.range(0, -(-replicates // BATCH))
     return blocks.mapInPandas(kernel, f"replicate long, {cluster} {kind}, multiplicity long")
 
 
@@ -96,7 +98,9 @@ def loss_bootstrap(rows: DataFrame, draws: DataFrame, by: list[str], losses: lis
 
 
 def ranking_bootstrap(rows: DataFrame, spark: SparkSession, images: DataFrame, methods: list[str], label: str, replicates: int, seed: int, cluster: str = "image", most_rows: int = 20_000_000) -> DataFrame:
-    """``replicate, method, auroc, ap`` on paired draws: every method and metric sees the same ones.
+    """``replicate, method, auroc, ap, aurc`` on paired draws: every method and metric sees the same ones.
+
+    ``aurc`` is the area under the risk-coverage curve that keeps predictions from the lowest score up.
 
     Up to ``most_rows`` rows the population (label and cluster number, sorted by each method's score) is broadcast
     and a kernel works through blocks of replicates; beyond that draws are joined with rows, and tie groups of each
@@ -105,8 +109,13 @@ def ranking_bootstrap(rows: DataFrame, spark: SparkSession, images: DataFrame, m
     if rows.count() > most_rows:
         draws = cut(draw_table(images, replicates, seed, cluster))
         long_ = rows.unpivot([cluster, label], methods, "method", "score")
-        out = auroc_ap(resampled(long_, draws, cluster), ["replicate", "method"], "score", label, "multiplicity")
-        return out.select("replicate", "method", "auroc", "ap")
+        weighted = cut(resampled(long_, draws, cluster).groupBy("replicate", "method", "score", label).agg(F.sum("multiplicity").alias("multiplicity")))
+        by = ["replicate", "method"]
+        ranked = auroc_ap(weighted, by, "score", label, "multiplicity").select(*by, "auroc", "ap")
+        g = running_totals(tie_groups(weighted, by, "score", label, "multiplicity"), by, "score", ["pos", "neg"])
+        step = (F.col("pos") + F.col("neg")) / (F.col("all_pos") + F.col("all_neg"))
+        area = g.groupBy(*by).agg(F.sum(step * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("aurc"))
+        return ranked.join(area, by)
     names = [r[0] for r in images.select(cluster).distinct().orderBy(cluster).collect()]
     where = {c: i for i, c in enumerate(names)}
     pdf = rows.select(cluster, label, *methods).toPandas()
@@ -132,7 +141,7 @@ def ranking_bootstrap(rows: DataFrame, spark: SparkSession, images: DataFrame, m
 
     def kernel(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (b for ids in blocks for b in ids["id"].tolist()):
-            block = draw_block(states[b], n, min(_BATCH, replicates - b * _BATCH)).astype(np.int32)
+            block = draw_block(states[b], n, min(BATCH, replicates - b * BATCH)).astype(np.int32)
             for m, (groups, sides) in shared.value.items():
                 for i in range(0, len(block), 4):  # few replicates at a time stay in the processor's cache
                     pos, neg = (summed(block[i : i + 4], groups, s) for s in sides)
@@ -143,8 +152,12 @@ def ranking_bootstrap(rows: DataFrame, spark: SparkSession, images: DataFrame, m
                         ap = np.where(pos > 0, pos * cp / np.maximum(cp + cn, 1e-300), 0).sum(1) / tp
                     auroc[(tp == 0) | (tn == 0)] = np.nan
                     ap[tp == 0] = np.nan
-                    yield pd.DataFrame({"replicate": b * _BATCH + i + np.arange(len(pos)), "method": m, "auroc": auroc, "ap": ap})
+                    total = tp + tn
+                    kept = total[:, None] - cp - cn + pos + neg  # predictions up to each tie group, from the lowest score
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        aurc = np.where(pos + neg > 0, (pos + neg) * (tp[:, None] - cp + pos) / kept, 0).sum(1) / total
+                    yield pd.DataFrame({"replicate": b * BATCH + i + np.arange(len(pos)), "method": m, "auroc": auroc, "ap": ap, "aurc": aurc})
 
-    blocks = spark.range(0, -(-replicates // _BATCH), 1, min(64, -(-replicates // _BATCH)))
-    out = blocks.mapInPandas(kernel, "replicate long, method string, auroc double, ap double")
-    return out.select("replicate", "method", F.nanvl("auroc", F.lit(None).cast("double")).alias("auroc"), F.nanvl("ap", F.lit(None).cast("double")).alias("ap"))
+    blocks = spark.range(0, -(-replicates // BATCH), 1, min(64, -(-replicates // BATCH)))
+    out = blocks.mapInPandas(kernel, "replicate long, method string, auroc double, ap double, aurc double")
+    return out.select("replicate", "method", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("auroc", "ap", "aurc")))

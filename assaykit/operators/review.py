@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import ratio
+from assaykit.lineage import cut
+from assaykit.operators.bootstrap import BATCH, draw_block, draw_table, generator_states
 from assaykit.operators.ranking import tie_groups
 from assaykit.operators.scan import running_totals
 
@@ -50,25 +56,83 @@ def review_thresholds(crops: DataFrame, by: list[str], budgets: tuple[int, ...])
     return wanted.select(*by, "budget_percent", "nominal_crops").join(at.select(*by, "budget_percent", F.col("crop_risk").alias("threshold")), [*by, "budget_percent"], "left").fillna(-1.0, ["threshold"])
 
 
-def referral_metrics(crops: DataFrame, thresholds: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+#: What is summed over crops, with their multiplicity, for referral metrics: name and whether only referred crops count.
+_SUMS = {"crops": ("1", False), "nonempty_crops": ("has", False), "predictions": ("predictions", False), "errors": ("errors", False), "referred_crops": ("1", True), "referred_predictions": ("predictions", True), "captured_errors": ("errors", True)}
+
+
+def _referral_stats(crops: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
+    """``image, by, budget_percent, threshold`` and a column for each of ``_SUMS``: what one crop adds to it."""
+    d = crops.join(F.broadcast(thresholds), by)  # a row for each group and budget
+    d = d.withColumn("1", F.lit(1)).withColumn("has", (F.col("predictions") > 0).cast("int"))
+    sent = F.coalesce((F.col("predictions") > 0) & (F.col("crop_risk") > F.col("threshold")), F.lit(False))
+    parts = {name: F.when(sent, F.col(f"`{c}`")).otherwise(F.lit(0)) if only else F.col(f"`{c}`") for name, (c, only) in _SUMS.items()}
+    return d.select("image", *by, "budget_percent", "threshold", *(v.cast("double").alias(k) for k, v in parts.items()))
+
+
+def _referral_ratios() -> dict[str, Column]:
+    """Metrics of the sums: workloads, capture, error rates with and without referral, and what random referral of as many
+    crops that have predictions would do."""
+    c = F.col
+    kept, missed = c("predictions") - c("referred_predictions"), c("errors") - c("captured_errors")
+    share = F.coalesce(ratio(c("referred_crops"), c("nonempty_crops")), F.lit(0.0))
+    rate, left = ratio(c("errors"), c("predictions")), ratio(missed, kept)
+    return {
+        "crop_workload": ratio(c("referred_crops"), c("crops")), "prediction_workload": ratio(c("referred_predictions"), c("predictions")),
+        "error_capture": ratio(c("captured_errors"), c("errors")), "review_precision": ratio(c("captured_errors"), c("referred_predictions")),
+        "automatic_predictions": kept, "automatic_errors": missed, "no_referral_error_rate": rate, "automatic_error_rate": left, "error_rate_reduction": rate - left,
+        "random_capture": F.when(c("errors") > 0, share), "random_errors": share * c("errors"), "random_predictions": share * c("predictions"),
+    }
+
+
+REFERRAL = ("crop_workload", "prediction_workload", "error_capture", "review_precision", "automatic_error_rate", "error_rate_reduction", "random_capture")
+
+
+def referral_metrics(crops: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
     """What sending every crop above its threshold to review achieves; thresholds may stem from another population.
 
-    Undefined ratios are NULL. ``weight`` is a crop's multiplicity in a resample.
+    Undefined ratios are NULL.
+    """
+    m = _referral_stats(crops, thresholds, by).groupBy(*by, "budget_percent", "threshold").agg(*(F.sum(k).alias(k) for k in _SUMS))
+    return m.select("*", *(v.alias(k) for k, v in _referral_ratios().items()))
+
+
+def referral_resampled(crops: DataFrame, thresholds: DataFrame, by: list[str], draws: DataFrame) -> DataFrame:
+    """``replicate, by, budget_percent`` and referral metrics of resampled crops; thresholds stay as they are."""
+    stats = _referral_stats(crops, thresholds, by)
+    w = F.col("multiplicity")
+    m = draws.join(stats, "image").groupBy("replicate", *by, "budget_percent").agg(*(F.sum(w * F.col(k)).alias(k) for k in _SUMS))
+    return m.select("replicate", *by, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
+
+
+def referral_bootstrap(crops: DataFrame, thresholds: DataFrame, method: str, images: DataFrame, replicates: int, seed: int, most_rows: int = 20_000_000) -> DataFrame:
+    """``replicate, <method>, budget_percent`` and referral metrics on the generator's draws of images.
+
+    Up to ``most_rows`` crop rows the crops' contributions are broadcast and blocks of draws multiply them;
+    beyond that draws are joined with crops.
     """
-    w = F.col(weight) if weight else F.lit(1)
-    d = crops.join(F.broadcast(thresholds), by)
-    sent = (F.col("predictions") > 0) & (F.col("crop_risk") > F.col("threshold"))
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    pick = lambda x: F.when(sent, x).otherwise(F.lit(0))
-    m = d.groupBy(*by, "budget_percent", "threshold").agg(
-        total(w).alias("crops"), total(w * F.col("predictions")).alias("predictions"), total(w * F.col("errors")).alias("errors"),
-        total(pick(w)).alias("referred_crops"), total(pick(w * F.col("predictions"))).alias("referred_predictions"), total(pick(w * F.col("errors"))).alias("captured_errors"),
-    )
-    kept, missed = F.col("predictions") - F.col("referred_predictions"), F.col("errors") - F.col("captured_errors")
-    return m.select(
-        "*", ratio(F.col("referred_crops"), F.col("crops")).alias("crop_workload"), ratio(F.col("referred_predictions"), F.col("predictions")).alias("prediction_workload"),
-        ratio(F.col("captured_errors"), F.col("errors")).alias("error_capture"), ratio(F.col("captured_errors"), F.col("referred_predictions")).alias("review_precision"),
-        kept.alias("automatic_predictions"), missed.alias("automatic_errors"), ratio(missed, kept).alias("automatic_error_rate"),
-        (1 - ratio(ratio(missed, kept), ratio(F.col("errors"), F.col("predictions")))).alias("error_rate_reduction"),
-        ratio(F.col("referred_crops"), F.col("crops")).alias("random_capture"), (ratio(F.col("referred_crops"), F.col("crops")) * F.col("errors")).alias("random_errors"),
-    )
+    spark = crops.sparkSession
+    stats = cut(_referral_stats(crops, thresholds, [method]))
+    if stats.count() > most_rows:
+        return referral_resampled(crops, thresholds, [method], draw_table(images, replicates, seed))
+    names = [r[0] for r in images.select("image").distinct().orderBy("image").collect()]
+    pdf = stats.toPandas()
+    place = pdf["image"].map({c: i for i, c in enumerate(names)}).to_numpy()
+    tables = []
+    for (name, budget), rows in pdf.groupby([method, "budget_percent"]).indices.items():
+        table = np.zeros((len(names), len(_SUMS)))
+        table[place[rows]] = pdf.iloc[rows][list(_SUMS)].to_numpy(float)
+        tables.append((name, int(budget), table))
+    shared, n = spark.sparkContext.broadcast(tables), len(names)
+    states = generator_states(n, replicates, seed)
+
+    def kernel(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (b for ids in blocks for b in ids["id"].tolist()):
+            weights = draw_block(states[b], n, min(BATCH, replicates - b * BATCH)).astype(float)
+            for name, budget, table in shared.value:
+                sums = pd.DataFrame(weights @ table, columns=list(_SUMS))
+                yield sums.assign(**{"replicate": b * BATCH + np.arange(len(sums)), method: name, "budget_percent": budget})
+
+    kind = crops.schema[method].dataType.simpleString()
+    blocks = spark.range(0, -(-replicates // BATCH), 1, min(64, -(-replicates // BATCH)))
+    m = blocks.mapInPandas(kernel, ", ".join(f"{k} double" for k in _SUMS) + f", replicate long, {method} {kind}, budget_percent int")
+    return m.select("replicate", method, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))

@@ -238,21 +238,22 @@ def review_thresholds(spark, sf):
 
 
 _SENT = f"""{_THRESHOLDS}, s AS (SELECT c.*, budget_percent, t.threshold, predictions > 0 AND crop_risk > threshold AS sent FROM crops c JOIN thresholds t ON c.method = t.method),
-sums AS (SELECT method, budget_percent, round(any_value(threshold), 6) AS threshold, count(*) AS crops, sum(predictions)::BIGINT AS predictions, sum(errors)::BIGINT AS errors, count(*) FILTER (sent) AS referred_crops,
+sums AS (SELECT method, budget_percent, round(any_value(threshold), 6) AS threshold, count(*) AS crops, count(*) FILTER (predictions > 0) AS nonempty_crops, sum(predictions)::BIGINT AS predictions, sum(errors)::BIGINT AS errors, count(*) FILTER (sent) AS referred_crops,
   coalesce(sum(predictions) FILTER (sent), 0)::BIGINT AS referred_predictions, coalesce(sum(errors) FILTER (sent), 0)::BIGINT AS captured_errors FROM s GROUP BY ALL),
-e AS (SELECT *, referred_crops / crops AS share, predictions - referred_predictions AS automatic_predictions, errors - captured_errors AS automatic_errors FROM sums)"""
+e AS (SELECT *, referred_crops / crops AS share, coalesce(referred_crops / nullif(nonempty_crops, 0), 0) AS random_share, predictions - referred_predictions AS automatic_predictions, errors - captured_errors AS automatic_errors FROM sums)"""
 
 
-@query(f"""{_SENT} SELECT method, budget_percent, threshold, crops, predictions, errors, referred_crops, referred_predictions, captured_errors, automatic_predictions, automatic_errors,
+@query(f"""{_SENT} SELECT method, budget_percent, threshold, crops, nonempty_crops, predictions, errors, referred_crops, referred_predictions, captured_errors, automatic_predictions, automatic_errors,
   round(share, 6) AS crop_workload, round(referred_predictions / nullif(predictions, 0), 6) AS prediction_workload, round(captured_errors / nullif(errors, 0), 6) AS error_capture, round(captured_errors / nullif(referred_predictions, 0), 6) AS review_precision,
-  round(automatic_errors / nullif(automatic_predictions, 0), 6) AS automatic_error_rate, round(1 - (automatic_errors / nullif(automatic_predictions, 0)) / nullif(errors / nullif(predictions, 0), 0), 6) AS error_rate_reduction,
-  round(share, 6) AS random_capture, round(share * errors, 4) AS random_errors FROM e""")
+  round(errors / nullif(predictions, 0), 6) AS no_referral_error_rate, round(automatic_errors / nullif(automatic_predictions, 0), 6) AS automatic_error_rate,
+  round(errors / nullif(predictions, 0) - automatic_errors / nullif(automatic_predictions, 0), 6) AS error_rate_reduction,
+  CASE WHEN errors > 0 THEN round(random_share, 6) END AS random_capture, round(random_share * errors, 4) AS random_errors, round(random_share * predictions, 4) AS random_predictions FROM e""")
 def referral_metrics(spark, sf):
     crops = cut(crops_of(spark, sf))
     m = review.referral_metrics(crops, review.review_thresholds(crops, ["method"], P.budgets), ["method"])
-    m = counts(m, "crops", "predictions", "errors", "referred_crops", "referred_predictions", "captured_errors", "automatic_predictions", "automatic_errors")
-    shares = ["threshold", "crop_workload", "prediction_workload", "error_capture", "review_precision", "automatic_error_rate", "error_rate_reduction", "random_capture"]
-    return rounded(rounded(m, *shares), "random_errors", digits=4)
+    m = counts(m, "crops", "nonempty_crops", "predictions", "errors", "referred_crops", "referred_predictions", "captured_errors", "automatic_predictions", "automatic_errors")
+    shares = ["threshold", "crop_workload", "prediction_workload", "error_capture", "review_precision", "no_referral_error_rate", "automatic_error_rate", "error_rate_reduction", "random_capture"]
+    return rounded(rounded(m, *shares), "random_errors", "random_predictions", digits=4)
 
 
 # Fusion weights

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -55,10 +58,61 @@ def boxes(lines: DataFrame, images: DataFrame) -> DataFrame:
     return d.select(F.concat(F.lit("labels/"), "file", F.lit(":"), F.col("line").cast("string")).alias("gt_id"), "image", F.col("cls").cast("int").alias("class_id"), "line", (x - w).alias("x1"), (y - h).alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
 
 
+def strict_boxes(lines: DataFrame, images: DataFrame, classes: int = 9) -> DataFrame:
+    """Pixel boxes as ``boxes`` gives them, where every line has to be right: the job fails at one that is not.
+
+    A line has five fields; its class is a whole number below ``classes``, written as one; centres and sizes are finite and
+    within [0, 1], sizes above 0. Blank lines are skipped. A label file without an image is an error.
+    """
+    f = F.split(F.trim("value"), r"\s+")
+    x = [F.try_element_at(f, F.lit(i)).try_cast("double") for i in range(2, 6)]
+    whole = F.try_element_at(f, F.lit(1)).rlike("^[+-]?[0-9]+$") & F.try_element_at(f, F.lit(1)).try_cast("int").between(0, classes - 1)
+    good = (F.size(f) == 5) & whole
+    for i, v in enumerate(x):
+        good = good & v.between(0, 1) & ((v > 0) if i > 1 else F.lit(True))
+    told = F.concat(F.lit("bad annotation at "), "file", F.lit(":"), F.col("line").cast("string"))
+    checked = F.when(F.coalesce(good, F.lit(False)), F.col("value")).otherwise(F.raise_error(told))
+    known = lines.where(F.trim("value") != "").withColumn("value", checked)
+    lost = lines.select("file").distinct().join(images.select("stem").distinct(), stem(F.col("file")) == F.col("stem"), "left_anti")
+    if not lost.isEmpty():
+        raise ValueError(f"no image for label file {lost.first()[0]}")
+    return boxes(known, images)
+
+
+def lenient_classes(lines: DataFrame) -> DataFrame:
+    """``file, class_id, n``: class counts of annotation lines whose first field is a number; other lines count as none."""
+    first = F.try_element_at(F.split(F.trim("value"), r"\s+"), F.lit(1)).try_cast("double").cast("int")
+    return lines.select("file", first.alias("class_id")).where("class_id IS NOT NULL").groupBy("file", "class_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def box_records(truth: DataFrame, images: DataFrame) -> DataFrame:
+    """``truth`` with pixel ``width, height, area`` of each box, and its share of the image."""
+    d = truth.join(images.select("image", F.col("width").alias("_w"), F.col("height").alias("_h")), "image")
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return d.select(*truth.columns, w.alias("width"), h.alias("height"), (w * h).alias("area"), (w * h / (F.col("_w") * F.col("_h"))).alias("area_share"))
+
+
+def frozen_manifest(spark: SparkSession, path: str, digest: str, count: int) -> DataFrame:
+    """``manifest``, after its digest, number of lines, their form and their uniqueness have been found as they should be."""
+    m = manifest(spark, path)
+    r = m.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image").alias("d"), F.count_if(~F.col("ok")).alias("bad")).first()
+    if manifest_digest(spark, path) != digest:
+        raise ValueError(f"{path} has changed")
+    if (r["n"], r["d"], r["bad"]) != (count, count, 0):
+        raise ValueError(f"{path}: {r['n']} lines, {r['d']} of them different, {r['bad']} of a wrong form; {count} good ones wanted")
+    return m
+
+
 def class_vectors(truth: DataFrame, classes: int) -> DataFrame:
     return truth.groupBy("image").pivot("class_id", list(range(classes))).count().fillna(0)
 
 
+def label_inventory_digest(files: DataFrame) -> str:
+    """One digest of many label files, ``file, value``: of their names and contents' digests, by name."""
+    rows = files.select("file", F.sha2("value", 256).alias("d")).orderBy("file").collect()
+    return hashlib.sha256("".join(f"{r['file']}\0{r['d']}\n" for r in rows).encode()).hexdigest()
+
+
 def typed_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A CSV table whose header has to equal the schema; a bad value fails the read."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
@@ -82,6 +136,59 @@ def contiguous(log: DataFrame, epochs: int) -> bool:
     return (r["n"], r["d"], r["lo"], r["hi"]) == (epochs, epochs, 1, epochs)
 
 
+def selected_epoch(spark: SparkSession, path: str, epochs: int, metric: str) -> tuple[int, str]:
+    """The first epoch with the largest value of ``metric`` in a log that has to hold each epoch once; decimals compare
+    as written."""
+    log = training_log(spark, path, [metric], exact=True)
+    if not contiguous(log, epochs):
+        raise ValueError(f"{path} does not hold epochs 1 to {epochs} once each")
+    top = log.orderBy(F.desc(metric), "epoch").first()
+    return top["epoch"], str(top[metric])
+
+
+def json_object(spark: SparkSession, path: str) -> dict:
+    """One JSON file, which has to hold an object."""
+    text = spark.read.text(path, wholetext=True).first()
+    found = json.loads(text[0]) if text else None
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no JSON object")
+    return found
+
+
+def yaml_object(spark: SparkSession, path: str, allowed: set[str] | None = None) -> dict:
+    """One YAML file, which has to hold a mapping; keys outside ``allowed`` are an error."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()
+    found = yaml.safe_load(text[0]) if text else None
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    if allowed is not None and set(found) - allowed:
+        raise ValueError(f"{path}: unknown settings {sorted(set(found) - allowed)}")
+    return found
+
+
+def dataset_problems(images: DataFrame, labels: DataFrame, manifests: DataFrame, names: list[str], expected: list[str]) -> DataFrame:
+    """``problem, n`` of a data set: images without labels and the reverse, manifest lines without an image, images that
+    no manifest lists or two do, stems that occur in two splits, and class names other than expected."""
+    listed = manifests.groupBy("image").agg(F.count(F.lit(1)).alias("k"))
+    spark = images.sparkSession
+    parts = {
+        "image_without_label": images.join(labels.select("split", "stem").distinct(), ["split", "stem"], "left_anti"),
+        "label_without_image": labels.join(images.select("split", "stem").distinct(), ["split", "stem"], "left_anti"),
+        "listed_without_image": listed.join(images.select("image"), "image", "left_anti"),
+        "not_listed": images.join(listed, "image", "left_anti"),
+        "listed_twice": listed.where("k > 1"),
+        "stem_in_two_splits": images.groupBy("stem").agg(F.count_distinct("split").alias("k")).where("k > 1"),
+        "class_names_differ": spark.range(int(names != expected)),
+    }
+    out = None
+    for name, p in parts.items():
+        one = p.agg(F.lit(name).alias("problem"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def json_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     r = spark.read.option("multiLine", True)
     return (r.schema(schema) if schema else r).json(path)
