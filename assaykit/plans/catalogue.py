@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import bin_of, box_iou, median_bits, ratio
 from assaykit.lineage import cut
-from assaykit.operators import audit, bootstrap, calibration, matching, neardup, ranking, review, risk, splits, stability, validate
+from assaykit.operators import audit, bootstrap, calibration, evaluation, matching, neardup, populations, ranking, review, risk, splits, stability, validate
 from assaykit.operators.graph import connected_components
 from assaykit.protocol import Protocol
 from assaykit.sources.scans import numbered, unpaired
@@ -311,7 +311,18 @@ def box_iou_join(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("iou") > 0).alias("touching"), F.round(F.sum("iou"), 4).alias("total"))
 
 
-@query()
+_GREEDY = f"""{_BOXES},
+conf AS (SELECT image, source_row, class_id, 0.01::DOUBLE + 0.99::DOUBLE * l_discount / 0.1::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY x1, y1, x2, y2, l_partkey, l_suppkey, l_extendedprice) AS source_row
+  FROM (SELECT l_discount, l_orderkey::VARCHAR AS image, (l_partkey % 3)::INT AS class_id, l_linenumber::DOUBLE AS x1, l_quantity AS y1, l_linenumber + 1 + 20 * l_discount AS x2, l_quantity + 5 + 100 * l_tax AS y2, l_partkey, l_suppkey, l_extendedprice FROM lineitem))),
+options AS (SELECT image, source_row, list({{'iou': CASE WHEN a + c - both_ > 0 THEN both_ / (a + c - both_) ELSE 0 END, 'line': line}} ORDER BY CASE WHEN a + c - both_ > 0 THEN both_ / (a + c - both_) ELSE 0 END DESC, line) AS c FROM o GROUP BY ALL),
+turns AS (SELECT conf.*, coalesce(options.c, []) AS c, row_number() OVER (PARTITION BY conf.image, class_id ORDER BY confidence DESC, conf.source_row) AS r FROM conf LEFT JOIN options ON options.image = conf.image AND options.source_row = conf.source_row),
+walk AS (SELECT image, class_id, theta, 0::BIGINT AS r, []::BIGINT[] AS used, NULL::BIGINT AS source_row, NULL::VARCHAR AS status, NULL::DOUBLE AS iou FROM (SELECT DISTINCT image, class_id FROM turns), (SELECT unnest([0.5, 0.75]::DOUBLE[]) AS theta)
+  UNION ALL SELECT w.image, w.class_id, theta, t.r, CASE WHEN free[1].iou >= theta THEN list_append(used, free[1].line) ELSE used END, t.source_row,
+    CASE WHEN free[1].iou >= theta THEN 'matched' WHEN t.c[1].iou >= theta THEN 'duplicate' ELSE 'unmatched' END, CASE WHEN free[1].iou >= theta THEN free[1].iou END
+  FROM walk w JOIN turns t ON t.image = w.image AND t.class_id = w.class_id AND t.r = w.r + 1, LATERAL (SELECT list_filter(t.c, lambda x: NOT list_contains(w.used, x.line)) AS free))"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT theta, status, count(*) AS n, round(avg(iou), 6) AS mean_iou FROM walk WHERE r > 0 GROUP BY ALL")
 def greedy_match_status(spark, sf):
     b = boxes_of(spark, sf)
     m = matching.greedy_match(b.withColumn("source_row", F.col("source_row").cast("long")), truth_of(b), P.iou_thresholds)
@@ -591,3 +602,95 @@ def published_class_names(spark, sf):
 def run_comparison(spark, sf):
     m = table(spark, sf, "events").groupBy(F.col("event_type").alias("metric"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("run")).agg(F.avg("value").alias("v"))
     return rounded(audit.comparison(m, "metric", "run", "v", "even", "odd", ("click",)), "even", "odd", "difference")
+
+
+# Fits that SQL can express, checks of populations, evaluation over fixed draws
+
+
+@query(f"""WITH {_POP}, g AS (SELECT raw_confidence AS x, sum(correct) AS k, count(*) AS n FROM pop GROUP BY 1),
+c AS (SELECT x, sum(k) OVER v AS ck, sum(n) OVER v AS cn, k, n FROM g WINDOW v AS (ORDER BY x)),
+means AS (SELECT a.x AS lo, b.x AS hi, (b.ck - a.ck + a.k) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON a.x <= b.x)
+SELECT round(g.x, 9) AS x, round(max(m), 9) AS y FROM g JOIN (SELECT g.x, lo, min(m) AS m FROM g JOIN means ON lo <= g.x AND hi >= g.x GROUP BY g.x, lo) USING (x) GROUP BY g.x""")
+def isotonic_fit(spark, sf):
+    counts_ = cut(calibration.score_counts(population(spark, sf), "raw_confidence", "correct"))
+    fit = calibration.fit_counts(counts_, ("isotonic",))["isotonic"]
+    return rounded(counts_.select(F.col("p").alias("x"), fit.apply(F.col("p")).alias("y")), "x", "y", digits=9)
+
+
+_CHECKED = f"""{_POP}, c AS (SELECT *, image || '#' || line AS prediction_id FROM pop), i AS (SELECT o_orderkey AS image FROM orders WHERE o_orderkey % 50 > 0)"""
+
+
+@query(f"""WITH {_CHECKED} SELECT 'missing_identity' AS problem, count(*) FILTER (prediction_id IS NULL) AS n FROM c UNION ALL SELECT 'repeated_identity', count(*) FROM (SELECT 1 FROM c GROUP BY prediction_id HAVING count(*) > 1)
+UNION ALL SELECT 'foreign_image', count(*) FROM c WHERE image NOT IN (SELECT image FROM i) UNION ALL SELECT 'repeated_image', count(*) FROM (SELECT 1 FROM i GROUP BY image HAVING count(*) > 1)
+UNION ALL SELECT 'signal_outside_unit_interval', count(*) FILTER (NOT (calibrated_confidence BETWEEN 0 AND 1 AND class_consistency BETWEEN 0 AND 1 AND localisation_stability BETWEEN 0 AND 1 AND raw_confidence BETWEEN 0 AND 1)) FROM c
+UNION ALL SELECT 'label_not_binary', count(*) FILTER (correct NOT IN (0, 1)) FROM c UNION ALL SELECT 'below_inclusion', count(*) FILTER (raw_confidence < 0.05) FROM c
+UNION ALL SELECT 'calibrated_confidence_differs_from_raw_confidence', count(*) FILTER (calibrated_confidence <> raw_confidence) FROM c""")
+def population_audit(spark, sf):
+    rows = population(spark, sf).withColumn("prediction_id", F.concat_ws("#", F.col("image").cast("string"), F.col("line").cast("string")))
+    images = table(spark, sf, "orders").where("o_orderkey % 50 > 0").select(F.col("o_orderkey").alias("image"))
+    return populations.population_problems(rows, images, P.signals, least=0.05, aliases={"calibrated_confidence": "raw_confidence"})
+
+
+@query("SELECT 'o_custkey' AS \"column\", count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders")
+def distinct_values(spark, sf):
+    return populations.distinct_counts(table(spark, sf, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT l_returnflag, sum(l_extendedprice::DECIMAL(38, 6))::DOUBLE AS total, sum((l_extendedprice * l_discount)::DECIMAL(38, 6))::DOUBLE AS discount FROM lineitem GROUP BY 1")
+def exact_sums(spark, sf):
+    d = table(spark, sf, "lineitem").groupBy("l_returnflag")
+    return d.agg(populations.exact_sum(F.col("l_extendedprice"), 6).alias("total"), populations.exact_sum(F.col("l_extendedprice") * F.col("l_discount"), 6).alias("discount"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS image, l_linenumber % 2 AS y FROM lineitem), f AS (SELECT c_custkey AS image, (c_custkey * 7 % 5)::INT AS fold_id, c_custkey // 3 AS component_id FROM customer)
+SELECT 'without_fold' AS problem, count(*) AS n FROM r WHERE image NOT IN (SELECT image FROM f) UNION ALL SELECT 'in_two_folds', count(*) FROM (SELECT 1 FROM f GROUP BY image HAVING count(DISTINCT fold_id) > 1)
+UNION ALL SELECT 'group_cut', count(*) FROM (SELECT 1 FROM f GROUP BY component_id HAVING count(DISTINCT fold_id) > 1) UNION ALL SELECT 'empty_folds', 6 - count(DISTINCT fold_id) FROM f
+UNION ALL SELECT 'folds_of_one_label', count(*) FROM (SELECT 1 FROM r JOIN f USING (image) GROUP BY fold_id HAVING count(DISTINCT y) < 2)""")
+def fold_audit(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") % 2).alias("y"))
+    folds = table(spark, sf, "customer").select(F.col("c_custkey").alias("image"), (F.col("c_custkey") * 7 % 5).cast("int").alias("fold_id"), F.expr("c_custkey div 3").alias("component_id"))
+    return splits.fold_problems(folds, rows, 6, "y")
+
+
+_RESAMPLED = f"""{_SENT}, {_DRAWS},
+x AS (SELECT replicate, method, budget_percent, sum(multiplicity) AS crops, sum(multiplicity) FILTER (predictions > 0) AS nonempty, sum(multiplicity * predictions) AS predictions, sum(multiplicity * errors) AS errors,
+  coalesce(sum(multiplicity) FILTER (sent), 0) AS referred, coalesce(sum(multiplicity * predictions) FILTER (sent), 0) AS referred_predictions, coalesce(sum(multiplicity * errors) FILTER (sent), 0) AS captured FROM s JOIN draws USING (image) GROUP BY ALL),
+y AS (SELECT replicate, method, budget_percent, captured / nullif(errors, 0) AS error_capture, (errors - captured) / nullif(predictions - referred_predictions, 0) AS automatic_error_rate, CASE WHEN errors > 0 THEN referred / nonempty END AS random_capture FROM x)"""
+
+
+def _resampled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    crops = cut(crops_of(spark, sf))
+    thresholds = cut(review.review_thresholds(crops, ["method"], P.budgets))
+    return review.referral_metrics(crops, thresholds, ["method"]), cut(review.referral_resampled(crops, thresholds, ["method"], fixed_draws(spark, sf)))
+
+
+@query(f"""{_RESAMPLED}, seen AS (SELECT method, budget_percent, captured_errors / nullif(errors, 0) AS error_capture, automatic_errors / nullif(automatic_predictions, 0) AS automatic_error_rate, CASE WHEN errors > 0 THEN random_share END AS random_capture FROM e),
+lo AS (SELECT * FROM seen UNPIVOT INCLUDE NULLS (observed FOR metric IN (error_capture, automatic_error_rate, random_capture))), ly AS (SELECT * FROM y UNPIVOT INCLUDE NULLS (v FOR metric IN (error_capture, automatic_error_rate, random_capture)))
+SELECT method, budget_percent, metric, round(any_value(observed), 6) AS observed, round(avg(v), 6) AS bootstrap_mean, round(quantile_cont(v, 0.025), 6) AS lower_95, round(quantile_cont(v, 0.975), 6) AS upper_95, count(v) AS valid_replicates, count(*) - count(v) AS invalid_replicates
+FROM ly JOIN lo USING (method, budget_percent, metric) GROUP BY ALL""")
+def review_intervals(spark, sf):
+    observed, samples = _resampled(spark, sf)
+    t = evaluation.evaluation_table(observed, samples, ["method", "budget_percent"], ["error_capture", "automatic_error_rate", "random_capture"])
+    return rounded(t, "observed", "bootstrap_mean", "lower_95", "upper_95")
+
+
+@query(f"""{_RESAMPLED}, pairs AS (SELECT * FROM (VALUES ('weighted_risk', 'raw_risk'), ('weighted_risk', 'calibrated_risk')) v(method_a, method_b)),
+d AS (SELECT method_a, method_b, a.budget_percent, a.error_capture - b.error_capture AS v FROM pairs JOIN y a ON a.method = method_a JOIN y b ON b.method = method_b AND b.replicate = a.replicate AND b.budget_percent = a.budget_percent),
+seen AS (SELECT method_a, method_b, a.budget_percent, a.captured_errors / nullif(a.errors, 0) - b.captured_errors / nullif(b.errors, 0) AS v FROM pairs JOIN e a ON a.method = method_a JOIN e b ON b.method = method_b AND b.budget_percent = a.budget_percent)
+SELECT method_a, method_b, budget_percent, 'error_capture' AS metric, round(any_value(seen.v), 6) AS observed_difference, round(avg(d.v), 6) AS bootstrap_mean, round(quantile_cont(d.v, 0.025), 6) AS lower_95, round(quantile_cont(d.v, 0.975), 6) AS upper_95,
+  count(d.v) AS valid_replicates, count(*) - count(d.v) AS invalid_replicates FROM d JOIN seen USING (method_a, method_b, budget_percent) GROUP BY ALL""")
+def review_differences(spark, sf):
+    observed, samples = _resampled(spark, sf)
+    pairs = [("weighted_risk", "raw_risk"), ("weighted_risk", "calibrated_risk")]
+    t = evaluation.paired_differences(observed, samples, ["budget_percent"], "method", ["error_capture"], pairs)
+    return rounded(t, "observed_difference", "bootstrap_mean", "lower_95", "upper_95")
+
+
+@query()
+def referral_bootstrap(spark, sf):
+    crops = cut(crops_of(spark, sf))
+    thresholds = cut(review.review_thresholds(crops, ["method"], P.budgets))
+    images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))
+    s = cut(review.referral_bootstrap(crops, thresholds, "method", images, P.replicates, P.seed))
+    t = evaluation.evaluation_table(review.referral_metrics(crops, thresholds, ["method"]), s, ["method", "budget_percent"], list(review.REFERRAL))
+    return rounded(t, "observed", "bootstrap_mean", "lower_95", "upper_95")

@@ -19,6 +19,7 @@ from assaykit.operators import audit, bootstrap, calibration, evaluation, matchi
 from assaykit.plans import ledger, runs
 from assaykit.protocol import Protocol
 from assaykit.sources import scans, sinks
+from assaykit.sources.images import detected
 
 Tables = dict[str, DataFrame]
 
@@ -307,3 +308,20 @@ def reporting(spark, t, p):
     g = t["results"].groupBy("split", "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     whole = F.col("n") == seeds
     return {"aggregate": g.select("split", "metric", "n", F.when(whole, F.col("mean")).alias("mean"), F.when(whole, F.col("std")).alias("std"))}
+
+
+def crop_reliability(files: DataFrame, predictor: Callable, fit: calibration.Calibrator, protocol: Protocol = Protocol()) -> Tables:
+    """From image files to crop risks with an injected detector: plain and transformed views, matching back, two-level
+    means, calibration, fusion, and the largest risk of each crop. Crops without predictions keep a NULL risk."""
+    seen = cut(detected(files, predictor, stability.VIEWS))
+    plain = seen.where("transform_id = 'original' AND class_id IS NOT NULL AND confidence >= " + repr(protocol.inclusion))
+    refs = plain.withColumn("prediction_id", F.concat_ws("#", "image", F.col("detection_index").cast("string")))
+    refs = cut(refs.select("image", "width", "height", "prediction_id", "class_id", "x1", "y1", "x2", "y2", F.col("confidence").alias("raw_confidence")))
+    views = seen.where("transform_id <> 'original'")
+    populations.require(populations.view_problems(views, refs, tuple(v["id"] for v in stability.VIEWS), protocol.max_detections, protocol.classes), "views")
+    means = stability.two_level_means(stability.match_views(refs.drop("raw_confidence"), views.where("class_id IS NOT NULL")), expected=len(stability.VIEWS))
+    scored = refs.join(means, "prediction_id").withColumn("calibrated_confidence", fit.apply(F.col("raw_confidence")))
+    scored = scored.withColumnsRenamed({"class_consistency_value": "class_consistency", "localisation_stability_value": "localisation_stability"})
+    scored = cut(scored.withColumn("risk", risk.weighted_risk(*map(F.lit, protocol.weights))))
+    crops = files.select(F.col("path").alias("image")).join(scored.groupBy("image").agg(F.count(F.lit(1)).alias("predictions"), F.max("risk").alias("crop_risk")), "image", "left")
+    return {"predictions": scored, "crops": crops.fillna(0, ["predictions"])}

@@ -353,3 +353,21 @@ def test_governance(tmp_path):
     with ledger.locked(lock), pytest.raises(RuntimeError, match="another run"), ledger.locked(lock):
         pass
     assert not (tmp_path / "lock").exists() and ledger.seeded(5)["PYTHONHASHSEED"] == "5"
+
+
+def test_crop_reliability(spark):
+    image = np.zeros((40, 40, 1), np.uint8)
+    image[10:20, 12:24] = 200
+
+    def predictor(x):
+        yy, xx = np.nonzero(x[:, :, 0] > 150)
+        return [(0, 0.9, float(xx.min()), float(yy.min()), float(xx.max() + 1), float(yy.max() + 1)), (1, 0.005, 0.0, 0.0, 1.0, 1.0)] if len(xx) else []
+
+    files = spark.createDataFrame([("a.png", bytearray(png(image, 0))), ("b.png", bytearray(png(image * 0, 0)))], "path string, content binary")
+    made = stages.crop_reliability(files, predictor, stages.calibration.Calibrator("raw"))
+    crops = {r["image"]: r for r in made["crops"].collect()}
+    assert crops["b.png"]["predictions"] == 0 and crops["b.png"]["crop_risk"] is None
+    r = made["predictions"].collect()
+    assert len(r) == 1 and r[0]["class_consistency"] == 1 and crops["a.png"]["crop_risk"] == r[0]["risk"]
+    want = (89 * 0.1 + 0 + 10 * (1 - r[0]["localisation_stability"])) / 100
+    assert r[0]["risk"] == pytest.approx(want) and 0.8 < r[0]["localisation_stability"] <= 1
