@@ -72,7 +72,7 @@ def view_problems(views: DataFrame, references: DataFrame, transforms: tuple[str
         "sizes_of_views_differ": sizes.where("width <> w0 OR height <> h0"),
         "box_outside_view": d.where(~F.coalesce(inside, F.lit(False))),
         "class_or_confidence": d.where(~F.coalesce(c("class_id").between(0, classes - 1) & number("confidence").between(0, 1), F.lit(False))),
-        "reference_outside_image": references.join(sizes, "image").where((c("x2") > c("width")) | (c("y2") > c("height"))),
+        "reference_outside_image": references.select("image", "x2", "y2").join(sizes, "image").where((c("x2") > c("width")) | (c("y2") > c("height"))),
     })
 
 
