@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline
+import duckdb
+import pytest
 from assaykit.llm import registry
 from tests.llm.test_operators import brute_components, brute_windows
 
@@ -38,3 +40,15 @@ def test_stages(spark, tmp_path):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_agree_with_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df, want = registry.QUERIES[name](spark, SF), con.sql(registry.ORACLE_SQL[name])
+    order = sorted(df.columns)
+    assert order == sorted(want.columns)
+    shown = lambda names, rows: sorted(tuple(str(r[names.index(c)]) for c in order) for r in rows)
+    assert shown(df.columns, df.collect()) == shown(want.columns, want.fetchall())
