@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.functions.scalar import ratio
+from assaykit.functions.scalar import bin_of, ratio
 from assaykit.operators.ranking import with_quantiles
 
 
@@ -22,6 +22,35 @@ def threshold_counts(df: DataFrame, column: str, thresholds: tuple[float, ...],
     return row.select(F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"c{i}").alias("n")) for i, t in enumerate(thresholds)))).alias("x")).select("x.*")
 
 
+def interval_histogram(df: DataFrame, column: str, edges: tuple[float, ...]) -> DataFrame:
+    """``bin, n, percentage`` of half-open intervals, the last one closed; every interval has a row, values outside count nowhere."""
+    b = df.select(bin_of(F.col(column), edges).alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = df.sparkSession.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
+    d = bins.join(b, "bin", "left").fillna(0, ["n"])
+    return d.withColumn("percentage", ratio(100 * F.col("n"), F.sum("n").over(Window.partitionBy())))  # a row for each interval
+
+
+def retained_counts(df: DataFrame, column: str, thresholds: tuple[float, ...]) -> DataFrame:
+    """``threshold, retained``: rows at or above each threshold, all counted in one pass."""
+    return threshold_counts(df, column, thresholds, above=True).withColumnRenamed("n", "retained")
+
+
+def joint_threshold_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``rule, n``: rows that meet each rule, which may look at several columns; all counted in one pass."""
+    row = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(rules.values())))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(f"c{i}").alias("n")) for i, k in enumerate(rules)))).alias("x")).select("x.*")
+
+
+def modes(images: DataFrame) -> DataFrame:
+    """``channels, n`` of readable images, commonest first."""
+    return images.where("readable").groupBy("channels").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "channels")
+
+
+def unreadable(images: DataFrame) -> DataFrame:
+    """Paths of images that could not be decoded."""
+    return images.where("NOT readable").select("path")
+
+
 def boundary_overflow(xc: Column, yc: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
     """How many pixels a normalised box reaches beyond its image, at the worst of four sides."""
     zero = F.lit(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,55 @@ def paired_differences(observed: DataFrame, samples: DataFrame, by: list[str], m
     return seen.join(interval(differences(samples, ["replicate", *by]), names, "value"), names, "left")
 
 
+def _beta_part(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_part(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value, c, d = 1.0, 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 400):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + k * d), 1 + k / c
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * value
+
+
+def t_quantile(p: float, df: int) -> float:
+    """The ``p``-quantile of Student's t with ``df`` degrees of freedom."""
+    tail = lambda t: _beta_part(df / (df + t * t), df / 2, 0.5) / 2  # noqa: E731  chance of more than t > 0
+    if p < 0.5:
+        return -t_quantile(1 - p, df)
+    lo, hi = 0.0, 1.0
+    while tail(hi) > 1 - p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if tail(mid) > 1 - p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def seed_aggregate(df: DataFrame, by: list[str], value: str, expected: int) -> DataFrame:
+    """``by, seeds, mean, std`` (sample) of a value over repeated runs; the deviation is NULL unless all are there."""
+    whole = F.count(F.lit(1)) == expected
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("seeds"), F.avg(value).alias("mean"), F.when(whole, F.stddev_samp(value)).alias("std"))
+
+
+def paired_summary(df: DataFrame, by: list[str], delta: str, level: float = 0.95) -> DataFrame:
+    """``by, n, mean, lower, upper``: t interval of differences paired by seed, at each group's own number of them."""
+    g = cut(df.groupBy(*by).agg(F.count(delta).alias("n"), F.avg(delta).alias("mean"), F.stddev_samp(delta).alias("_s")))
+    sizes = [r["n"] for r in g.select("n").distinct().collect()]  # numbers of seeds
+    half = F.lit(None).cast("double")
+    for n in sizes:
+        if n > 1:
+            half = F.when(F.col("n") == n, F.lit(t_quantile((1 + level) / 2, n - 1)) * F.col("_s") / F.sqrt("n")).otherwise(half)
+    return g.select(*by, "n", "mean", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"))
+
+
 def labelled(df: DataFrame, **constants: str) -> DataFrame:
     """``df`` with constant text columns in front, such as which analysis a table belongs to."""
     return df.select(*(F.lit(v).alias(k) for k, v in constants.items()), *df.columns)

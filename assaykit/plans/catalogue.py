@@ -14,6 +14,7 @@ from assaykit.functions.scalar import bin_of, box_iou, median_bits, ratio
 from assaykit.lineage import cut
 from assaykit.operators import audit, bootstrap, calibration, evaluation, matching, neardup, populations, ranking, review, risk, splits, stability, validate
 from assaykit.operators.graph import connected_components
+from assaykit.plans import runs
 from assaykit.protocol import Protocol
 from assaykit.sources.scans import numbered, unpaired
 
@@ -159,16 +160,12 @@ def calibration_by_class(spark, sf):
 
 @query(f"WITH {_POP}, e AS (SELECT len(list_filter([0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[], lambda x: x <= raw_confidence)) - 1 AS b FROM pop WHERE raw_confidence BETWEEN 0.001 AND 1) SELECT k::INT AS bin, count(b) AS n, round(100 * count(b) / (SELECT count(*) FROM e), 6) AS percentage FROM range(7) r(k) LEFT JOIN e ON least(b, 6) = k GROUP BY k")
 def confidence_histogram(spark, sf):
-    b = population(spark, sf).select(bin_of(F.col("raw_confidence"), P.edges).alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    bins = spark.range(len(P.edges) - 1).select(F.col("id").cast("int").alias("bin"))
-    d = bins.join(b, "bin", "left").fillna(0, ["n"])
-    return rounded(d.withColumn("percentage", ratio(100 * F.col("n"), F.sum("n").over(Window.partitionBy()))), "percentage")
+    return rounded(audit.interval_histogram(population(spark, sf), "raw_confidence", P.edges), "percentage")
 
 
 @query(f"WITH {_POP} SELECT t AS threshold, count(*) FILTER (raw_confidence >= t) AS retained FROM pop, (SELECT unnest([0.001, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS t) GROUP BY t")
 def cumulative_retained(spark, sf):
-    row = population(spark, sf).agg(*(F.count_if(F.col("raw_confidence") >= t).alias(f"c{i}") for i, t in enumerate(P.edges)))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("retained")) for i, t in enumerate(P.edges)))).alias("x")).select("x.*")
+    return audit.retained_counts(population(spark, sf), "raw_confidence", P.edges)
 
 
 @query()
@@ -492,7 +489,7 @@ def expectation_audit(spark, sf):
 @query("""WITH m AS (SELECT event_type, user_id % 5 AS seed, avg(value) AS v FROM events GROUP BY ALL) SELECT event_type, count(*) AS seeds, round(avg(v), 6) AS mean, round(CASE WHEN count(*) = 5 THEN stddev_samp(v) END, 6) AS std FROM m GROUP BY 1""")
 def seed_aggregate(spark, sf):
     m = table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("v"))
-    return rounded(m.groupBy("event_type").agg(F.count(F.lit(1)).alias("seeds"), F.avg("v").alias("mean"), F.when(F.count(F.lit(1)) == 5, F.stddev_samp("v")).alias("std")), "mean", "std")
+    return rounded(evaluation.seed_aggregate(m, ["event_type"], "v", 5), "mean", "std")
 
 
 @query("""WITH m AS (SELECT event_type, user_id % 5 AS seed, avg(value) FILTER (event_id % 2 = 1) - avg(value) FILTER (event_id % 2 = 0) AS d FROM events GROUP BY ALL)
@@ -500,8 +497,8 @@ SELECT event_type, count(d) AS n, round(avg(d), 6) AS mean, round(avg(d) - 2.776
 def paired_summary_ci(spark, sf):
     odd = F.col("event_id") % 2 == 1
     m = table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg((F.avg(F.when(odd, F.col("value"))) - F.avg(F.when(~odd, F.col("value")))).alias("d"))
-    half = F.lit(2.7764451051977987) * F.stddev_samp("d") / F.sqrt(F.count("d"))
-    return rounded(m.groupBy("event_type").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.avg("d") - half).alias("lower_95"), (F.avg("d") + half).alias("upper_95")), "mean", "lower_95", "upper_95")
+    s = evaluation.paired_summary(m, ["event_type"], "d").withColumnsRenamed({"lower": "lower_95", "upper": "upper_95"})
+    return rounded(s, "mean", "lower_95", "upper_95")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_tax, l_discount FROM lineitem ORDER BY l_tax, l_discount DESC, l_extendedprice, l_orderkey, l_linenumber LIMIT 30")
@@ -546,9 +543,8 @@ def paired_ranking_bootstrap(spark, sf):
 SELECT pipeline, round(seconds, 6) AS mean_seconds, round(std, 6) AS std_seconds, round(throughput, 6) AS throughput, round(seconds / (SELECT seconds FROM s WHERE pipeline = 0), 6) AS overhead FROM s""")
 def benchmark_summary(spark, sf):
     t = table(spark, sf, "events").groupBy((F.col("user_id") % 2).alias("pipeline"), (F.expr("user_id div 2") % 5).alias("repetition")).agg(F.sum("value").alias("seconds"), F.count(F.lit(1)).alias("crops"))
-    s = t.groupBy("pipeline").agg(F.avg("seconds").alias("mean_seconds"), F.stddev_samp("seconds").alias("std_seconds"), (F.sum("crops") / F.sum("seconds")).alias("throughput"))
-    base = F.max(F.when(F.col("pipeline") == 0, F.col("mean_seconds"))).over(Window.partitionBy())
-    return rounded(s.withColumn("overhead", F.col("mean_seconds") / base), "mean_seconds", "std_seconds", "throughput", "overhead")
+    s = runs.timing_summary(t, 0).withColumnsRenamed({"throughput_crops_per_second": "throughput", "overhead_ratio": "overhead"})
+    return rounded(s.select("pipeline", "mean_seconds", "std_seconds", "throughput", "overhead"), "mean_seconds", "std_seconds", "throughput", "overhead")
 
 
 @query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
@@ -694,3 +690,9 @@ def referral_bootstrap(spark, sf):
     s = cut(review.referral_bootstrap(crops, thresholds, "method", images, P.replicates, P.seed))
     t = evaluation.evaluation_table(review.referral_metrics(crops, thresholds, ["method"]), s, ["method", "budget_percent"], list(review.REFERRAL))
     return rounded(t, "observed", "bootstrap_mean", "lower_95", "upper_95")
+
+
+@query("""SELECT 'both' AS rule, count(*) FILTER (l_discount <= 0.02 AND l_tax >= 0.06) AS n FROM lineitem UNION ALL SELECT 'either', count(*) FILTER (l_discount <= 0.02 OR l_tax >= 0.06) FROM lineitem""")
+def joint_thresholds(spark, sf):
+    low, high = F.col("l_discount") <= 0.02, F.col("l_tax") >= 0.06
+    return audit.joint_threshold_counts(table(spark, sf, "lineitem"), {"both": low & high, "either": low | high})

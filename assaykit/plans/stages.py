@@ -305,9 +305,9 @@ def computational_efficiency(spark, t, p):
 def reporting(spark, t, p):
     """Repeated runs: mean and sample deviation of each metric, blank unless all seeds are there."""
     seeds = t["results"].select("seed").distinct().count()
-    g = t["results"].groupBy("split", "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    whole = F.col("n") == seeds
-    return {"aggregate": g.select("split", "metric", "n", F.when(whole, F.col("mean")).alias("mean"), F.when(whole, F.col("std")).alias("std"))}
+    a, b = (t["results"].where(F.col("split") == s).select("seed", "metric", F.col("value").alias(s)) for s in ("supplied", "similarity_aware"))
+    deltas = a.join(b, ["seed", "metric"]).withColumn("delta", F.col("similarity_aware") - F.col("supplied"))
+    return {"aggregate": evaluation.seed_aggregate(t["results"], ["split", "metric"], "value", seeds), "differences": evaluation.paired_summary(deltas, ["metric"], "delta")}
 
 
 def crop_reliability(files: DataFrame, predictor: Callable, fit: calibration.Calibrator, protocol: Protocol = Protocol()) -> Tables:

@@ -26,5 +26,14 @@ class Protocol:
             raise ValueError("weights are whole percentages that sum to 100")
         if list(self.edges) != sorted(set(self.edges)):
             raise ValueError("edges increase strictly")
-        if not all(0 < b < 100 for b in self.budgets):
-            raise ValueError("budgets are percentages between 0 and 100")
+        if not all(0 < b < 100 for b in self.budgets) or len(set(self.budgets)) != len(self.budgets):
+            raise ValueError("budgets are different percentages between 0 and 100")
+        if not all(0 < t <= 1 for t in self.iou_thresholds) or not 0 <= self.inclusion <= 1:
+            raise ValueError("overlap thresholds and inclusion lie within the unit interval")
+        if min(self.replicates, self.folds - 1, self.classes, self.max_detections) < 1 or self.seed < 0:
+            raise ValueError("replicates, classes and detections are at least 1, folds 2, and seeds not negative")
+        if len(set(self.signals)) != len(self.weights):
+            raise ValueError("every signal has a weight")
+        for mae, r, bits in self.tiers.values():
+            if not (0 <= mae <= 1 and -1 <= r <= 1 and (bits is None or 0 <= bits <= 64)):
+                raise ValueError("a tier bounds a difference, a correlation and a number of bits")

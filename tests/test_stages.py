@@ -371,3 +371,22 @@ def test_crop_reliability(spark):
     assert len(r) == 1 and r[0]["class_consistency"] == 1 and crops["a.png"]["crop_risk"] == r[0]["risk"]
     want = (89 * 0.1 + 0 + 10 * (1 - r[0]["localisation_stability"])) / 100
     assert r[0]["risk"] == pytest.approx(want) and 0.8 < r[0]["localisation_stability"] <= 1
+
+
+def test_t_quantiles_and_reporting(spark, tmp_path):
+    known = {(0.975, 4): 2.7764451051977987, (0.975, 1): 12.706204736432095, (0.95, 30): 1.697260886593957, (0.025, 9): -2.262157162740992}
+    assert all(evaluation.t_quantile(p, n) == pytest.approx(t, rel=1e-9) for (p, n), t in known.items())
+    rows = [(k, s, "m", v) for k, pair in enumerate([(1.0, 2.0), (2.0, 2.5), (3.0, 5.0)]) for s, v in zip(("supplied", "similarity_aware"), pair)] + [(0, "supplied", "q", 1.0)]
+    made = stages.run(spark, "reporting", {"results": spark.createDataFrame(rows, "seed int, split string, metric string, value double")}, str(tmp_path))
+    got = {(r["split"], r["metric"]): (r["seeds"], r["mean"], r["std"]) for r in made["aggregate"].collect()}
+    assert got["supplied", "m"] == (3, 2.0, 1.0) and got["supplied", "q"] == (1, 1.0, None)
+    d = made["differences"].where("metric = 'm'").first()
+    deltas = np.array([1.0, 0.5, 2.0])
+    half = evaluation.t_quantile(0.975, 2) * deltas.std(ddof=1) / 3**0.5
+    assert (d["n"], d["mean"], d["lower"], d["upper"]) == (3, pytest.approx(deltas.mean()), pytest.approx(deltas.mean() - half), pytest.approx(deltas.mean() + half))
+
+
+def test_protocol_refuses_what_no_study_can_mean():
+    for wrong in ({"weights": (50, 50, 1)}, {"edges": (0.1, 0.1)}, {"budgets": (5, 5)}, {"inclusion": 2.0}, {"folds": 1}, {"replicates": 0}, {"signals": ("a", "b")}, {"tiers": {"A": (2.0, 0.9, None)}}):
+        with pytest.raises(ValueError):
+            Protocol(**wrong)
