@@ -112,6 +112,11 @@ def _prefixes(docs: DataFrame, n: int, bits: int, sketch: np.ndarray, t: Fractio
     return docs.select("doc_id", "text").mapInArrow(trimmed(kernel), "doc_id long, n long, s1 long, s2 long, map array<long>, prefix array<long>")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, texts``: the different texts of the rows with these ids; rows that repeat both count once, before they travel."""
+    return among(docs.where("doc_id IS NOT NULL"), "doc_id", ids).groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     """The pairs ``a, b`` whose whole shingle sets reach the threshold.
 
@@ -148,8 +153,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: Fra
     leads = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("salts"))
     heads = leads.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("second"), F.col("a").alias("b"))
     rows = near.join(leads, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("second"), "b").union(heads)
-    texts = among(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), "doc_id", rows.select("b"))
-    rows = rows.join(texts, F.col("b") == F.col("doc_id")).select("a", "salt", "second", "b", "text")
+    rows = rows.join(_texts(docs, rows.select("b")), F.col("b") == F.col("doc_id")).select("a", "salt", "second", "b", F.explode("texts").alias("text"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "second")
     found = cut(rows.mapInArrow(trimmed(kernel), "a long, b long").distinct())
     drop(pairs, maps, near)
@@ -217,9 +221,8 @@ def _decided(members: DataFrame, docs: DataFrame, n: int, t: Fraction, pairs: bo
         two = m.where("k = 2").select("s1", "s2", "n", (F.col("all") - F.col("copies")).alias("near"))
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     m = cut(m.where("k > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("s1", "s2"), "blocks").cast("int")))
-    texts = among(docs.where("doc_id IS NOT NULL"), "doc_id", m.select("rep"))
     units = m.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "s1", "s2", "n", "rep", "copies")
-    units = units.join(texts, F.col("rep") == F.col("doc_id")).select("component", "lo", "hi", "block", "s1", "s2", "rep", "copies", "text")
+    units = units.join(_texts(docs, m.select("rep")), F.col("rep") == F.col("doc_id")).select("component", "lo", "hi", "block", "s1", "s2", "rep", "copies", F.explode("texts").alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
