@@ -321,7 +321,9 @@ def repeated_extents(docs: DataFrame, length: int = 400) -> DataFrame:
     context = F.struct("c", "d")
     grams = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), (F.min(context) != F.max(context)).alias("mixed")).where("k > 1").select("h", "mixed"))
     # Equal contexts: all of each is covered, if it holds a whole string.
-    shared = cut(among(rows, "h", grams.select("h"), 24).join(grams, "h").groupBy("h", "c", "d", "mixed").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "n", "pos")).alias("at")))
+    # Those of very many copies come down to one row before they travel.
+    shared = among(rows, "h", grams.select("h"), 24).groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("t", "n", "pos")).alias("at"))
+    shared = cut(shared.join(grams, "h"))
     drop(grams)
     equal = shared.where("k > 1").select("h", "c", "d")
     span = length - GRAM
