@@ -21,7 +21,17 @@ def _counted(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def population_problems(rows: DataFrame, images: DataFrame, signals: tuple[str, ...], label: str = "correct", identity: str = "prediction_id", confidence: str | None = "raw_confidence", least: float = 0.01, aliases: dict[str, str] | None = None, expected: dict[str, int] | None = None) -> DataFrame:
+def population_problems(
+    rows: DataFrame,
+    images: DataFrame,
+    signals: tuple[str, ...],
+    label: str = "correct",
+    identity: str = "prediction_id",
+    confidence: str | None = "raw_confidence",
+    least: float = 0.01,
+    aliases: dict[str, str] | None = None,
+    expected: dict[str, int] | None = None,
+) -> DataFrame:
     """``problem, n`` of a scored population; all zero for a good one.
 
     Counted are repeated and missing identities, rows of images outside ``images``, repeated images, signals outside [0, 1]

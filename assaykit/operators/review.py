@@ -20,7 +20,11 @@ def coverage_curve(df: DataFrame, by: list[str], risk: str, label: str, weight:
     """``by, threshold, retained, incorrect, coverage, selective_risk``: keeping predictions from the lowest risk up, tie groups whole."""
     g = running_totals(tie_groups(df, by, risk, label, weight), by, "score", ["pos", "neg"])
     kept = F.col("cum_pos") + F.col("cum_neg")
-    return g.select(*by, F.col("score").alias("threshold"), (F.col("pos") + F.col("neg")).alias("added"), kept.alias("retained"), F.col("cum_pos").alias("incorrect"), ratio(kept, F.col("all_pos") + F.col("all_neg")).alias("coverage"), ratio(F.col("cum_pos"), kept).alias("selective_risk"), (F.col("all_pos") + F.col("all_neg")).alias("total"))
+    total = F.col("all_pos") + F.col("all_neg")
+    return g.select(
+        *by, F.col("score").alias("threshold"), (F.col("pos") + F.col("neg")).alias("added"), kept.alias("retained"), F.col("cum_pos").alias("incorrect"),
+        ratio(kept, total).alias("coverage"), ratio(F.col("cum_pos"), kept).alias("selective_risk"), total.alias("total"),
+    )
 
 
 def aurc(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -57,7 +61,10 @@ def review_thresholds(crops: DataFrame, by: list[str], budgets: tuple[int, ...])
 
 
 #: What is summed over crops, with their multiplicity, for referral metrics: name and whether only referred crops count.
-_SUMS = {"crops": ("1", False), "nonempty_crops": ("has", False), "predictions": ("predictions", False), "errors": ("errors", False), "referred_crops": ("1", True), "referred_predictions": ("predictions", True), "captured_errors": ("errors", True)}
+_SUMS = {
+    "crops": ("1", False), "nonempty_crops": ("has", False), "predictions": ("predictions", False), "errors": ("errors", False),
+    "referred_crops": ("1", True), "referred_predictions": ("predictions", True), "captured_errors": ("errors", True),
+}
 
 
 def _referral_stats(crops: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:

@@ -124,8 +124,10 @@ def scanned(files: DataFrame, side: int = 64, decoder: Callable[[bytes], np.ndar
                     continue
                 plain = gray(image)
                 bits = geometry.dct_hash(resized(plain, 32, 32))
-                size = struct.pack("<III", *image.shape)
-                rows.append((path, True, image.shape[1], image.shape[0], image.shape[2], hashlib.sha256(size + np.ascontiguousarray(image).tobytes()).hexdigest(), bits - (1 << 64) if bits >> 63 else bits, resized(plain, side, side).astype(np.float32).ravel().tolist()))
+                pixels = hashlib.sha256(struct.pack("<III", *image.shape) + np.ascontiguousarray(image).tobytes()).hexdigest()
+                signed = bits - (1 << 64) if bits >> 63 else bits
+                small = resized(plain, side, side).astype(np.float32).ravel().tolist()
+                rows.append((path, True, image.shape[1], image.shape[0], image.shape[2], pixels, signed, small))
             yield pd.DataFrame(rows, columns=["path", "readable", "width", "height", "channels", "pixel_sha256", "phash", "small"]).astype({"width": "Int32", "height": "Int32", "channels": "Int32", "phash": "Int64"})
 
     return files.select("path", "content").mapInPandas(kernel, "path string, readable boolean, width int, height int, channels int, pixel_sha256 string, phash long, small array<float>")
