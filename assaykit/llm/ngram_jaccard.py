@@ -150,6 +150,14 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: Fra
     apart = F.expr("aggregate(zip_with(map_a, map_b, (x, y) -> bit_count(x ^ y)), 0L, (s, x) -> s + x)")
     near = pairs.join(side("b"), "b").join(side("a"), "a").where(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
     near = cut(near.select("a", "b").distinct())
+    # The side with more pairs leads, so that no text travels once for each of very many leads.
+    degree = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("pairs"))
+    count = lambda c: degree.select(F.col("node").alias(c), F.col("pairs").alias(f"pairs_{c}"))
+    turned = near.join(count("a"), "a").join(count("b"), "b")
+    turn = F.col("pairs_a") < F.col("pairs_b")
+    oriented = cut(turned.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")))
+    drop(near)
+    near = oriented
     leads = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("salts"))
     heads = leads.select("a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("second"), F.col("a").alias("b"))
     rows = near.join(leads, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("second"), "b").union(heads)
