@@ -331,7 +331,9 @@ def _jaccard(docs: DataFrame, n: int, t: Fraction, sketch_bits: int, every: bool
         linked = named.where("component IS NOT NULL")
         near = cut(_decided(linked, docs, n, t, pairs=False)).select(*(F.col(c).alias(f"near_{c}") for c in ("s1", "s2", "n")), "near")
         links = _decided(linked, docs, n, t, pairs=True)
-        named = named.join(near, (F.col("s1") == F.col("near_s1")) & (F.col("s2") == F.col("near_s2")) & (F.col("n") == F.col("near_n")), "left").drop("near_s1", "near_s2", "near_n")
+        found = named.join(near, (F.col("s1") == F.col("near_s1")) & (F.col("s2") == F.col("near_s2")) & (F.col("n") == F.col("near_n")), "left")
+        # Written, so that the rows of a set that very many share can be dealt out again when they meet its answer.
+        named = cut(found.drop("near_s1", "near_s2", "near_n"))
         others = F.col("copies") - F.col("doc_id").isNotNull().cast("int") + F.coalesce("near", F.lit(0))
         columns.append(F.when(F.col("rep").isNotNull(), others).when(F.col("doc_id").isNotNull(), F.lit(0)).alias("n_links"))
     return sets.join(named, ["s1", "s2", "n"], "left").select(*columns), links
