@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import ratio
 from assaykit.lineage import cut
-from assaykit.operators.bootstrap import BATCH, draw_block, draw_table, generator_states
+from assaykit.operators.bootstrap import BATCH, draw_block, draw_table, generator_states, resampled
 from assaykit.operators.ranking import tie_groups
 from assaykit.operators.scan import running_totals
 
@@ -67,13 +67,13 @@ _SUMS = {
 }
 
 
-def _referral_stats(crops: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
-    """``image, by, budget_percent, threshold`` and a column for each of ``_SUMS``: what one crop adds to it."""
+def _referral_stats(crops: DataFrame, thresholds: DataFrame, by: list[str], *keep: str) -> DataFrame:
+    """``image, by, budget_percent, threshold``, what to keep, and a column for each of ``_SUMS``: what one crop adds to it."""
     d = crops.join(F.broadcast(thresholds), by)  # a row for each group and budget
     d = d.withColumn("1", F.lit(1)).withColumn("has", (F.col("predictions") > 0).cast("int"))
     sent = F.coalesce((F.col("predictions") > 0) & (F.col("crop_risk") > F.col("threshold")), F.lit(False))
     parts = {name: F.when(sent, F.col(f"`{c}`")).otherwise(F.lit(0)) if only else F.col(f"`{c}`") for name, (c, only) in _SUMS.items()}
-    return d.select("image", *by, "budget_percent", "threshold", *(v.cast("double").alias(k) for k, v in parts.items()))
+    return d.select("image", *by, "budget_percent", "threshold", *keep, *(v.cast("double").alias(k) for k, v in parts.items()))
 
 
 def _referral_ratios() -> dict[str, Column]:
@@ -103,11 +103,10 @@ def referral_metrics(crops: DataFrame, thresholds: DataFrame, by: list[str]) ->
     return m.select("*", *(v.alias(k) for k, v in _referral_ratios().items()))
 
 
-def referral_resampled(crops: DataFrame, thresholds: DataFrame, by: list[str], draws: DataFrame) -> DataFrame:
+def referral_resampled(crops: DataFrame, thresholds: DataFrame, by: list[str], draws: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``replicate, by, budget_percent`` and referral metrics of resampled crops; thresholds stay as they are."""
-    stats = _referral_stats(crops, thresholds, by)
     w = F.col("multiplicity")
-    m = draws.join(stats, "image").groupBy("replicate", *by, "budget_percent").agg(*(F.sum(w * F.col(k)).alias(k) for k in _SUMS))
+    m = _referral_stats(resampled(crops, draws), thresholds, by, "replicate", "multiplicity").groupBy("replicate", *by, "budget_percent").agg(*(F.sum(w * F.col(k)).alias(k) for k in _SUMS))
     return m.select("replicate", *by, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
 
 
