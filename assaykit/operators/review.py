@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import ratio
-from assaykit.lineage import cut
-from assaykit.operators.bootstrap import BATCH, draw_block, draw_table, generator_states, resampled
+from assaykit.lineage import cut, drop
+from assaykit.operators.bootstrap import BATCH, PART, block_starts, draw_table, numbered_clusters, parts_of, read_part, resampled, weight_blocks
 from assaykit.operators.ranking import tie_groups
 from assaykit.operators.scan import running_totals
 
@@ -110,35 +110,54 @@ def referral_resampled(crops: DataFrame, thresholds: DataFrame, by: list[str], d
     return m.select("replicate", *by, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
 
 
-def referral_bootstrap(crops: DataFrame, thresholds: DataFrame, method: str, images: DataFrame, replicates: int, seed: int, most_rows: int = 20_000_000) -> DataFrame:
+def referral_bootstrap(crops: DataFrame, thresholds: DataFrame, method: str, images: DataFrame, replicates: int, seed: int, most_rows: int | None = None) -> DataFrame:
     """``replicate, <method>, budget_percent`` and referral metrics on the generator's draws of images.
 
-    Up to ``most_rows`` crop rows the crops' contributions are broadcast and blocks of draws multiply them;
-    beyond that draws are joined with crops.
+    Crops are written by method and image; a kernel works through blocks of draws and multiplies them with the files one
+    after another, so neither the driver nor a task holds all crops. Beyond ``most_rows`` crop rows, if given, draws are
+    joined with crops instead.
     """
     spark = crops.sparkSession
-    stats = cut(_referral_stats(crops, thresholds, [method]))
-    if stats.count() > most_rows:
+    if most_rows is not None and crops.count() > most_rows:
         return referral_resampled(crops, thresholds, [method], draw_table(images, replicates, seed))
-    names = [r[0] for r in images.select("image").distinct().orderBy("image").collect()]
-    pdf = stats.toPandas()
-    place = pdf["image"].map({c: i for i, c in enumerate(names)}).to_numpy()
-    tables = []
-    for (name, budget), rows in pdf.groupby([method, "budget_percent"]).indices.items():
-        table = np.zeros((len(names), len(_SUMS)))
-        table[place[rows]] = pdf.iloc[rows][list(_SUMS)].to_numpy(float)
-        tables.append((name, int(budget), table))
-    shared, n = spark.sparkContext.broadcast(tables), len(names)
-    states = generator_states(n, replicates, seed)
+    names, n = numbered_clusters(images, "image")
+    limits: dict = {}  # a few budgets of each method
+    for r in thresholds.select(method, "budget_percent", "threshold").collect():
+        limits.setdefault(r[0], []).append((int(r[1]), float("nan") if r[2] is None else float(r[2])))
+    kinds = sorted(limits, key=str)
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col(method)) if kinds else F.lit(None).cast("long")
+    own = crops.join(names.hint("merge"), "image").select((place - 1).cast("int").alias("m"), "at", *(F.col(c).cast("double").alias(c) for c in ("predictions", "errors", "crop_risk"))).where("m >= 0")
+    own = cut(own)
+    files = max(1, -(-own.count() // PART))
+    dealt = cut(own.repartitionByRange(files, "m", "at").sortWithinPartitions("m", "at"))
+    parts = parts_of(dealt)
+    drop(own, names)
+    starts = block_starts(spark, n, replicates, seed)
 
     def kernel(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (b for ids in blocks for b in ids["id"].tolist()):
-            weights = draw_block(states[b], n, min(BATCH, replicates - b * BATCH)).astype(float)
-            for name, budget, table in shared.value:
-                sums = pd.DataFrame(weights @ table, columns=list(_SUMS))
-                yield sums.assign(**{"replicate": b * BATCH + np.arange(len(sums)), method: name, "budget_percent": budget})
+            for first, w in weight_blocks(n, seed, starts[b], min(BATCH, replicates - b * BATCH)):
+                yield from summed(b * BATCH + first, w)
+
+    def summed(first: int, w: np.ndarray) -> Iterator[pd.DataFrame]:
+        out: dict = {}
+        for path in parts:
+            t = read_part(path, ["m", "at", "predictions", "errors", "crop_risk"])
+            ends = [0, *(np.flatnonzero(np.diff(t["m"])) + 1).tolist(), len(t["m"])]
+            # Rows of one method, few enough for their weights as doubles.
+            for lo, hi in ((i, min(i + 16_384, b)) for a, b in zip(ends[:-1], ends[1:]) for i in range(a, b, 16_384)):
+                k, at, p, e, risk = int(t["m"][lo]), t["at"][lo:hi], t["predictions"][lo:hi], t["errors"][lo:hi], t["crop_risk"][lo:hi]
+                here = [np.ones(len(at)), p > 0, p, e]
+                for _, limit in limits[kinds[k]]:
+                    sent = (p > 0) & (risk > limit)
+                    here += [sent, p * sent, e * sent]
+                out[k] = out.get(k, 0) + w[:, at].astype(float) @ np.stack(here, axis=1).astype(float)
+        for k, sums in out.items():
+            for j, (budget, _) in enumerate(limits[kinds[k]]):
+                columns = np.concatenate([sums[:, :4], sums[:, 4 + 3 * j : 7 + 3 * j]], axis=1)
+                yield pd.DataFrame(columns, columns=list(_SUMS)).assign(**{"replicate": first + np.arange(len(w)), method: kinds[k], "budget_percent": budget})
 
     kind = crops.schema[method].dataType.simpleString()
-    blocks = spark.range(0, -(-replicates // BATCH), 1, min(64, -(-replicates // BATCH)))
+    blocks = spark.range(0, len(starts), 1, min(64, len(starts)))
     m = blocks.mapInPandas(kernel, ", ".join(f"{k} double" for k in _SUMS) + f", replicate long, {method} {kind}, budget_percent int")
     return m.select("replicate", method, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
