@@ -78,6 +78,9 @@ def assign(iou: np.ndarray, least: float = 0.5) -> dict[int, int]:
     rows, cols = iou.shape
     if not rows or not cols:
         return {}
+    could = iou >= least
+    if (could.sum(0) <= 1).all() and (could.sum(1) <= 1).all():  # no two compete
+        return dict(zip(*(k.tolist() for k in np.nonzero(could))))
     n = rows + cols
     bonus = min(rows, cols) + 1.0
     cost = np.zeros((rows, n))

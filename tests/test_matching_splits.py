@@ -232,3 +232,18 @@ def test_component_digests_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(splits, "DIGEST_PART", 10)
     want = line([line(names[:10]), line(names[10:20]), line(names[20:])])
     assert {r["component"]: r["component_id"] for r in splits.component_ids(df).collect()} == {"x00": want, "z": line(["z"])}
+
+
+def test_only_polygons_that_may_match_are_clipped(monkeypatch):
+    clipped = []
+    monkeypatch.setattr(stability, "polygon_iou", lambda a, b, f=stability.polygon_iou: clipped.append(1) or f(a, b))
+    view = next(v for v in stability.VIEWS if v["id"] == "rotation_plus")
+    boxes = [[30.0, 30.0, 40.0, 50.0], [38.0, 30.0, 48.0, 50.0], [30.0, 46.0, 40.0, 66.0]]  # neighbours overlap a little
+    m = stability.matrix_of(view, 80, 100)
+    own = [{"width": 80.0, "height": 100.0, "prediction_id": str(i), "class_id": 0, "box": b} for i, b in enumerate(boxes)]
+    seen = []
+    for b in boxes:
+        q = stability.map_points(stability.corners(b), m)
+        seen.append({"class_id": 0, "box": [*q.min(0).tolist(), *q.max(0).tolist()]})
+    rows = stability._match_view("i", own, seen, view, 0.5, False, {})
+    assert [r[6] for r in rows] == [0, 1, 2] and all(r[9] > 0.5 and r[10] is None for r in rows) and len(clipped) == 3
