@@ -36,13 +36,26 @@ def crop_risks(images: DataFrame, scores: DataFrame, by: list[str], risk: str, l
     """A row per image and group: ``image, by, predictions, errors, crop_risk``; empty images keep a NULL risk.
 
     ``by`` values come from the scores; images without predictions meet each of these few (more than 1,000 are an error).
+    A plan estimates long scores at the size of their predictions, so it is never left to that estimate whether their sums
+    are broadcast.
     """
     values = scores.select(*by).distinct().limit(1_001).collect()
     if len(values) > 1_000:
         raise ValueError("more than 1,000 groups of scores")
     groups = scores.sparkSession.createDataFrame(values, scores.select(*by).schema)
     agg = scores.groupBy("image", *by).agg(F.count(F.lit(1)).alias("predictions"), F.sum(label).alias("errors"), F.max(risk).alias("crop_risk"))
-    return images.select("image").join(F.broadcast(groups)).join(agg, ["image", *by], "left").fillna(0, ["predictions", "errors"])
+    return images.select("image").join(F.broadcast(groups)).join(agg.hint("merge"), ["image", *by], "left").fillna(0, ["predictions", "errors"])
+
+
+def crop_risks_of_columns(images: DataFrame, rows: DataFrame, risks: dict[str, Column], label: str) -> DataFrame:
+    """As ``crop_risks`` by ``method``, for risks of the same rows: an image meets its sums once, and methods part afterwards."""
+    names = {} if rows.isEmpty() else risks  # methods come from the rows
+    agg = rows.groupBy("image").agg(F.count(F.lit(1)).alias("predictions"), F.sum(label).alias("errors"), *(F.max(v).alias(f"_{k}") for k, v in names.items()))
+    d = images.select("image").join(agg.hint("merge"), "image", "left").fillna(0, ["predictions", "errors"])
+    if not names:
+        return d.select("image", F.lit("").alias("method"), "predictions", "errors", F.lit(None).cast("double").alias("crop_risk")).where("false")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("method"), F.col(f"_{k}").alias("crop_risk")) for k in names)))
+    return d.select("image", each.alias("p"), "predictions", "errors").select("image", "p.method", "predictions", "errors", "p.crop_risk")
 
 
 def review_thresholds(crops: DataFrame, by: list[str], budgets: tuple[int, ...]) -> DataFrame:
@@ -56,7 +69,7 @@ def review_thresholds(crops: DataFrame, by: list[str], budgets: tuple[int, ...])
     ties = running_totals(crops.where("crop_risk IS NOT NULL").groupBy(*by, "crop_risk").agg(F.count(F.lit(1)).alias("k")), by, "crop_risk", ["k"])
     # Crops above a risk: the rest of the running count.
     ties = ties.select(*by, "crop_risk", (F.col("all_k") - F.col("cum_k")).alias("above"), (F.col("all_k") - F.col("cum_k") + F.col("k")).alias("reach"))
-    at = wanted.join(ties, by).where((F.col("above") <= F.col("nominal_crops")) & (F.col("nominal_crops") < F.col("reach")))
+    at = ties.join(F.broadcast(wanted), by).where((F.col("above") <= F.col("nominal_crops")) & (F.col("nominal_crops") < F.col("reach")))
     return wanted.select(*by, "budget_percent", "nominal_crops").join(at.select(*by, "budget_percent", F.col("crop_risk").alias("threshold")), [*by, "budget_percent"], "left").fillna(-1.0, ["threshold"])
 
 
@@ -67,13 +80,24 @@ _SUMS = {
 }
 
 
-def _referral_stats(crops: DataFrame, thresholds: DataFrame, by: list[str], *keep: str) -> DataFrame:
-    """``image, by, budget_percent, threshold``, what to keep, and a column for each of ``_SUMS``: what one crop adds to it."""
-    d = crops.join(F.broadcast(thresholds), by)  # a row for each group and budget
-    d = d.withColumn("1", F.lit(1)).withColumn("has", (F.col("predictions") > 0).cast("int"))
-    sent = F.coalesce((F.col("predictions") > 0) & (F.col("crop_risk") > F.col("threshold")), F.lit(False))
-    parts = {name: F.when(sent, F.col(f"`{c}`")).otherwise(F.lit(0)) if only else F.col(f"`{c}`") for name, (c, only) in _SUMS.items()}
-    return d.select("image", *by, "budget_percent", "threshold", *keep, *(v.cast("double").alias(k) for k, v in parts.items()))
+def _referral_sums(crops: DataFrame, thresholds: DataFrame, by: list[str], keys: list[str], draws: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``keys`` and a column for each of ``_SUMS``; with draws, crops count as often as their image was drawn.
+
+    Budgets differ only in what they refer. Crops are summed by the highest threshold below their risk, so a drawn crop
+    counts once, and budgets meet the few sums.
+    """
+    limits = thresholds.groupBy(*by).agg(F.collect_list("threshold").alias("_limits"))
+    below = F.array_max(F.filter("_limits", lambda t: F.col("crop_risk") > t))
+    d = crops.join(F.broadcast(limits), by).select("image", *by, "predictions", "errors", F.when(F.col("predictions") > 0, below).alias("_reach"))
+    w = F.lit(1)
+    if draws is not None:
+        d, w = resampled(d, draws), F.col("multiplicity")
+    own = [k for k in keys if k not in thresholds.columns or k in by]
+    parts = {"1": F.lit(1), "has": (F.col("predictions") > 0).cast("int"), "predictions": F.col("predictions"), "errors": F.col("errors")}
+    d = d.groupBy(*own, "_reach").agg(*(F.sum(w * v.cast("double")).alias(f"_{k}") for k, v in parts.items()))
+    sent = F.coalesce(F.col("threshold") <= F.col("_reach"), F.lit(False))
+    d = d.join(thresholds.select(*by, "budget_percent", "threshold").hint("merge"), by)
+    return d.groupBy(*keys).agg(*(F.sum(F.when(sent, F.col(f"_{c}")).otherwise(F.lit(0.0)) if only else F.col(f"_{c}")).alias(name) for name, (c, only) in _SUMS.items()))
 
 
 def _referral_ratios() -> dict[str, Column]:
@@ -99,14 +123,13 @@ def referral_metrics(crops: DataFrame, thresholds: DataFrame, by: list[str]) ->
 
     Undefined ratios are NULL.
     """
-    m = _referral_stats(crops, thresholds, by).groupBy(*by, "budget_percent", "threshold").agg(*(F.sum(k).alias(k) for k in _SUMS))
+    m = _referral_sums(crops, thresholds, by, [*by, "budget_percent", "threshold"])
     return m.select("*", *(v.alias(k) for k, v in _referral_ratios().items()))
 
 
 def referral_resampled(crops: DataFrame, thresholds: DataFrame, by: list[str], draws: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``replicate, by, budget_percent`` and referral metrics of resampled crops; thresholds stay as they are."""
-    w = F.col("multiplicity")
-    m = _referral_stats(resampled(crops, draws), thresholds, by, "replicate", "multiplicity").groupBy("replicate", *by, "budget_percent").agg(*(F.sum(w * F.col(k)).alias(k) for k in _SUMS))
+    m = _referral_sums(crops, thresholds, by, ["replicate", *by, "budget_percent"], draws)
     return m.select("replicate", *by, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
 
 
