@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import ratio
 from assaykit.lineage import cut, drop
-from assaykit.operators.bootstrap import BATCH, PART, block_starts, draw_table, numbered_clusters, parts_of, read_part, resampled, weight_blocks
+from assaykit.operators.bootstrap import BATCH, CELLS, PART, SHARE, block_starts, cell_counts, cell_parts, draw_table, numbered_clusters, parts_of, read_part, resampled, weight_blocks, with_cells
 from assaykit.operators.ranking import tie_groups
 from assaykit.operators.scan import running_totals
 
@@ -133,11 +133,14 @@ def referral_resampled(crops: DataFrame, thresholds: DataFrame, by: list[str], d
     return m.select("replicate", *by, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
 
 
-def referral_bootstrap(crops: DataFrame, thresholds: DataFrame, method: str, images: DataFrame, replicates: int, seed: int, most_rows: int | None = None) -> DataFrame:
+def referral_bootstrap(crops: DataFrame, thresholds: DataFrame, method: str, images: DataFrame, replicates: int, seed: int, most_rows: int | None = None, cells: int = CELLS) -> DataFrame:
     """``replicate, <method>, budget_percent`` and referral metrics on the generator's draws of images.
 
-    Crops are written by method and image; a kernel works through blocks of draws and multiplies them with the files one
-    after another, so neither the driver nor a task holds all crops. Beyond ``most_rows`` crop rows, if given, draws are
+    Images whose crops have the same predictions, errors and thresholds below their risk, method by method, make up a cell; a
+    kernel counts the drawn images of each cell, and sums come from these counts. With more than ``cells`` cells, more than
+    one crop of an image and method, or numbers that are no counts, crops are written by method and image, and blocks of draws
+    are multiplied with the files. Either way files are read one after another, so neither the driver nor a task holds all
+    crops. Beyond ``most_rows`` crop rows, if given, draws are
     joined with crops instead.
     """
     spark = crops.sparkSession
@@ -148,6 +151,13 @@ def referral_bootstrap(crops: DataFrame, thresholds: DataFrame, method: str, ima
     for r in thresholds.select(method, "budget_percent", "threshold").collect():
         limits.setdefault(r[0], []).append((int(r[1]), float("nan") if r[2] is None else float(r[2])))
     kinds = sorted(limits, key=str)
+    kind = crops.schema[method].dataType.simpleString()
+    celled = _image_cells(crops, method, limits, kinds, names, cells)
+    if celled:
+        parts = cell_parts(celled[0])
+        drop(names)
+        m = _sums_of_cells(spark, parts, celled[1], method, kind, limits, kinds, n, replicates, seed)
+        return m.select("replicate", method, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
     place = F.array_position(F.array(*map(F.lit, kinds)), F.col(method)) if kinds else F.lit(None).cast("long")
     own = crops.join(names.hint("merge"), "image").select((place - 1).cast("int").alias("m"), "at", *(F.col(c).cast("double").alias(c) for c in ("predictions", "errors", "crop_risk"))).where("m >= 0")
     own = cut(own)
@@ -180,7 +190,69 @@ def referral_bootstrap(crops: DataFrame, thresholds: DataFrame, method: str, ima
                 columns = np.concatenate([sums[:, :4], sums[:, 4 + 3 * j : 7 + 3 * j]], axis=1)
                 yield pd.DataFrame(columns, columns=list(_SUMS)).assign(**{"replicate": first + np.arange(len(w)), method: kinds[k], "budget_percent": budget})
 
-    kind = crops.schema[method].dataType.simpleString()
     blocks = spark.range(0, len(starts), 1, min(64, len(starts)))
     m = blocks.mapInPandas(kernel, ", ".join(f"{k} double" for k in _SUMS) + f", replicate long, {method} {kind}, budget_percent int")
     return m.select("replicate", method, "budget_percent", *(v.alias(k) for k, v in _referral_ratios().items()))
+
+
+#: Parts of a crop's code: predictions, errors (24 bits each) and how many different thresholds lie below its risk.
+_LIMITS = 15
+
+
+def _image_cells(crops: DataFrame, method: str, limits: dict, kinds: list, names: DataFrame, most: int) -> tuple[DataFrame, list] | None:
+    """``cell, at`` of images and the codes of each cell's crops by method; None where crops have no such codes."""
+    steps = {k: sorted({t for _, t in limits[k] if t == t}) for k in kinds}
+    if not kinds or len(kinds) > 64 or None in kinds or max(map(len, steps.values())) > _LIMITS:
+        return None
+    p, e, r = F.col("predictions"), F.col("errors"), F.nanvl(F.col("crop_risk").cast("double"), F.lit(None))
+    counted = lambda c: F.coalesce((c >= 0) & (c < 2**24) & (c == F.floor(c)), F.lit(False))
+
+    def code(k):
+        level = sum((F.coalesce((r > t) & (p > 0), F.lit(False)).cast("long") for t in steps[k]), F.lit(0).cast("long"))
+        return F.shiftleft(p.cast("long"), 28) + F.shiftleft(e.cast("long"), 4) + level
+
+    own = crops.where(F.col(method).isin(kinds))
+    codes = own.groupBy("image").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(~(counted(p) & counted(e))).alias("_odd"),
+        *(F.max(F.when(F.col(method) == k, code(k))).alias(f"c{i}") for i, k in enumerate(kinds)),
+    )
+    known = sum((F.col(f"c{i}").isNotNull().cast("long") for i in range(len(kinds))), F.lit(0))
+    images = cut(codes.join(names.hint("merge"), "image").select("at", ((F.col("_odd") > 0) | (F.col("_n") != known)).alias("odd"), *(f"c{i}" for i in range(len(kinds)))))
+    found = None if not images.where("odd").isEmpty() else with_cells(images, [f"c{i}" for i in range(len(kinds))], most)
+    if found is None or not found[1]:
+        drop(images)
+        return None
+    return found
+
+
+def _sums_of_cells(spark, parts: list[str], cells: list, method: str, kind: str, limits: dict, kinds: list, n: int, replicates: int, seed: int) -> DataFrame:
+    """What ``_SUMS`` names by ``replicate, <method>, budget_percent``, from counts of cells."""
+    codes = np.array([[-1 if c is None else c for c in r] for r in cells], np.int64)
+    starts = block_starts(spark, n, replicates, seed, batch=SHARE)
+    held: dict = {}  # by task
+
+    def features() -> np.ndarray:
+        """A row per cell: for every method and budget the seven numbers."""
+        out = []
+        for i, k in enumerate(kinds):
+            c = codes[:, i]
+            there, level = c >= 0, c & 15
+            p, e = (np.where(there, x, 0) for x in (c >> 28, (c >> 4) & (2**24 - 1)))
+            steps = sorted({t for _, t in limits[k] if t == t})
+            for _, limit in limits[k]:
+                sent = there & (level > steps.index(limit)) if limit == limit else np.zeros(len(c), bool)
+                out += [there, there & (p > 0), p, e, sent, p * sent, e * sent]
+        return np.stack(out, axis=1).astype(float)
+
+    def kernel(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (b for ids in blocks for b in ids["id"].tolist()):
+            if not held:
+                held["x"] = features()
+            for first, counts in cell_counts(parts, len(codes), n, seed, starts[b], min(SHARE, replicates - b * SHARE)):
+                sums = counts.astype(float) @ held["x"]
+                for j, (k, budget) in enumerate((k, budget) for k in kinds for budget, _ in limits[k]):
+                    if (codes[:, kinds.index(k)] < 0).all():
+                        continue  # a method without crops has no sums
+                    yield pd.DataFrame(sums[:, 7 * j : 7 * j + 7], columns=list(_SUMS)).assign(**{"replicate": b * SHARE + first + np.arange(len(sums)), method: k, "budget_percent": budget})
+
+    return spark.range(0, len(starts), 1, len(starts)).mapInPandas(kernel, ", ".join(f"{k} double" for k in _SUMS) + f", replicate long, {method} {kind}, budget_percent int")
